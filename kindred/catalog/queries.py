@@ -17,13 +17,13 @@ from kindred.operators.cells import assign_cells, topk_cells, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.lemma import lemmatize
 from kindred.operators.position import dense_index, first_rows, sample_exact
-from kindred.operators.terms import gather, ngrams, term_counts, term_statistics, tokens
+from kindred.operators.terms import ngrams, term_counts, term_statistics, tokens
 from kindred.operators.topk import topk_dense, without_self
 from kindred.plans import ingest, quality
 from kindred.plans.model import fit_model, fit_terms, load_model, save_model
 from kindred.plans.prepare import preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
-from kindred.session import fresh_path
+from kindred.session import fresh_path, written
 from kindred.sources.files import read_csv, write_csv
 from kindred.sources.lines import missing_to_null, parse_ndjson, parse_tsv
 
@@ -52,8 +52,8 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(gather(clean_documents(spark, sf_dir), "item_id", "text_clean"), "item_id", "text_clean")
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(clean_documents(spark, sf_dir).select("item_id", "text_clean"), "cleaned")
 
 
 # --- sources -----------------------------------------------------------------
@@ -349,29 +349,29 @@ def ngram_terms(spark, sf_dir):
 
 @register
 def term_frequency(spark, sf_dir):
-    return document_terms(spark, sf_dir)
+    return term_counts(clean_documents(spark, sf_dir), "item_id", "text_clean")
 
 
 @register
 def document_frequency(spark, sf_dir):
-    return term_statistics(document_terms(spark, sf_dir)).filter("df >= 2")
+    return term_statistics(clean_documents(spark, sf_dir), "text_clean").filter("df >= 2")
 
 
 @register
 def vocabulary(spark, sf_dir):
-    vocab, _ = fit_terms(clean_documents(spark, sf_dir))
+    vocab, _ = fit_terms(stored_documents(spark, sf_dir))
     return vocab.withColumn("idf", F.round("idf", 6))
 
 
 @register
 def tfidf_weights(spark, sf_dir):
-    _, postings = fit_terms(clean_documents(spark, sf_dir))
+    _, postings = fit_terms(stored_documents(spark, sf_dir))
     return postings.withColumn("weight", F.round("weight", 6))
 
 
 @register
 def model_metrics_sparse(spark, sf_dir):
-    docs = clean_documents(spark, sf_dir)
+    docs = stored_documents(spark, sf_dir)
     vocab, postings = fit_terms(docs)
     return quality.sparse_metrics(vocab, postings, docs).withColumn("sparsity", F.round("sparsity", 9))
 
@@ -379,12 +379,9 @@ def model_metrics_sparse(spark, sf_dir):
 # --- search ------------------------------------------------------------------
 
 
-def _model(spark, sf_dir, items=clean_documents, **options):
-    return fit_model(items(spark, sf_dir), **options)
-
-
-def _clean_corpus(spark, sf_dir):
-    return preprocess(corpus(spark, sf_dir))
+def _model(spark, sf_dir, items=inputs.document_items, **options):
+    raw = items(spark, sf_dir)
+    return fit_model(preprocess(raw), metadata=raw, **options)
 
 
 _RANKED = ("query_id", "rank", "item_id", "similarity_score", "method")
@@ -477,14 +474,14 @@ def dense_topk_ivf_all_cells(spark, sf_dir):
 
 @register
 def recommend_items(spark, sf_dir):
-    model = _model(spark, sf_dir, _clean_corpus)
+    model = _model(spark, sf_dir, corpus)
     return recommend(inputs.query_texts(spark, sf_dir), model, "tfidf").select(*_RANKED)
 
 
 @register
 def recommend_source_filter(spark, sf_dir):
     """Both modes side by side; they differ where over-fetching misses pages."""
-    model = _model(spark, sf_dir, _clean_corpus)
+    model = _model(spark, sf_dir, corpus)
     queries = inputs.query_texts(spark, sf_dir)
     modes = [
         recommend(queries, model, "tfidf", source="page", mode=mode).select(F.lit(mode).alias("mode"), *_RANKED)
@@ -495,7 +492,7 @@ def recommend_source_filter(spark, sf_dir):
 
 @register
 def recommend_semantic_source(spark, sf_dir):
-    model = _model(spark, sf_dir, _clean_corpus, terms=None)
+    model = _model(spark, sf_dir, corpus, terms=None)
     queries = inputs.query_texts(spark, sf_dir)
     modes = [
         recommend(queries, model, "semantic", source="page", mode=mode).select(F.lit(mode).alias("mode"), *_RANKED)
@@ -506,7 +503,7 @@ def recommend_semantic_source(spark, sf_dir):
 
 @register
 def compare_two_methods(spark, sf_dir):
-    model = _model(spark, sf_dir, _clean_corpus)
+    model = _model(spark, sf_dir, corpus)
     queries = inputs.query_texts(spark, sf_dir)
     return compare_methods(
         recommend(queries, model, "tfidf"), recommend(queries, model, "semantic", source="document")
@@ -515,12 +512,11 @@ def compare_two_methods(spark, sf_dir):
 
 @register
 def cards(spark, sf_dir):
-    model = _model(spark, sf_dir, _clean_corpus)
+    model = _model(spark, sf_dir, corpus)
     return result_cards(recommend(inputs.query_texts(spark, sf_dir), model, "tfidf", top_n=3), LABELS)
 
 
 @register
 def quality_model_parity(spark, sf_dir):
-    docs = clean_documents(spark, sf_dir)
-    model = fit_model(docs)
-    return quality.model_parity(docs, model.postings, model.vectors)
+    model = fit_model(clean_documents(spark, sf_dir))
+    return quality.model_parity(model.docs, model.postings, model.vectors)

@@ -1,4 +1,8 @@
-"""Accent folding: compatibility decomposition without combining marks."""
+"""Accent folding: compatibility decomposition without combining marks.
+
+Spark has no Unicode normalization function, so this is the one text step that
+runs in Python, in Arrow batches. Cleaned text is ASCII and never needs it.
+"""
 
 from __future__ import annotations
 
@@ -6,47 +10,27 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from kindred.functions.text import literal_map
 
-# Hangul syllables decompose by formula into letters that are not accents;
-# they are left composed.
-_HANGUL = range(0xAC00, 0xD7A4)
+@lru_cache(maxsize=1)
+def _marks() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
 
 
-@lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, dict[str, str]]:
-    """(characters, their one-character folds, characters with a longer fold).
-
-    Characters that fold to nothing come last, so ``translate`` deletes them.
-    """
-    single, gone, longer = {}, [], {}
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000 or code in _HANGUL:
-            continue
-        char = chr(code)
-        parts = unicodedata.normalize("NFKD", char)
-        if parts == char and not unicodedata.combining(char):
-            continue
-        fold = "".join(p for p in parts if not unicodedata.combining(p))
-        if not fold:
-            gone.append(char)
-        elif len(fold) == 1:
-            single[char] = fold
-        else:
-            longer[char] = fold
-    return "".join(single) + "".join(gone), "".join(single.values()), longer
+def _folded(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFKD", text).translate(_marks())
 
 
 def fold_accents(c: Column) -> Column:
     """Plain form of accented and compatibility characters; ASCII rows pass through."""
-    source, target, longer = _folding()
-    spelled = literal_map(longer)
-    has_longer = F.translate(c, "".join(longer), "") != c
-    expanded = F.when(
-        has_longer,
-        F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(spelled, ch), ch)), ""),
-    ).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(expanded, source, target)).otherwise(c)
+
+    @pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(_folded)
+
+    return fold(c)

@@ -45,41 +45,71 @@ def gather(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     return docs.select(key, text_col).repartition(key)
 
 
-def term_counts(gathered: DataFrame, key: str, text_col: str, low: int = 1, high: int = 2, plain: bool = True) -> DataFrame:
-    """(key, term, tf) for a table from ``gather``."""
-    words = gathered.select(key, tokens(F.col(text_col), plain).alias("_words"))
-    terms = words.select(key, F.explode(ngrams(F.col("_words"), low, high)).alias("term"))
+def _document_terms(docs: DataFrame, key: str, text_col: str, low: int, high: int, plain: bool) -> DataFrame:
+    words = gather(docs, key, text_col).select(key, tokens(F.col(text_col), plain).alias("_words"))
+    return words.select(key, F.explode(ngrams(F.col("_words"), low, high)).alias("term"))
+
+
+def term_counts(docs: DataFrame, key: str, text_col: str, low: int = 1, high: int = 2, plain: bool = True) -> DataFrame:
+    """(key, term, tf). Texts are shuffled by key, not the many more terms."""
+    terms = _document_terms(docs, key, text_col, low, high, plain)
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def term_statistics(counts: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with the term, and its occurrences."""
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_statistics(docs: DataFrame, text_col: str, low: int = 1, high: int = 2, plain: bool = True) -> DataFrame:
+    """(term, df, cf): documents with the term, and its occurrences.
+
+    A document gives out each of its terms once for df and every occurrence
+    for cf, so nothing is grouped by document and only sums, combined on the
+    map side, are shuffled.
+    """
+    words = docs.select(tokens(F.col(text_col), plain).alias("_words"))
+    terms = words.select(F.explode(F.array(ngrams(F.col("_words"), low, high))).alias("_terms"))
+
+    def tally(t: Column, df: int, cf: int) -> Column:
+        return F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
+
+    once = F.transform(F.array_distinct("_terms"), lambda t: tally(t, 1, 0))
+    each = F.transform("_terms", lambda t: tally(t, 0, 1))
+    return terms.select(F.inline(F.concat(once, each))).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf")
+    )
 
 
 def vocabulary(
     statistics: DataFrame,
-    n_docs: Column,
+    n_docs: int,
     max_features: int | None = 10_000,
     min_df: int = 2,
     max_df: float = 0.95,
 ) -> DataFrame:
     """(term, df, cf, idf) for the most frequent terms within the df bounds."""
-    kept = statistics.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+    kept = statistics.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
         kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
-    idf = F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0
+    idf = F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0
     return kept.select("term", "df", "cf", idf.alias("idf"))
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str, max_features: int | None = 10_000) -> DataFrame:
+def tfidf_weights(
+    docs: DataFrame,
+    vocab: DataFrame,
+    key: str,
+    text_col: str,
+    low: int = 1,
+    high: int = 2,
+    plain: bool = True,
+    max_features: int | None = 10_000,
+) -> DataFrame:
     """(key, term, weight): log-scaled tf times idf, unit length per key.
 
     Terms outside the vocabulary vanish, and so do keys left without a term.
-    The norm is a window over the key, which the input is partitioned by.
+    They go before anything is counted. The count and the norm are grouped by
+    the key that the texts were partitioned by.
     """
-    weighted = lookup_join(counts, vocab.select("term", "idf"), "term", max_features).withColumn(
-        "raw", (F.log("tf") + 1.0) * F.col("idf")
-    )
+    terms = _document_terms(docs, key, text_col, low, high, plain)
+    known = lookup_join(terms, vocab.select("term", "idf"), "term", max_features)
+    counts = known.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    weighted = counts.withColumn("raw", (F.log("tf") + 1.0) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))

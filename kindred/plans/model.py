@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kindred.operators.cells import assign_cells, train_cells, use_cells
 from kindred.operators.encode import hashed_vectors
-from kindred.operators.terms import gather, term_counts, term_statistics, tfidf_weights, vocabulary
+from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
+from kindred.session import written
 from kindred.sources.files import ITEM_COLUMNS
 
 
@@ -28,6 +29,7 @@ class Model:
     """Tables a query needs; any of them may still be an unevaluated plan."""
 
     metadata: DataFrame
+    docs: DataFrame | None = None
     vocab: DataFrame | None = None
     postings: DataFrame | None = None
     vectors: DataFrame | None = None
@@ -39,8 +41,9 @@ class Model:
         """(query_id, term, weight) of new texts in the fitted vocabulary."""
         t = self.terms
         # raw text may come here when cleaning leaves nothing, so tokens are general
-        counts = term_counts(queries.select("query_id", text_col), "query_id", text_col, t.ngram_min, t.ngram_max, False)
-        return tfidf_weights(counts, self.vocab, "query_id", t.max_features)
+        return tfidf_weights(
+            queries, self.vocab, "query_id", text_col, t.ngram_min, t.ngram_max, False, t.max_features
+        )
 
     def query_vectors(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, embedding) of new texts by the built-in encoder."""
@@ -48,17 +51,16 @@ class Model:
 
 
 def fit_terms(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
-    """(vocabulary, postings) of a corpus.
+    """(vocabulary, postings) of a table of cleaned texts that is stored.
 
-    Documents are shuffled once, as cleaned text. Counts per document need no
-    shuffle after that, so the same exchange serves the document count, the
-    term statistics (which only shuffle map-side sums) and the postings.
+    The corpus is read twice: for the statistics, and for postings in the
+    vocabulary they give. ``fit_model`` stores the cleaned texts before.
     """
-    gathered = gather(docs, key, text_col)
-    n_docs = gathered.agg(F.count(text_col).alias("n")).scalar()
-    counts = term_counts(gathered, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
-    vocab = vocabulary(term_statistics(counts), n_docs, terms.max_features, terms.min_df, terms.max_df)
-    return vocab, tfidf_weights(counts, vocab, key, terms.max_features)
+    statistics = term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
+    vocab = written(vocabulary(statistics, docs.count(), terms.max_features, terms.min_df, terms.max_df), "vocab")
+    return vocab, tfidf_weights(
+        docs, vocab, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain, terms.max_features
+    )
 
 
 def fit_model(
@@ -68,18 +70,22 @@ def fit_model(
     vectors: DataFrame | None = None,
     dim: int = 64,
     n_cells: int | None = None,
+    metadata: DataFrame | None = None,
 ) -> Model:
     """Fit all model tables to cleaned items.
 
-    ``vectors`` (item_id, embedding) comes from a user's encoder; without it the
-    hashing encoder is used. Cells are trained only if ``n_cells`` is given and
-    the collection is large enough for them.
+    Cleaned texts, short however long the items are, are written once and
+    every pass reads them back. ``vectors`` (item_id, embedding) comes from a
+    user's encoder; without it the hashing encoder is used. Cells are trained
+    only if ``n_cells`` is given and the collection is large enough for them.
+    ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
-    model = Model(metadata=items.select(*ITEM_COLUMNS), dim=dim)
+    docs = written(items.select("item_id", text_col), "cleaned")
+    model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, dim=dim)
     if terms is not None:
-        vocab, postings = fit_terms(items, "item_id", text_col, terms)
+        vocab, postings = fit_terms(docs, "item_id", text_col, terms)
         model = replace(model, vocab=vocab, postings=postings, terms=terms)
-    vectors = hashed_vectors(items, "item_id", text_col, dim) if vectors is None else vectors
+    vectors = hashed_vectors(docs, "item_id", text_col, dim) if vectors is None else vectors
     if n_cells is not None and use_cells(vectors.count(), n_cells):
         cells = train_cells(vectors, n_cells)
         return replace(model, vectors=assign_cells(vectors, cells), cells=cells)

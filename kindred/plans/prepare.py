@@ -23,9 +23,15 @@ def clean_items(
     max_len: int = MAX_LENGTH,
     key: str = "item_id",
 ) -> DataFrame:
-    """Add the cleaned text. ``lemmas`` is a small mapping or a (word, lemma) table."""
+    """Add the cleaned text. ``lemmas`` is a small mapping or a (word, lemma) table.
+
+    The text is passed on as the one element of an array. A filter on a plain
+    computed column moves below it, past any exchange to the scan, and would
+    clean every text a second time; it does not move below ``explode``.
+    """
     if not isinstance(lemmas, DataFrame):
-        return items.withColumn(clean_col, clean_text(F.col(text_col), drop_stopwords, lemmas, max_len))
+        cleaned = clean_text(F.col(text_col), drop_stopwords, lemmas, max_len)
+        return items.select("*", F.explode(F.array(cleaned)).alias(clean_col))
     words = items.select(key, normalize_words(F.col(text_col), drop_stopwords).alias(clean_col))
     cleaned = lemmatize(words, key, clean_col, lemmas)
     return items.join(cleaned.withColumn(clean_col, F.trim(truncate_words(F.col(clean_col), max_len))), key)
