@@ -143,25 +143,26 @@ def hashed(source: str, key: str, words: str, prefix: str, dim: int = 64) -> str
 
 _ITEM_WORDS = "[w for w in string_split(text_clean, ' ') if length(w) > 1]"
 SEMANTIC_SCORES = (
-    hashed("docs", "item_id", _ITEM_WORDS, "i")
+    hashed("docs", "item_id", _ITEM_WORDS, "iv")
     + ", "
-    + hashed("asked", "query_id", f"regexp_extract_all(lower(strip_accents(text)), '{WORD}')", "q")
+    + hashed("asked", "query_id", f"regexp_extract_all(lower(strip_accents(text)), '{WORD}')", "qv")
     + """, semantic AS (SELECT query_id, item_id, round(coalesce(s, 0), 6) AS score
     FROM (SELECT query_id, item_id FROM asked, docs) LEFT JOIN
-        (SELECT query_id, item_id, sum(i.value * q.value) AS s FROM islots i JOIN qslots q USING (slot) GROUP BY ALL)
+        (SELECT query_id, item_id, sum(i.value * q.value) AS s FROM ivslots i JOIN qvslots q USING (slot) GROUP BY ALL)
         USING (query_id, item_id))"""
 )
 
 
 def ranked(scores: str, k: int, name: str) -> str:
-    return f"""{name} AS (SELECT query_id, item_id, score, row_number() OVER
-        (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {scores} QUALIFY rank <= {k})"""
+    order = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)"
+    return f"""{name} AS (SELECT query_id, item_id, score, CAST({order} AS INTEGER) AS rank
+        FROM {scores} QUALIFY {order} <= {k})"""
 
 
 def self_less(scores: str, n: int, prefix: str) -> str:
     """CTEs: best n + 1, then without near-identical items, as ``<prefix>best``."""
     return ranked(scores, n + 1, f"{prefix}top") + ", " + ranked(
-        f"(SELECT * FROM {prefix}top WHERE score < 0.9999)", n, f"{prefix}best"
+        f"(SELECT query_id, item_id, score FROM {prefix}top WHERE score < 0.9999)", n, f"{prefix}best"
     )
 
 
@@ -384,9 +385,9 @@ ORACLE["tfidf_topk"] = f"WITH {SPARSE}, {TFIDF_SCORES}, {self_less('scores', 10,
 ORACLE["topk_with_metadata"] = f"""WITH {SPARSE}, {TFIDF_SCORES}, {self_less('scores', 3, 't')}
 {final('tbest JOIN docs USING (item_id)', 'tfidf', ', title, authors, category, source')}"""
 
-ORACLE["hashed_embedding"] = f"""WITH {DOCS}, {hashed('docs', 'item_id', _ITEM_WORDS, 'i')}
+ORACLE["hashed_embedding"] = f"""WITH {DOCS}, {hashed('docs', 'item_id', _ITEM_WORDS, 'iv')}
 SELECT item_id, CAST(slot AS INTEGER) AS slot, round(coalesce(value, 0), 5) AS value
-FROM (SELECT item_id, unnest(range(64)) AS slot FROM docs) LEFT JOIN islots USING (item_id, slot)"""
+FROM (SELECT item_id, unnest(range(64)) AS slot FROM docs) LEFT JOIN ivslots USING (item_id, slot)"""
 
 ORACLE["semantic_topk"] = f"""WITH {DOCS}, {asked()}, {SEMANTIC_SCORES}, {self_less('semantic', 10, 's')}
 {final('sbest', 'semantic')}"""
@@ -395,7 +396,7 @@ ORACLE["l2_normalize_vectors"] = """
 WITH s AS (SELECT vec_id AS item_id, [x::DOUBLE * (vec_id % 4) for x in embedding] AS v FROM embeddings),
 n AS (SELECT item_id, v, sqrt(list_sum([x * x for x in v])) AS norm FROM s)
 SELECT item_id, CAST(unnest(range(length(v))) AS INTEGER) AS slot,
-    round(unnest([CASE WHEN norm > 0 THEN x / norm ELSE x END for x in v]), 6) AS value FROM n"""
+    round(unnest([CASE WHEN norm > 0 THEN x / norm ELSE x END for x in v]), 6) + 0.0 AS value FROM n"""
 
 DENSE = f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id,
     round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score

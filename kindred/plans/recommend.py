@@ -156,7 +156,8 @@ def result_cards(answers: DataFrame, labels: Mapping[str, str], default_label: s
         F.coalesce("title", F.lit("Untitled")).alias("title"),
         F.substring(F.coalesce("authors", F.lit("Unknown")), 1, 80).alias("authors"),
         F.coalesce("category", F.lit("-")).alias("category"),
-        F.format_string("%.4f", F.coalesce("similarity_score", F.lit(0.0))).alias("score"),
+        # format_number rounds the exact binary value, format_string its decimal form
+        F.replace(F.format_number(F.coalesce("similarity_score", F.lit(0.0)), 4), F.lit(","), F.lit("")).alias("score"),
         F.upper(F.coalesce("source", F.lit("unknown"))).alias("source_tag"),
         F.when(F.length(text) > 280, F.concat(F.substring(text, 1, 280), F.lit("..."))).otherwise(text).alias("preview"),
     )

@@ -10,7 +10,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 ITEM_COLUMNS = ("item_id", "source", "title", "text", "authors", "category")
 ITEM_SCHEMA = StructType([StructField(c, StringType()) for c in ITEM_COLUMNS])
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CSV = {
+    "header": "true",
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
