@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.accents import fold_accents
 from kindred.operators.joins import lookup_join
+from kindred.operators.topk import top_rows
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -29,8 +30,9 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     def runs(n: int) -> Column:
         if n == 1:
             return words
-        starts = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        number = F.greatest(count - (n - 1), F.lit(0))
+        shorter = F.slice(runs(n - 1), F.lit(1), number)
+        return F.zip_with(shorter, F.slice(words, F.lit(n), number), lambda a, b: F.concat(a, F.lit(" "), b))
 
     parts = [runs(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -86,7 +88,7 @@ def vocabulary(
     """(term, df, cf, idf) for the most frequent terms within the df bounds."""
     kept = statistics.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:
-        kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
+        kept = top_rows(kept, [F.desc("cf"), F.asc("term")], max_features)
     idf = F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0
     return kept.select("term", "df", "cf", idf.alias("idf"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -26,6 +26,23 @@ DENSE_BLOCK = 4_096
 _CELL_BUDGET = 4_000_000  # scores held at once in a task: 32 MB
 
 
+ONE_TASK_ROWS = 10_000_000  # rows that may meet in the last task of a global top-n
+
+
+def top_rows(df: DataFrame, order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows in ``order``.
+
+    Each task of a global limit sends up to n rows to a single one. Where that
+    adds up, rows are first cut to n in each of ``salts`` groups.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks * n > ONE_TASK_ROWS:
+        group = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+        rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+        df = df.withColumn("_group", group).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_group", "_rank")
+    return df.orderBy(*order).limit(n)
+
+
 def rank_items(scored: DataFrame, k: int) -> DataFrame:
     """The k best items per query with their rank, from 1.
 

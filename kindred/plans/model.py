@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ from kindred.session import written
 from kindred.sources.files import ITEM_COLUMNS
 
 
+# (table, key column, text column) to (key, embedding)
+Encoder = Callable[[DataFrame, str, str], DataFrame]
+
+
 @dataclass(frozen=True)
 class TermOptions:
     max_features: int | None = 10_000
@@ -35,7 +40,7 @@ class Model:
     vectors: DataFrame | None = None
     cells: DataFrame | None = None
     terms: TermOptions = TermOptions()
-    dim: int = 64
+    encoder: Encoder = hashed_vectors
 
     def query_terms(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, term, weight) of new texts in the fitted vocabulary."""
@@ -46,8 +51,10 @@ class Model:
         )
 
     def query_vectors(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
-        """(query_id, embedding) of new texts by the built-in encoder."""
-        return hashed_vectors(queries, "query_id", text_col, self.dim, plain=False)
+        """(query_id, embedding) of new texts by the encoder of the items."""
+        if self.encoder is hashed_vectors:
+            return hashed_vectors(queries, "query_id", text_col, plain=False)
+        return self.encoder(queries, "query_id", text_col)
 
 
 def fit_terms(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
@@ -68,35 +75,37 @@ def fit_model(
     text_col: str = "text_clean",
     terms: TermOptions | None = TermOptions(),
     vectors: DataFrame | None = None,
-    dim: int = 64,
+    encoder: Encoder = hashed_vectors,
     n_cells: int | None = None,
     metadata: DataFrame | None = None,
 ) -> Model:
     """Fit all model tables to cleaned items.
 
     Cleaned texts, short however long the items are, are written once and
-    every pass reads them back. ``vectors`` (item_id, embedding) comes from a
-    user's encoder; without it the hashing encoder is used. Cells are trained
-    only if ``n_cells`` is given and the collection is large enough for them.
-    ``metadata`` may be a table of raw items: answers pick the fitted ones.
+    every pass reads them back. ``encoder`` makes vectors of items and queries,
+    by feature hashing unless it is given; vectors that exist already are taken
+    from ``vectors`` (item_id, embedding). Cells are trained only if ``n_cells``
+    is given and the collection is large enough for them. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
     docs = written(items.select("item_id", text_col), "cleaned")
-    model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, dim=dim)
+    model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, postings = fit_terms(docs, "item_id", text_col, terms)
         model = replace(model, vocab=vocab, postings=postings, terms=terms)
-    vectors = hashed_vectors(docs, "item_id", text_col, dim) if vectors is None else vectors
+    vectors = encoder(docs, "item_id", text_col) if vectors is None else vectors
     if n_cells is not None and use_cells(vectors.count(), n_cells):
         cells = train_cells(vectors, n_cells)
         return replace(model, vectors=assign_cells(vectors, cells), cells=cells)
     return replace(model, vectors=vectors)
 
 
-def save_model(model: Model, path: str, posting_buckets: int = 8) -> None:
+def save_model(model: Model, path: str, posting_buckets: int = 8, cell_files: int = 16) -> None:
     """Write the model tables.
 
     Postings are bucketed by item, so that a later search finds all terms of
     an item in one task; vectors are partitioned by cell where there are cells.
+    A cell is written by up to ``cell_files`` tasks, so a crowded one is no
+    hot spot, and its files stay small enough to be read in parallel.
     """
     path = path.rstrip("/")
     model.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
@@ -116,19 +125,25 @@ def save_model(model: Model, path: str, posting_buckets: int = 8) -> None:
         model.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         return
     model.cells.write.mode("overwrite").parquet(f"{path}/cells")
-    model.vectors.repartition("cell_id", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.mode(
+    model.vectors.repartition("cell_id", F.pmod(F.xxhash64("item_id"), F.lit(cell_files))).write.mode(
         "overwrite"
-    ).partitionBy("cell_id").parquet(f"{path}/vectors")
+    ).option("maxRecordsPerFile", 1_000_000).partitionBy("cell_id").parquet(f"{path}/vectors")
 
 
 def _table_name(path: str, table: str) -> str:
     return f"kindred_{table}_" + "".join(ch if ch.isalnum() else "_" for ch in path).lower()
 
 
-def load_model(spark: SparkSession, path: str, with_cells: bool = False, terms: TermOptions | None = TermOptions(), dim: int = 64) -> Model:
+def load_model(
+    spark: SparkSession,
+    path: str,
+    with_cells: bool = False,
+    terms: TermOptions | None = TermOptions(),
+    encoder: Encoder = hashed_vectors,
+) -> Model:
     """The tables written by ``save_model``; postings keep their buckets."""
     path = path.rstrip("/")
-    model = Model(metadata=spark.read.parquet(f"{path}/metadata"), dim=dim)
+    model = Model(metadata=spark.read.parquet(f"{path}/metadata"), encoder=encoder)
     if terms is not None:
         buckets = spark.read.parquet(f"{path}/layout").first()["posting_buckets"]
         name = _table_name(path, "postings")
