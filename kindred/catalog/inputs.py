@@ -46,7 +46,7 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, F.concat_ws("\t", *head, *tail, summary, F.lit("too much")))
         .otherwise(F.concat_ws("\t", *head, *tail, summary))
     )
-    return part.select(line.alias("value"))
+    return part.select(F.explode(F.array(line)).alias("value"))
 
 
 def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             genre_text(key),
             flat,
         ).alias("value"),
-    )
+    ).select("doc_id", F.explode(F.array("value")).alias("value"))
 
 
 def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +138,4 @@ def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.lit("  "))
         .otherwise(F.to_json(record))
     )
-    return docs.select("doc_id", line.alias("value"))
+    return docs.select("doc_id", F.explode(F.array(line)).alias("value"))

@@ -80,14 +80,16 @@ def ingest_books(raw: DataFrame, key: str, sample_size: int, seed: int = 42) ->
 
 def paper_rows(raw: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Papers in an allowed category with a long enough abstract, normalised."""
-    return (
-        raw.filter(any_category(F.col("categories"), allowed))
-        .withColumn("title", one_line(F.col("title")))
-        .withColumn("text", one_line(F.col("abstract")))
-        .withColumn("authors", default_if_empty(F.col("authors")))
-        .withColumn("category", first_word(F.col("categories")))
-        .filter(F.length("text") >= MIN_ABSTRACT)
+    fields = F.struct(
+        one_line(F.col("title")).alias("title"),
+        one_line(F.col("abstract")).alias("text"),
+        default_if_empty(F.col("authors")).alias("authors"),
+        first_word(F.col("categories")).alias("category"),
     )
+    others = [c for c in raw.columns if c not in ("title", "abstract", "authors", "categories")]
+    # inline keeps the length filter from normalising each abstract again
+    papers = raw.filter(any_category(F.col("categories"), allowed)).select(*others, F.inline(F.array(fields)))
+    return papers.filter(F.length("text") >= MIN_ABSTRACT)
 
 
 def ingest_papers(

@@ -44,7 +44,8 @@ def parse_tsv(lines: DataFrame, columns: Sequence[str] = BOOK_COLUMNS, keep: Seq
     split = F.when(quoted, F.transform(F.regexp_extract_all(value, F.lit(_FIELD), 1), _unquoted)).otherwise(
         F.split(value, "\t")
     )
-    fields = lines.filter(F.trim(value) != "").select(*keep, split.alias("_fields"))
+    # explode keeps later filters from splitting each line again
+    fields = lines.filter(F.trim(value) != "").select(*keep, F.explode(F.array(split)).alias("_fields"))
     return fields.filter(F.size("_fields") <= len(columns)).select(
         *keep, *[missing_to_null(F.get("_fields", F.lit(i))).alias(c) for i, c in enumerate(columns)]
     )
@@ -59,11 +60,11 @@ def parse_ndjson(lines: DataFrame, schema: str | StructType = PAPER_SCHEMA, keep
     options = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     checked = StructType([*fields.fields, StructField("_bad", StringType())])
+    # inline keeps later filters from parsing each line again
     parsed = lines.filter(text.startswith("{") & text.endswith("}")).select(
-        *keep, F.from_json(text, checked, options).alias("_object")
+        *keep, F.inline(F.array(F.from_json(text, checked, options)))
     )
-    good = parsed.filter(F.col("_object").isNotNull() & F.col("_object._bad").isNull())
-    return good.select(*keep, *[F.col(f"_object.{f.name}").alias(f.name) for f in fields.fields])
+    return parsed.filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
