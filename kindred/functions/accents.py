@@ -8,29 +8,27 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-@lru_cache(maxsize=1)
-def _marks() -> dict[int, None]:
-    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+def _fold_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    marks: dict[int, None] = {}
 
+    def fold(text: str | None) -> str | None:
+        if text is None or text.isascii():
+            return text
+        if not marks:
+            marks.update(dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))))
+        return unicodedata.normalize("NFKD", text).translate(marks)
 
-def _folded(text: str | None) -> str | None:
-    if text is None or text.isascii():
-        return text
-    return unicodedata.normalize("NFKD", text).translate(_marks())
+    for texts in batches:
+        yield texts.map(fold)
 
 
 def fold_accents(c: Column) -> Column:
     """Plain form of accented and compatibility characters; ASCII rows pass through."""
-
-    @pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(_folded)
-
-    return fold(c)
+    return pandas_udf(_fold_batches, "string")(c)

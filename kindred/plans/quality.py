@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import clean_text
@@ -85,19 +85,22 @@ def quality_checks(raw: DataFrame, processed: DataFrame, clean_col: str = "text_
     null_pct = (
         F.lit(100.0) if missing_clean else F.coalesce(F.avg(F.col(clean_col).isNull().cast("int")) * 100, F.lit(0.0))
     )
+
+    def check(name: str, value: Column, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), value.cast("double").alias("value"), passed.alias("passed"))
+
+    rows = F.col("rows")
     before = raw.agg(F.count("*").alias("rows")).select(
         F.array(
-            F.struct(F.lit("raw_missing_columns").alias("check_name"), F.lit(float(missing_raw)).alias("value"),
-                     F.lit(missing_raw == 0).alias("passed")),
-            F.struct(F.lit("raw_rows"), F.col("rows").cast("double"), F.col("rows") > 0),
+            check("raw_missing_columns", F.lit(missing_raw), F.lit(missing_raw == 0)),
+            check("raw_rows", rows, rows > 0),
         ).alias("checks")
     )
     after = processed.agg(F.count("*").alias("rows"), null_pct.alias("null_pct")).select(
         F.array(
-            F.struct(F.lit("clean_column_missing").alias("check_name"), F.lit(float(missing_clean)).alias("value"),
-                     F.lit(missing_clean == 0).alias("passed")),
-            F.struct(F.lit("processed_rows"), F.col("rows").cast("double"), F.col("rows") > 0),
-            F.struct(F.lit("null_clean_pct"), F.col("null_pct"), F.col("null_pct") <= MAX_NULL_PCT),
+            check("clean_column_missing", F.lit(missing_clean), F.lit(missing_clean == 0)),
+            check("processed_rows", rows, rows > 0),
+            check("null_clean_pct", F.col("null_pct"), F.col("null_pct") <= MAX_NULL_PCT),
         ).alias("checks")
     )
     return before.union(after).select(F.explode("checks").alias("c")).select("c.check_name", "c.value", "c.passed")
