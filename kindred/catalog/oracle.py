@@ -323,14 +323,14 @@ ORACLE["map_first_values"] = f"""
 SELECT 'part_' || k AS row_key, {GENRES} AS category FROM (SELECT p_partkey AS k FROM part)
 UNION ALL SELECT 'event_' || event_id, 'Unknown' FROM events"""
 
-ORACLE["fold_accents_text"] = "SELECT doc_id, strip_accents(text) AS folded FROM documents"
+ORACLE["fold_accents"] = "SELECT doc_id, strip_accents(text) AS folded FROM documents"
 
 _REDUCED = "(SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'What is THE' ELSE text END AS text FROM benchmark)"
 ORACLE["query_fallback"] = f"WITH {asked(_REDUCED)} SELECT query_id, query_text FROM asked"
 
 # --- corpus tables and metrics -----------------------------------------------
 
-ORACLE["preprocess_items"] = f"WITH {ALL_DOCS} SELECT item_id, source, text_clean FROM docs"
+ORACLE["preprocess"] = f"WITH {ALL_DOCS} SELECT item_id, source, text_clean FROM docs"
 
 ORACLE["preprocess_summary"] = f"""WITH {ALL_DOCS}
 SELECT source, count(*) AS n, round(avg(length(text_clean)), 6) AS avg_clean_text_len FROM docs GROUP BY source
@@ -360,7 +360,7 @@ UNION ALL SELECT 'null_clean_pct', 100.0 * count(*) FILTER (text_clean IS NULL)
 
 # --- terms -------------------------------------------------------------------
 
-ORACLE["ngram_terms"] = f"""WITH {DOCS}, tokens AS (SELECT item_id, {_ITEM_WORDS} AS w FROM docs)
+ORACLE["ngrams"] = f"""WITH {DOCS}, tokens AS (SELECT item_id, {_ITEM_WORDS} AS w FROM docs)
 SELECT item_id, array_to_string(list_concat(list_concat(w,
     [w[i] || ' ' || w[i + 1] for i in range(1, length(w))]),
     [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, length(w) - 1)]), '|') AS terms FROM tokens"""
@@ -392,7 +392,7 @@ FROM (SELECT item_id, unnest(range(64)) AS slot FROM docs) LEFT JOIN ivslots USI
 ORACLE["semantic_topk"] = f"""WITH {DOCS}, {asked()}, {SEMANTIC_SCORES}, {self_less('semantic', 10, 's')}
 {final('sbest', 'semantic')}"""
 
-ORACLE["l2_normalize_vectors"] = """
+ORACLE["l2_normalize"] = """
 WITH s AS (SELECT vec_id AS item_id, [x::DOUBLE * (vec_id % 4) for x in embedding] AS v FROM embeddings),
 n AS (SELECT item_id, v, sqrt(list_sum([x * x for x in v])) AS norm FROM s)
 SELECT item_id, CAST(unnest(range(length(v))) AS INTEGER) AS slot,
@@ -415,7 +415,7 @@ ORACLE["model_metrics_dense"] = """
 SELECT CAST(max(length(embedding)) AS INTEGER) AS embedding_dim, count(*) AS embedding_count,
     round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS embedding_norm_mean FROM embeddings"""
 
-ORACLE["recommend_items"] = f"WITH {SPARSE_ALL}, {parity('scores', None, 'r')} {final('rfound', 'tfidf')}"
+ORACLE["recommend"] = f"WITH {SPARSE_ALL}, {parity('scores', None, 'r')} {final('rfound', 'tfidf')}"
 
 
 def both_modes(ctes: str, scores: str, method: str) -> str:
@@ -430,7 +430,7 @@ SEMANTIC_ALL = f"{ALL_DOCS}, {asked()}, {SEMANTIC_SCORES}"
 ORACLE["recommend_semantic_source"] = both_modes(SEMANTIC_ALL, "semantic", "semantic")
 
 # the prefixes of the two scoring chains differ, so they can stand in one statement
-ORACLE["compare_two_methods"] = f"""WITH {SPARSE_ALL}, {SEMANTIC_SCORES},
+ORACLE["compare_methods"] = f"""WITH {SPARSE_ALL}, {SEMANTIC_SCORES},
 {parity('scores', None, 'l')}, {parity('semantic', 'document', 'm')},
 pairs AS (SELECT query_id, rank, l.item_id AS left_item, l.score AS left_score, m.item_id AS right_item, m.score AS right_score
     FROM lfound l FULL JOIN mfound m USING (query_id, rank)),
@@ -441,7 +441,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, left_item, left_score, right_ite
 FROM pairs LEFT JOIN shared USING (query_id)"""
 
 _LABEL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
-ORACLE["cards"] = f"""WITH {SPARSE_ALL}, {parity('scores', None, 'r', 3)}
+ORACLE["result_cards"] = f"""WITH {SPARSE_ALL}, {parity('scores', None, 'r', 3)}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, CASE source {_LABEL} ELSE 'other' END AS label, title,
     substring(authors, 1, 80) AS authors, category, printf('%.4f', score) AS score, upper(source) AS source_tag,
     CASE WHEN length(text) > 280 THEN substring(text, 1, 280) || '...' ELSE text END AS preview

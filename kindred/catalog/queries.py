@@ -36,7 +36,7 @@ LABELS = {"document": "Document", "page": "Web page"}
 
 
 def register(query: Query) -> Query:
-    QUERIES[query.__name__] = query
+    QUERIES[query.__name__.removesuffix("_query")] = query
     return query
 
 
@@ -287,7 +287,7 @@ def map_first_values(spark, sf_dir):
 
 
 @register
-def fold_accents_text(spark, sf_dir):
+def fold_accents_query(spark, sf_dir):
     return document_texts(spark, sf_dir).select("doc_id", fold_accents(F.col("text")).alias("folded"))
 
 
@@ -303,7 +303,7 @@ def query_fallback(spark, sf_dir):
 
 
 @register
-def preprocess_items(spark, sf_dir):
+def preprocess_query(spark, sf_dir):
     return preprocess(corpus(spark, sf_dir)).select("item_id", "source", "text_clean")
 
 
@@ -342,7 +342,7 @@ def quality_checks(spark, sf_dir):
 
 
 @register
-def ngram_terms(spark, sf_dir):
+def ngrams_query(spark, sf_dir):
     words = tokens(F.col("text_clean"), plain=True)
     return clean_documents(spark, sf_dir).select("item_id", F.array_join(ngrams(words, 1, 3), "|").alias("terms"))
 
@@ -420,7 +420,7 @@ def semantic_topk(spark, sf_dir):
 
 
 @register
-def l2_normalize_vectors(spark, sf_dir):
+def l2_normalize_query(spark, sf_dir):
     scaled = F.transform("embedding", lambda x: x * F.pmod(F.col("item_id"), F.lit(4)))
     unit = inputs.item_vectors(spark, sf_dir).select("item_id", l2_normalize(scaled).alias("unit"))
     return unit.select("item_id", F.posexplode("unit").alias("slot", "value")).withColumn("value", F.round("value", 6))
@@ -473,7 +473,7 @@ def dense_topk_ivf_all_cells(spark, sf_dir):
 
 
 @register
-def recommend_items(spark, sf_dir):
+def recommend_query(spark, sf_dir):
     model = _model(spark, sf_dir, corpus)
     return recommend(inputs.query_texts(spark, sf_dir), model, "tfidf").select(*_RANKED)
 
@@ -502,7 +502,7 @@ def recommend_semantic_source(spark, sf_dir):
 
 
 @register
-def compare_two_methods(spark, sf_dir):
+def compare_methods_query(spark, sf_dir):
     model = _model(spark, sf_dir, corpus)
     queries = inputs.query_texts(spark, sf_dir)
     return compare_methods(
@@ -511,7 +511,7 @@ def compare_two_methods(spark, sf_dir):
 
 
 @register
-def cards(spark, sf_dir):
+def result_cards_query(spark, sf_dir):
     model = _model(spark, sf_dir, corpus)
     return result_cards(recommend(inputs.query_texts(spark, sf_dir), model, "tfidf", top_n=3), LABELS)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,13 @@ def assign_cells(vectors: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def topk_cells(
-    queries: DataFrame, assigned: DataFrame, cells: DataFrame, k: int, n_probe: int = 1, below: float | None = None
+    queries: DataFrame,
+    assigned: DataFrame,
+    cells: DataFrame,
+    k: int,
+    n_probe: int = 1,
+    below: float | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(query_id, item_id, score, rank) from the ``n_probe`` nearest cells of each query.
 
@@ -85,6 +91,6 @@ def topk_cells(
         return {int(cell_ids[c]): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
 
     def one_pass(block: DataFrame) -> DataFrame:
-        return rank_items(score_block(block, assigned, k, below, probes), k)
+        return rank_items(score_block(encode(block) if encode else block, assigned, k, below, probes), k)
 
     return by_blocks(queries, "query_id", DENSE_BLOCK, one_pass)

@@ -21,8 +21,11 @@ SELF_SCORE = 0.9999  # fixed value: at this score and above an item is the query
 DIGITS = 6
 _UNITS = 10**DIGITS
 
-SPARSE_BLOCK = 2_000  # queries per broadcast block
+# Queries per block. A cleaned query has at most 1,000 characters and so fewer
+# than 1,000 terms, a dense one as many numbers as the vectors are wide.
+SPARSE_BLOCK = 2_000
 DENSE_BLOCK = 4_096
+
 _CELL_BUDGET = 4_000_000  # scores held at once in a task: 32 MB
 
 
@@ -188,13 +191,20 @@ def score_block(
     return vectors.select(*columns).mapInArrow(_scorer(ids, matrix, k, below, cells), schema)
 
 
-def topk_dense(queries: DataFrame, vectors: DataFrame, k: int, below: float | None = None) -> DataFrame:
+def topk_dense(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    below: float | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(query_id, item_id, score, rank) by inner product, compared exactly.
 
-    ``queries`` is (query_id, embedding), ``vectors`` is (item_id, embedding).
+    ``vectors`` is (item_id, embedding). ``queries`` is (query_id, embedding),
+    or anything that ``encode`` turns into that, block by block.
     """
 
     def one_pass(block: DataFrame) -> DataFrame:
-        return rank_items(score_block(block, vectors, k, below), k)
+        return rank_items(score_block(encode(block) if encode else block, vectors, k, below), k)
 
     return by_blocks(queries, "query_id", DENSE_BLOCK, one_pass)

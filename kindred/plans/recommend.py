@@ -70,12 +70,15 @@ def nearest(
         items = items.join(wanted, "item_id", "left_semi")
     if method == "tfidf":
         return topk_sparse(lambda block: model.query_terms(block, "query_text"), ready, items, k, below)
-    asked = model.query_vectors(ready, "text")
+
+    def encode(block: DataFrame) -> DataFrame:
+        return model.query_vectors(block, "text")
+
     if n_probe is None:
-        return topk_dense(asked, items, k, below)
+        return topk_dense(ready, items, k, below, encode)
     if model.cells is None:
         raise ValueError("this model has no cells; fit it with n_cells or leave n_probe out")
-    return topk_cells(asked, items, model.cells, k, n_probe, below)
+    return topk_cells(ready, items, model.cells, k, n_probe, below, encode)
 
 
 def similar_items(queries: DataFrame, model: Model, method: str, top_n: int = 10, n_probe: int | None = None) -> DataFrame:
