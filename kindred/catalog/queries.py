@@ -389,19 +389,19 @@ _RANKED = ("query_id", "rank", "item_id", "similarity_score", "method")
 
 @register
 def tfidf_transform_queries(spark, sf_dir):
-    model = _model(spark, sf_dir)
+    model = _model(spark, sf_dir, encoder=None)
     queries = inputs.query_texts(spark, sf_dir).withColumn("text", query_text(F.col("text")))
     return model.query_terms(queries).withColumn("weight", F.round("weight", 6))
 
 
 @register
 def tfidf_topk(spark, sf_dir):
-    return similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir), "tfidf", 10).select(*_RANKED)
+    return similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir, encoder=None), "tfidf", 10).select(*_RANKED)
 
 
 @register
 def topk_with_metadata(spark, sf_dir):
-    answers = similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir), "tfidf", 3)
+    answers = similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir, encoder=None), "tfidf", 3)
     return answers.select(*_RANKED, "title", "authors", "category", "source")
 
 
@@ -474,14 +474,14 @@ def dense_topk_ivf_all_cells(spark, sf_dir):
 
 @register
 def recommend_query(spark, sf_dir):
-    model = _model(spark, sf_dir, corpus)
+    model = _model(spark, sf_dir, corpus, encoder=None)
     return recommend(inputs.query_texts(spark, sf_dir), model, "tfidf").select(*_RANKED)
 
 
 @register
 def recommend_source_filter(spark, sf_dir):
     """Both modes side by side; they differ where over-fetching misses pages."""
-    model = _model(spark, sf_dir, corpus)
+    model = _model(spark, sf_dir, corpus, encoder=None)
     queries = inputs.query_texts(spark, sf_dir)
     modes = [
         recommend(queries, model, "tfidf", source="page", mode=mode).select(F.lit(mode).alias("mode"), *_RANKED)
@@ -512,7 +512,7 @@ def compare_methods_query(spark, sf_dir):
 
 @register
 def result_cards_query(spark, sf_dir):
-    model = _model(spark, sf_dir, corpus)
+    model = _model(spark, sf_dir, corpus, encoder=None)
     return result_cards(recommend(inputs.query_texts(spark, sf_dir), model, "tfidf", top_n=3), LABELS)
 
 

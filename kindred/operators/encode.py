@@ -26,33 +26,33 @@ def encode_with(
     return encoded.select(key, vector.cast("array<float>").alias("embedding"))
 
 
-def _entry(word: Column, dim: int) -> Column:
-    """Slot and sign of a word, from its hash."""
+def _slot_and_sign(word: Column, dim: int) -> tuple[Column, Column]:
+    """Place and sign of a word, from its hash."""
     digest = F.md5(word)
     slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
-    return F.struct(slot.alias("slot"), sign.alias("value"))
+    return slot, F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
 
 
 def hashed_vectors(docs: DataFrame, key: str, text_col: str, dim: int = 64, plain: bool = True) -> DataFrame:
     """(key, embedding) by signed feature hashing of words, unit length.
 
     The encoder that needs no model. One shuffle on the key; both
-    aggregations follow from it in place. Each text also gives out a zero for
-    every slot, so the sorted slots are the vector, and a text without words
-    has the zero vector.
+    aggregations follow from it in place. A text without words, or whose words
+    cancel out, has the zero vector.
     """
-    words = gather(docs, key, text_col).select(key, tokens(F.col(text_col), plain).alias("_words"))
-    zeros = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.struct(i.alias("slot"), F.lit(0.0).alias("value"))
-    )
-    entries = words.select(key, F.inline(F.concat(F.transform("_words", lambda w: _entry(w, dim)), zeros)))
-    slots = entries.groupBy(key, "slot").agg(F.sum("value").alias("value"))
-    full = slots.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("_slots"),
-        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"),
+    words = gather(docs, key, text_col).select(key, F.explode_outer(tokens(F.col(text_col), plain)).alias("_word"))
+    slot, sign = _slot_and_sign(F.col("_word"), dim)
+    slots = words.groupBy(key, slot.alias("slot")).agg(F.sum(sign).alias("value"))
+    # a text without words has one row without a slot, which the list leaves out
+    entries = F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "value")))
+    sums = slots.groupBy(key).agg(
+        F.struct(
+            F.map_from_entries(entries).alias("_sums"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm")
+        ).alias("_text")
     )
+    # inline keeps the map from being built again for each slot that is looked up
     unit = F.transform(
-        "_slots", lambda e: F.when(F.col("_norm") > 0, e["value"] / F.col("_norm")).otherwise(0.0).cast("float")
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.coalesce(F.try_divide(F.try_element_at("_sums", i), F.col("_norm")), F.lit(0.0)).cast("float"),
     )
-    return full.select(key, unit.alias("embedding"))
+    return sums.select(key, F.inline(F.array("_text"))).select(key, unit.alias("embedding"))

@@ -40,7 +40,7 @@ class Model:
     vectors: DataFrame | None = None
     cells: DataFrame | None = None
     terms: TermOptions = TermOptions()
-    encoder: Encoder = hashed_vectors
+    encoder: Encoder | None = hashed_vectors
 
     def query_terms(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, term, weight) of new texts in the fitted vocabulary."""
@@ -75,24 +75,29 @@ def fit_model(
     text_col: str = "text_clean",
     terms: TermOptions | None = TermOptions(),
     vectors: DataFrame | None = None,
-    encoder: Encoder = hashed_vectors,
+    encoder: Encoder | None = hashed_vectors,
     n_cells: int | None = None,
     metadata: DataFrame | None = None,
 ) -> Model:
-    """Fit all model tables to cleaned items.
+    """Fit the model tables to cleaned items.
 
     Cleaned texts, short however long the items are, are written once and
     every pass reads them back. ``encoder`` makes vectors of items and queries,
     by feature hashing unless it is given; vectors that exist already are taken
-    from ``vectors`` (item_id, embedding). Cells are trained only if ``n_cells``
-    is given and the collection is large enough for them. ``metadata`` may be a table of raw items: answers pick the fitted ones.
+    from ``vectors`` (item_id, embedding). No item is encoded twice: vectors
+    are written, too. ``terms`` or ``encoder`` of None leaves that part out.
+    Cells are trained only if ``n_cells`` is given and the collection is large
+    enough for them. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
     docs = written(items.select("item_id", text_col), "cleaned")
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, postings = fit_terms(docs, "item_id", text_col, terms)
         model = replace(model, vocab=vocab, postings=postings, terms=terms)
-    vectors = encoder(docs, "item_id", text_col) if vectors is None else vectors
+    if vectors is None:
+        if encoder is None:
+            return model
+        vectors = written(encoder(docs, "item_id", text_col), "vectors")
     if n_cells is not None and use_cells(vectors.count(), n_cells):
         cells = train_cells(vectors, n_cells)
         return replace(model, vectors=assign_cells(vectors, cells), cells=cells)
@@ -121,6 +126,8 @@ def save_model(model: Model, path: str, posting_buckets: int = 8, cell_files: in
         model.vocab.sparkSession.range(1).select(F.lit(posting_buckets).alias("posting_buckets")).write.mode(
             "overwrite"
         ).parquet(f"{path}/layout")
+    if model.vectors is None:
+        return
     if model.cells is None:
         model.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
         return
@@ -139,9 +146,13 @@ def load_model(
     path: str,
     with_cells: bool = False,
     terms: TermOptions | None = TermOptions(),
-    encoder: Encoder = hashed_vectors,
+    encoder: Encoder | None = hashed_vectors,
 ) -> Model:
-    """The tables written by ``save_model``; postings keep their buckets."""
+    """The tables written by ``save_model``; postings keep their buckets.
+
+    ``terms`` or ``encoder`` of None leaves that part out. Queries are encoded
+    by ``encoder``, which has to be the one the model was fitted with.
+    """
     path = path.rstrip("/")
     model = Model(metadata=spark.read.parquet(f"{path}/metadata"), encoder=encoder)
     if terms is not None:
@@ -152,5 +163,7 @@ def load_model(
             f"CLUSTERED BY (item_id) INTO {buckets} BUCKETS LOCATION '{path}/postings'"
         )
         model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), postings=spark.table(name), terms=terms)
+    if encoder is None:
+        return model
     cells = spark.read.parquet(f"{path}/cells") if with_cells else None
     return replace(model, vectors=spark.read.parquet(f"{path}/vectors"), cells=cells)

@@ -65,6 +65,8 @@ def nearest(
         raise ValueError(f"method is one of {METHODS}")
     ready = ready_queries(queries)
     items = model.postings if method == "tfidf" else model.vectors
+    if items is None:
+        raise ValueError(f"this model was fitted without the tables of method {method}")
     if source is not None:
         wanted = model.metadata.filter(F.col("source") == source).select("item_id")
         items = items.join(wanted, "item_id", "left_semi")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -196,6 +197,12 @@ def test_hashed_vectors(spark):
     got = {r["item_id"]: r["embedding"] for r in hashed_vectors(docs, "item_id", "t", 32).collect()}
     assert got["a"] == got["c"] and got["b"] == [0.0] * 32
     assert math.isclose(sum(x * x for x in got["a"]), 1, abs_tol=1e-6)
+    # one slot: words of opposite sign cancel out
+    words = [f"word{i}" for i in range(20)]
+    sign = {w: hashlib.md5(w.encode()).hexdigest()[8] < "8" for w in words}
+    pair = next(w for w in words if sign[w]) + " " + next(w for w in words if not sign[w])
+    cancelled = spark.createDataFrame([("a", pair)], "item_id string, t string")
+    assert hashed_vectors(cancelled, "item_id", "t", 1).first()["embedding"] == [0.0]
 
 
 def test_user_encoder(items, questions):
