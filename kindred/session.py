@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: tempfile.TemporaryDirectory | None = None
+_own_roots: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred") -> SparkSession:
-    """A single-JVM session for tests and benchmarks."""
-    return (
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred", shared: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and benchmarks; ``shared`` is its ``spark.checkpoint.dir``."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.host", "127.0.0.1")
@@ -22,36 +24,57 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    ``spark.checkpoint.dir`` names it. Where that is unset, written tables go to
+    a folder of this session in the warehouse, which executors share as well; it
+    is removed when the JVM ends.
     """
-    global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_root is None:
-        _local_root = tempfile.TemporaryDirectory(prefix="kindred-")
-    return _local_root.name
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _own_roots[app] = root
+    return _own_roots[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of each query as soon as it has run."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with a table that outlives any executor, and unlike
     ``checkpoint()`` keeps column pruning for the passes that follow.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ from kindred.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, shuffle_partitions=4, app="tests")
+def spark(tmp_path_factory):
+    shared = f"file://{tmp_path_factory.mktemp('shared')}"
+    session = local_session(cores=8, shuffle_partitions=4, app="tests", shared=shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
