@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, language, mixing, quality, repeats, secrets, tokens, urls
+from kindred.llm import chat, jaccard, language, mixing, quality, repeats, secrets, tokens, urls
 from kindred.llm.words import word_count
 from kindred.sources.files import read_table
 
@@ -83,6 +83,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), spec)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -91,7 +95,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
-        op10_suffix_dedup,
+        op9_jaccard_join, op10_suffix_dedup,
     )
 }
 LLM_ORACLE: dict[str, str] = {}
