@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, jaccard, language, mixing, quality, repeats, secrets, tokens, urls
+from kindred.llm import chat, decontaminate, jaccard, language, mixing, quality, repeats, secrets, tokens, urls
 from kindred.llm.words import word_count
 from kindred.sources.files import read_table
 
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"))
     return book.select(
@@ -94,7 +98,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
+        op1_decontaminate, op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
         op9_jaccard_join, op10_suffix_dedup,
     )
 }
