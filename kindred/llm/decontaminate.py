@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kindred.llm.bytehash import Prefixes, blocks, mixed, words
 
@@ -153,13 +154,13 @@ def edit_distances(item: np.ndarray, word: np.ndarray, low: np.ndarray, high: np
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pairs of documents and benchmark items that stand in them, up to a few edits.
 
-    ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
+    ``docs`` has the ``key`` columns and ``text``, ``benchmark`` has ``item_id`` and
     ``text``. An item of n words (8 or more) stands in a text if some stretch of
     the text turns into it by at most n/5 insertions, deletions and substitutions
-    of words. Returns ``doc_id``, ``item_id``, ``item_words`` and ``distance``,
+    of words. Returns the key, ``item_id``, ``item_words`` and ``distance``,
     one row for each row of ``docs`` and item that meet; every row is verified,
     and exact copies are never missed. Recall of edited copies is high, not whole:
     see the README.
@@ -171,19 +172,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     portions = max(1, -(-size // ITEM_BYTES))
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    out = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words long, distance long"
+    out = StructType([*(docs.schema[c] for c in key), benchmark.schema["item_id"], StructField("item_words", LongType()), StructField("distance", LongType())])
     found = spark.createDataFrame([], out)
     for portion in range(portions):
         own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == portion)
         # No more than about ITEM_BYTES of items.
         items = own.select("item_id", "text").collect()
         index = spark.sparkContext.broadcast(ItemIndex.build([r["item_id"] for r in items], [r["text"] for r in items]))
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_search(index, to_arrow_type(benchmark.schema["item_id"].dataType)), out))
+        found = found.unionByName(docs.select(*key, "text").mapInArrow(_search(index, to_arrow_type(benchmark.schema["item_id"].dataType), key), out))
     return found
 
 
-def _search(index, item_type: pa.DataType) -> Callable:  # noqa: ANN001
+def _search(index, item_type: pa.DataType, key: tuple[str, ...]) -> Callable:  # noqa: ANN001
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = index.value
         for batch in batches:
@@ -209,11 +209,11 @@ def _search(index, item_type: pa.DataType) -> Callable:  # noqa: ANN001
                 rows = sorted(best.items())
                 yield pa.record_batch(
                     [
-                        batch["doc_id"].take(pa.array([first + k for (k, _), _ in rows], pa.int64())),
+                        *(batch[c].take(pa.array([first + k for (k, _), _ in rows], pa.int64())) for c in key),
                         pa.array([items.ids[i] for (_, i), _ in rows], item_type),
                         pa.array([len(items.words[i]) for (_, i), _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.int64()),
                     ],
-                    ["doc_id", "item_id", "item_words", "distance"],
+                    [*key, "item_id", "item_words", "distance"],
                 )
 
     return search

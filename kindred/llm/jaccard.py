@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, words
 from kindred.llm.components import components
+from kindred.llm.words import WORD
 from kindred.session import written
 
 FREQUENT = 16  # a token that so many sets show in their prefix is indexed in combinations
@@ -27,14 +28,20 @@ _FIRST = -(2**63)
 
 
 def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of ``jaccard_groups``."""
+    return jaccard_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Groups of documents that chains of links connect.
 
     ``docs`` has ``doc_id`` and ``text``. A text's set holds its distinct
     ``size``-word shingles, A-Z in lower case; with fewer words the whole
     sequence is the only one, without words the set is empty. Two documents link
     if 100 times the common shingles reach ``percent`` times all of both.
-    Returns ``doc_id``, ``n_shingles`` and ``component_id`` (smallest id of the
-    group), one row per input row.
+    Returns ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the
+    group), ``digest`` (hash of the text) and ``label`` (a number of the group,
+    null for an empty set), one row per input row.
 
     Texts with equal sets are one node, so copies are never compared. Candidates
     are first compared with one hub of their index entry; what the hubs connect
@@ -45,9 +52,9 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     id and different texts are separate nodes. Null ids take part; a group that
     has no other id gets null.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "text", F.xxhash64("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, n long, mark long, prefix array<long>")
+    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark long, prefix array<long>")
     seen = written(seen, "jaccard-prefixes")
     sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix")).alias("s"))
     sets = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-sets")
@@ -64,12 +71,28 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = sets.select("mark", "id").join(groups, "id", "left").select("mark", F.coalesce("label", "id").alias("label"))
     nodes = written(nodes.join(least, "mark"), "jaccard-nodes")
     roots = nodes.groupBy("label").agg(F.min("own").alias("component_id"))
-    found = nodes.join(roots, "label").select("mark", "component_id")
-    full = seen.filter("n > 0").join(found, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = seen.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = nodes.join(roots, "label").select("mark", "label", "component_id")
+    full = seen.filter("n > 0").join(found, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", "label")
+    empty = seen.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest", F.lit(None).cast("long").alias("label"))
     return full.unionByName(empty)
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group: of the smallest id, then of the smallest hash of its text.
+
+    Texts without words stay, as they link with nothing. Rows with the same id
+    and text are copies of each other. All columns are kept.
+    """
+    groups = jaccard_groups(docs, size, percent).filter("label IS NOT NULL")
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("_doc"), F.col("digest").alias("_digest"))
+    first = groups.groupBy("label").agg(F.min(place).alias("f")).select("f.*")
+    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long")).withColumn("_digest", F.xxhash64("text"))
+    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    copy = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy("_doc"))
+    kept = marked.filter(has_words).join(first, ["_doc", "_digest"], "left_semi").withColumn("_copy", copy).filter("_copy = 1")
+    return kept.select(docs.columns).unionByName(docs.filter(~has_words))
+
+
 def _index(sets: DataFrame) -> DataFrame:
     """Index entries (``key``, ``id``) that at least two sets have, and how common their tokens are."""
     tokens = sets.select("id", F.explode(F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))).alias("t"))
@@ -197,8 +220,8 @@ def _prefixes(size: int, percent: int) -> Callable:
                 prefixes.append(tokens[: gaps + apart + 2] if n and mark not in known else None)
                 known.add(mark)
             yield pa.record_batch(
-                [batch["doc_id"], batch["doc"], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "doc", "n", "mark", "prefix"],
+                [batch["doc_id"], batch["doc"], batch["digest"], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "doc", "digest", "n", "mark", "prefix"],
             )
 
     return read

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kindred.llm.bytehash import blocks
 
@@ -135,8 +136,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: list[str], text: str = "
             yield pa.record_batch([*kept, pa.array(languages[best].tolist(), pa.string()), pa.array(high, pa.float64())], names)
 
     names = [*key, "lang_pred", "score"]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in key)
-    out = f"{types}, lang_pred string, score double"
+    out = StructType([*(docs.schema[c] for c in key), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.select(*dict.fromkeys([*key, text])).mapInArrow(score, out)
 
 

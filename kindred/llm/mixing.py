@@ -93,3 +93,10 @@ def _same_source(left: DataFrame, right: DataFrame, also: Column, drop: list[str
     found = left.alias("l").join(right.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & also)
     keep = [f"l.{c}" for c in left.columns] + [f"r.{c}" for c in right.columns if c not in ("source", *drop)]
     return found.select(*keep)
+
+
+def labelled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with ``quality_weight``: 2 if labelled good, 0.5 if labelled bad, else 1."""
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    return docs.join(known, "doc_id", "left").withColumn("quality_weight", weight)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +33,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sampling_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with ``quality_weight``: 2 if labelled good, 0.5 if labelled bad, else 1."""
-    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    return docs.join(known, "doc_id", "left").withColumn("quality_weight", weight)
-
-
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    weighed = sampling_quality(docs, table(spark, sf_dir, "labels"))
+    weighed = mixing.labelled_quality(docs, table(spark, sf_dir, "labels"))
     return mixing.mix(weighed, F.col("size"), F.col("quality_weight"))
 
 
@@ -95,11 +89,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
-        op9_jaccard_join, op10_suffix_dedup,
+        op9_jaccard_join, op10_suffix_dedup, pipeline,
     )
 }
 LLM_ORACLE: dict[str, str] = {}
