@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.bytehash import Prefixes, blocks
+from kindred.llm.bytehash import Prefixes, blocks, mixed
 from kindred.session import written
 
 SEED = 16
 _PLACE = 40  # bits of a place in a text; above them stands the tag of its row
+_SETTLED = 1 << 62  # marks a place that its own batch has settled
 _LAST = 2**63 - 1
 _NEVER = np.uint64(2**64 - 1)
 
@@ -58,9 +59,8 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     ranked = seeds.withColumns(
         {"first": F.min("doc").over(same), "low": F.min("around").over(alone), "high": F.max("around").over(alone)}
     )
-    # A seed of its own task is settled there already; it comes with a null seed.
-    settled = F.col("seed").isNull() | (F.col("doc") > F.col("first"))
-    found = ranked.select("doc", "place", settled.alias("settled")).filter(settled | (F.col("low") < F.col("high")))
+    settled = (F.col("place") >= _SETTLED) | (F.col("doc") > F.col("first"))
+    found = ranked.select("doc", F.col("place").bitwiseAND(F.lit(_SETTLED - 1)).alias("place"), settled.alias("settled")).filter(settled | (F.col("low") < F.col("high")))
     found = written(found, "repeats-seeds")
 
     open_ = _gathered(found.filter("NOT settled"))
@@ -109,8 +109,8 @@ def _sampled(size: int) -> Callable:
     """Sampled positions of whole texts, by seed and surroundings.
 
     Of those that agree in both inside one batch only the smallest document is
-    sent on to be ranked; the others are settled, which the null seed says. So
-    a group of copies sends one row from each batch, not one from each copy.
+    sent on to be ranked; the others are marked as settled, and dealt out at
+    random. So a group of copies sends one row from each batch to be ranked.
     """
     starts = size - SEED + 1
 
@@ -143,10 +143,10 @@ def _sampled(size: int) -> Callable:
             new = np.ones(len(doc), bool)
             new[1:] = around[1:] != around[:-1]
             later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else new
-            # Settled rows are dealt out by a surrounding of their own, so as not to meet in one task.
-            around[later] = np.arange(later.sum(), dtype=np.uint64)
+            seed[later] = mixed(around[later] ^ mixed(doc[later].view(np.uint64)))
+            place[later] |= _SETTLED
             yield pa.record_batch(
-                [pa.array(seed.view(np.int64), mask=later), pa.array(around.view(np.int64)), pa.array(doc), pa.array(place)],
+                [pa.array(seed.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), pa.array(place)],
                 ["seed", "around", "doc", "place"],
             )
 
