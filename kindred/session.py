@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_written_to: dict[int, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -77,4 +78,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     with dropping_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written_to[id(table)] = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Remove a table that ``written`` returned and that nothing will read again."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_written_to.pop(id(table)))
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
