@@ -15,13 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, words
 from kindred.llm.components import components
 from kindred.llm.words import WORD
-from kindred.session import written
+from kindred.session import forget, written
 
 FREQUENT = 16  # a token that so many sets show in their prefix is indexed in combinations
 _FIRST = -(2**63)
@@ -58,11 +58,13 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     seen = written(seen, "jaccard-prefixes")
     sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix")).alias("s"))
     sets = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-sets")
+    prefixed, seen = seen, written(seen.drop("doc", "prefix"), "jaccard-rows")
+    forget(prefixed)
 
     entries = written(_index(sets), "jaccard-index")
     links = _hub_links(entries, sets, rows, size, percent)
     groups = written(components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "label"), "jaccard-groups")
-    apart = _still_apart(entries, sets, groups, percent)
+    apart = _still_apart(entries, groups, percent)
     more = _verified(apart, sets, rows, size, percent)
     if not more.isEmpty():
         groups = components(links.unionByName(more)).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
@@ -94,13 +96,13 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """Index entries (``key``, ``id``) that at least two sets have, and how common their tokens are."""
-    tokens = sets.select("id", F.explode(F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))).alias("t"))
-    tokens = tokens.select("id", F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
+    """Index entries (``key``, ``id``, size ``n``) of tokens that at least two sets have, and how common their tokens are."""
+    tokens = sets.select("id", "n", F.explode(F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))).alias("t"))
+    tokens = tokens.select("id", "n", F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
     shared = written(tokens.groupBy("token").count().filter("count > 1"), "jaccard-tokens")
     pair = F.when(F.col("next").isNotNull(), F.xxhash64("token", "next"))
     key = F.when(F.col("count") < FREQUENT, F.col("token")).otherwise(pair)
-    return tokens.join(shared, "token").select(key.alias("key"), "id", "count").filter("key IS NOT NULL")
+    return tokens.join(shared, "token").select(key.alias("key"), "id", "n", "count").filter("key IS NOT NULL")
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -110,26 +112,33 @@ def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int,
     with the fewest words of its own.
     """
     common = written(entries.groupBy("id").agg(F.sum("count").alias("common")), "jaccard-common")
-    weighed = entries.join(common, "id").select("key", "id", "common")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("common", "id")).alias("hub"), F.count("*").alias("n"))
-    hubs = hubs.filter("n > 1").select("key", F.col("hub.id").alias("hub"))
-    pairs = entries.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    weighed = entries.join(common, "id").select("key", "id", "n", "common")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("common", "id", "n")).alias("hub"), F.count("*").alias("times"))
+    hubs = hubs.filter("times > 1").select("key", "hub")
+    alike = _sizes_allow("n", "hub.n", percent)
+    pairs = entries.join(hubs, "key").filter("id <> hub.id").filter(alike)
+    pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
     return _verified(pairs.distinct(), sets, rows, size, percent)
 
 
-def _still_apart(entries: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _still_apart(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets with a common entry that no chain of links connects yet."""
-    placed = entries.select("key", "id").join(sets.select("id", "n").join(groups, "id", "left"), "id")
+    placed = entries.join(groups, "id", "left")
     placed = placed.select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     placed = written(placed.join(split, "key"), "jaccard-apart")
     met = placed.alias("x").join(
         placed.alias("y"),
-        F.expr(f"x.key = y.key AND x.label <> y.label AND x.id < y.id AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"),
+        F.expr("x.key = y.key AND x.label <> y.label AND x.id < y.id") & _sizes_allow("x.n", "y.n", percent),
     )
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _sizes_allow(x: str, y: str, percent: int) -> Column:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that reach the threshold: by their prefixes at first, then by whole sets."""
     pairs = written(_compared(pairs, sets.select("id", "n", F.col("prefix").alias("set")), _possible(percent)), "jaccard-pairs")
@@ -137,7 +146,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, per
     wanted = sets.select("id", "mark", "doc").join(wanted, "id", "left_semi")
     texts = rows.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("mark", "id")).alias("marks")), "doc").select("text", "marks")
     whole = written(texts.mapInArrow(_whole(size), "id long, n long, set array<long>"), "jaccard-whole")
-    return written(_compared(pairs, whole, _reached(percent)), "jaccard-links")
+    links = written(_compared(pairs, whole, _reached(percent)), "jaccard-links")
+    forget(whole)
+    return links
 
 
 def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame:
@@ -155,8 +166,6 @@ def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame
 def _possible(percent: int) -> Callable:
     """Whether two prefixes leave room for the threshold: they may not differ by more than whole sets may."""
     def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-        if 100 * min(nx, ny) < percent * max(nx, ny):
-            return False
         ends = [s[-1] for s, n in ((x, nx), (y, ny)) if len(s) < n]
         if ends:
             x, y = x[: np.searchsorted(x, min(ends), "right")], y[: np.searchsorted(y, min(ends), "right")]

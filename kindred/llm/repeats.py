@@ -60,7 +60,8 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         {"first": F.min("doc").over(same), "low": F.min("around").over(alone), "high": F.max("around").over(alone)}
     )
     settled = (F.col("place") >= _SETTLED) | (F.col("doc") > F.col("first"))
-    found = ranked.select("doc", F.col("place").bitwiseAND(F.lit(_SETTLED - 1)).alias("place"), settled.alias("settled")).filter(settled | (F.col("low") < F.col("high")))
+    found = ranked.withColumn("settled", settled).filter(F.col("settled") | (F.col("low") < F.col("high")))
+    found = found.select("doc", F.col("place").bitwiseAND(F.lit(_SETTLED - 1)).alias("place"), "settled")
     found = written(found, "repeats-seeds")
 
     open_ = _gathered(found.filter("NOT settled"))
