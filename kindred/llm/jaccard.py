@@ -1,12 +1,11 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Sets are sorted by a hash of their tokens. If two sets reach the threshold, they
-differ in at most ``d`` tokens, so among the first ones of either, as many as
-``gaps + d + 2``, some two neighbours are common to both and neighbours in both
-(``gaps`` bounds the tokens of one set that the other lacks). It is enough
-therefore to index each token of that prefix by itself while it is rare, and
-by the combination with its neighbour once it is frequent. Frequent tokens, such
-as those of a line that many documents share, meet only where both neighbours do.
+Sets are sorted by a hash of their tokens. Two sets that reach the threshold
+differ in few tokens, so among their first ones some two neighbours are common to
+both and neighbours in both; how many are enough follows from the threshold alone
+(``_prefix_length``). Each token of such a prefix is indexed by itself while it is
+rare, and by the combination with its neighbour once it is frequent. What is still
+common to many sets is indexed by longer combinations over longer prefixes.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from kindred.llm.words import WORD
 from kindred.session import forget, written
 
 FREQUENT = 16  # a token that so many sets show in their prefix is indexed in combinations
+WIDE = 64  # an entry of more sets is split by longer combinations before pairs are formed
 _FIRST = -(2**63)
 
 
@@ -54,17 +54,19 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "text", F.xxhash64("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark long, prefix array<long>")
+    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark long, prefix array<long>, sketch array<int>")
     seen = written(seen, "jaccard-prefixes")
-    sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix")).alias("s"))
-    sets = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-sets")
-    prefixed, seen = seen, written(seen.drop("doc", "prefix"), "jaccard-rows")
-    forget(prefixed)
+    sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix", "sketch")).alias("s"))
+    prefixes = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-prefixes")
+    with_prefixes, seen = seen, written(seen.drop("doc", "prefix", "sketch"), "jaccard-rows")
+    forget(with_prefixes)
+    entries = written(_index(prefixes), "jaccard-index")
+    sets = written(prefixes.drop("prefix"), "jaccard-sets")
+    forget(prefixes)
 
-    entries = written(_index(sets), "jaccard-index")
     links = _hub_links(entries, sets, rows, size, percent)
     groups = written(components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "label"), "jaccard-groups")
-    apart = _still_apart(entries, groups, percent)
+    apart = _still_apart(entries, sets, groups, rows, size, percent)
     more = _verified(apart, sets, rows, size, percent)
     if not more.isEmpty():
         groups = components(links.unionByName(more)).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
@@ -121,17 +123,58 @@ def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int,
     return _verified(pairs.distinct(), sets, rows, size, percent)
 
 
-def _still_apart(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets with a common entry that no chain of links connects yet."""
-    placed = entries.join(groups, "id", "left")
-    placed = placed.select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    placed = written(placed.join(split, "key"), "jaccard-apart")
-    met = placed.alias("x").join(
-        placed.alias("y"),
-        F.expr("x.key = y.key AND x.label <> y.label AND x.id < y.id") & _sizes_allow("x.n", "y.n", percent),
-    )
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _still_apart(entries: DataFrame, sets: DataFrame, groups: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of sets with a common entry that no chain of links connects yet.
+
+    Entries of many sets are those of widely shared passages. There all tokens
+    are frequent, so these sets are indexed anew by longer combinations, over a
+    prefix long enough to hold one; only sets too small for that are compared as
+    they are.
+    """
+    placed = _labelled(entries.select("key", "id", "n"), groups)
+    few = placed.filter(F.col("times") <= WIDE)
+    many = placed.filter(F.col("times") > WIDE)
+    run = _run_length(percent)
+    small = F.expr(f"{_prefix_length('n', percent, run)} > n")
+    again = many.filter(~small).select("id").distinct()
+    longer = _texts(sets.join(again, "id", "left_semi"), rows).mapInArrow(_runs(size, percent, run), "key long, id long, n long")
+    longer = _labelled(written(longer, "jaccard-runs"), groups)
+    tiny = many.withColumn("small", small)
+    met = _met(few, percent).union(_met(longer, percent)).union(_met(tiny, percent, F.col("x.small") | F.col("y.small")))
+    return met.distinct()
+
+
+def _labelled(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries whose sets are not all of one group, with their group and the number of sets."""
+    held = entries.groupBy("key").count().filter("count > 1").select("key")
+    placed = entries.join(held, "key").join(groups, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    placed = written(placed, "jaccard-labelled")
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"))
+    return written(placed.join(split.filter("low < high").select("key", "times"), "key"), "jaccard-apart")
+
+
+def _met(placed: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
+    """Pairs of sets of different groups that an entry brings together."""
+    apart = F.expr("x.key = y.key AND x.label <> y.label AND x.id < y.id") & _sizes_allow("x.n", "y.n", percent)
+    met = placed.alias("x").join(placed.alias("y"), apart if also is None else apart & also)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _run_length(percent: int) -> int:
+    """Tokens of a longer combination: four, or three where their prefix would not fit most sets."""
+    return 4 if _prefix_length(100, percent, 4) <= 100 else 3
+
+
+def _prefix_length(n: int | str, percent: int, run: int) -> int | str:
+    """Tokens after which two sets that reach the threshold have ``run`` neighbours in common.
+
+    ``gaps`` bounds the tokens of one set that the other lacks, ``apart`` those
+    of both. What is common, in order, is cut by those ``apart`` into as many
+    runs and one more; if none is longer than ``run - 1``, there are too few.
+    """
+    if isinstance(n, str):
+        return f"({n} - ({percent} * {n} + 99) DIV 100 + {run - 1} * ({100 - percent} * {n} DIV {percent} + 1) + 1)"
+    return n - -(-percent * n // 100) + (run - 1) * ((100 - percent) * n // percent + 1) + 1
 
 
 def _sizes_allow(x: str, y: str, percent: int) -> Column:
@@ -140,17 +183,23 @@ def _sizes_allow(x: str, y: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that reach the threshold: by their prefixes at first, then by whole sets."""
-    pairs = written(_compared(pairs, sets.select("id", "n", F.col("prefix").alias("set")), _possible(percent)), "jaccard-pairs")
+    """Pairs that reach the threshold: by their first tokens, by parts of all tokens, then by whole sets."""
+    pairs = written(_compared(pairs, sets.select("id", "n", F.col("sketch").alias("set")), _possible(percent)), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = sets.select("id", "mark", "doc").join(wanted, "id", "left_semi")
-    texts = rows.join(wanted.groupBy("doc").agg(F.collect_list(F.struct("mark", "id")).alias("marks")), "doc").select("text", "marks")
-    whole = written(texts.mapInArrow(_whole(size), "id long, n long, set array<long>"), "jaccard-whole")
-    links = written(_compared(pairs, whole, _reached(percent)), "jaccard-links")
+    texts = _texts(sets.join(wanted, "id", "left_semi"), rows)
+    whole = written(texts.mapInArrow(_whole(size), "id long, n long, set array<long>, brief array<short>"), "jaccard-whole")
+    likely = written(_compared(pairs, whole.select("id", "n", F.col("brief").alias("set")), _likely(percent)), "jaccard-likely")
+    links = written(_compared(likely, whole, _reached(percent)), "jaccard-links")
     forget(whole)
     return links
 
 
+def _texts(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Texts of some sets, with the marks and ids of what is wanted of them."""
+    wanted = sets.groupBy("doc").agg(F.collect_list(F.struct("mark", "id")).alias("marks"))
+    return rows.join(wanted, "doc").select("text", "marks")
+
+
 def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,17 +213,29 @@ def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame
 
 
 def _possible(percent: int) -> Callable:
-    """Whether two prefixes leave room for the threshold: they may not differ by more than whole sets may."""
+    """Whether the first tokens leave room for the threshold: they may not differ by more than whole sets may.
+
+    Tokens are cut to their upper half here, which can only make sets look more alike.
+    """
     def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
         ends = [s[-1] for s, n in ((x, nx), (y, ny)) if len(s) < n]
         if ends:
-            x, y = x[: np.searchsorted(x, min(ends), "right")], y[: np.searchsorted(y, min(ends), "right")]
-        common = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = x[: np.searchsorted(x, min(ends))], y[: np.searchsorted(y, min(ends))]
+        common = np.isin(x, y).sum()
         return (100 + percent) * (len(x) + len(y) - 2 * common) <= (100 - percent) * (nx + ny)
 
     return passes
 
 
+def _likely(percent: int) -> Callable:
+    """Whether whole sets reach the threshold as far as 16 bits of each token can tell, which is never too few."""
+    def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+        common = min(np.isin(x, y).sum(), np.isin(y, x).sum())
+        return 100 * common >= percent * (nx + ny - common)
+
+    return passes
+
+
 def _reached(percent: int) -> Callable:
     def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
         common = len(np.intersect1d(x, y, assume_unique=True))
@@ -220,17 +281,18 @@ def _prefixes(size: int, percent: int) -> Callable:
     """Size, mark and prefix of each text's set; sets that a batch repeats come with their prefix once."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, prefixes, known = [], [], [], set()
+            sizes, marks, prefixes, sketches, known = [], [], [], [], set()
             for _, tokens in _shingles(batch, size):
                 n, mark = len(tokens), _mark(tokens)
-                gaps, apart = n - -(-percent * n // 100), (100 - percent) * n // percent
+                fresh = n and mark not in known
                 sizes.append(n)
                 marks.append(mark)
-                prefixes.append(tokens[: gaps + apart + 2] if n and mark not in known else None)
+                prefixes.append(tokens[: _prefix_length(n, percent, 2)] if fresh else None)
+                sketches.append((tokens[: 16 + n * (100 - percent) // 120] >> 32).astype(np.int32) if fresh else None)
                 known.add(mark)
             yield pa.record_batch(
-                [batch["doc_id"], batch["doc"], batch["digest"], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "doc", "digest", "n", "mark", "prefix"],
+                [batch["doc_id"], batch["doc"], batch["digest"], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
+                ["doc_id", "doc", "digest", "n", "mark", "prefix", "sketch"],
             )
 
     return read
@@ -247,10 +309,32 @@ def _whole(size: int) -> Callable:
                 number = wanted[i].get(_mark(tokens))
                 if number is not None and number not in done:
                     done.add(number)
-                    out.append((number, len(tokens), tokens))
-            number, n, found = zip(*out, strict=True) if out else ((), (), ())
+                    out.append((number, len(tokens), tokens, tokens.astype(np.int16)))
+            number, n, found, brief = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.record_batch(
-                [pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(list(found), pa.list_(pa.int64()))], ["id", "n", "set"]
+                [pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(list(found), pa.list_(pa.int64())), pa.array(list(brief), pa.list_(pa.int16()))],
+                ["id", "n", "set", "brief"],
             )
 
     return read
+
+
+def _runs(size: int, percent: int, run: int) -> Callable:
+    """Combinations of ``run`` neighbours in the prefix of each wanted set."""
+    odd = mixed(np.arange(101, 101 + run, dtype=np.uint64)) | np.uint64(1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            wanted = [{m["mark"]: m["id"] for m in row} for row in batch["marks"].to_pylist()]
+            out = [(np.zeros(0, np.int64),) * 3]
+            for i, tokens in _shingles(batch, size):
+                number, n = wanted[i].get(_mark(tokens)), len(tokens)
+                if number is not None and number not in done:
+                    done.add(number)
+                    head = tokens[: _prefix_length(n, percent, run)].view(np.uint64)
+                    key = mixed(sum(head[j : len(head) - run + 1 + j] * odd[j] for j in range(run))).view(np.int64)
+                    out.append((key, np.full(len(key), number), np.full(len(key), n)))
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "id", "n"])
+
+    return read
