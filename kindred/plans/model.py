@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kindred.operators.cells import assign_cells, train_cells, use_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
+from kindred.plans.prepare import usable
 from kindred.session import written
 from kindred.sources.files import ITEM_COLUMNS
 
@@ -79,7 +80,7 @@ def fit_model(
     n_cells: int | None = None,
     metadata: DataFrame | None = None,
 ) -> Model:
-    """Fit the model tables to cleaned items.
+    """Fit the model tables to cleaned items; null and blank texts count for nothing.
 
     Cleaned texts, short however long the items are, are written once and
     every pass reads them back. ``encoder`` makes vectors of items and queries,
@@ -89,7 +90,7 @@ def fit_model(
     Cells are trained only if ``n_cells`` is given and the collection is large
     enough for them. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
-    docs = written(items.select("item_id", text_col), "cleaned")
+    docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, postings = fit_terms(docs, "item_id", text_col, terms)

@@ -46,10 +46,10 @@ def corpus_metrics(items: DataFrame, sources: tuple[str, ...], min_length: int =
 
 
 def preprocess_summary(processed: DataFrame, clean_col: str = "text_clean") -> DataFrame:
-    """Rows and mean cleaned length per source, and for the whole as source ``all``."""
+    """Rows and mean cleaned length per source, and for the whole as source ``all``; a null source stays null."""
     return processed.select("source", F.length(clean_col).alias("_length")).rollup("source").agg(
-        F.count("*").alias("n"), F.avg("_length").alias("avg_clean_text_len")
-    ).select(F.coalesce("source", F.lit("all")).alias("source"), "n", "avg_clean_text_len")
+        F.count("*").alias("n"), F.avg("_length").alias("avg_clean_text_len"), F.grouping("source").alias("_whole")
+    ).select(F.when(F.col("_whole") == 1, "all").otherwise(F.col("source")).alias("source"), "n", "avg_clean_text_len")
 
 
 def sparse_metrics(vocab: DataFrame, postings: DataFrame, docs: DataFrame) -> DataFrame:

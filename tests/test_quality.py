@@ -59,3 +59,17 @@ def test_model_metrics(raw):
     assert (d["embedding_dim"], d["embedding_count"]) == (64, 3) and d["embedding_norm_mean"] == pytest.approx(1, abs=1e-6)
     parity = quality.model_parity(model.docs, model.postings, model.vectors).first()
     assert parity["passed"] and parity["items_without_terms"] == 0
+
+
+def test_summary_keeps_null_sources_apart(spark):
+    rows = spark.createDataFrame([("a", "xx"), (None, "xxxx")], "source string, text_clean string")
+    got = {(r["source"], r["n"], r["avg_clean_text_len"]) for r in quality.preprocess_summary(rows).collect()}
+    assert got == {("a", 1, 2.0), (None, 1, 4.0), ("all", 2, 3.0)}
+
+
+def test_blank_texts_do_not_count_in_the_model(spark):
+    texts = ["apple one", "apple two", "apple three", None, "  "]
+    rows = [(str(i), "s", "t", t, "a", "c", t) for i, t in enumerate(texts)]
+    names = "item_id string, source string, title string, text string, authors string, category string, text_clean string"
+    vocab = fit_model(spark.createDataFrame(rows, names), terms=TermOptions(max_df=1.0), encoder=None).vocab
+    assert vocab.filter("term = 'apple'").first()["idf"] == 1.0
