@@ -6,10 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from kindred.catalog.oracle import ORACLE
+from kindred.catalog.queries import QUERIES
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES, ORACLE = queries(), oracle_sql()
 ROWS_ONLY = {"ivf_cell_sizes", "dense_topk_ivf"}
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="driver tables are absent")
@@ -36,6 +37,7 @@ def rows(frame):
 
 def test_every_query_has_sql():
     assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert set(QUERIES) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
