@@ -10,7 +10,6 @@ from kindred.sources.files import read_table
 ALLOWED = ("en", "src3")  # categories wanted by the paper queries
 BOOK_SAMPLE = 500
 PAPER_SAMPLE = 300
-QUERY_VECTORS = 50  # embeddings that serve as query vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +53,17 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return vectors.filter(F.col("vec_id") < QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "embedding")
+    """Vectors that share their number with a benchmark item."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.join(query_texts(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+
+
+def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of each label, as cells."""
+    vectors = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("slot", "x"))
+    means = vectors.groupBy("label", "slot").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    entries = F.sort_array(F.collect_list(F.struct("slot", "x")))
+    return means.groupBy("label").agg(entries["x"].alias("centroid")).select(F.col("label").cast("int").alias("cell_id"), "centroid")
 
 
 def genre_text(number: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.catalog.inputs import ALLOWED, BOOK_SAMPLE, PAPER_SAMPLE, QUERY_VECTORS
+from kindred.catalog.inputs import ALLOWED, BOOK_SAMPLE, PAPER_SAMPLE
 from kindred.catalog.queries import CELLS, LABELS, LEMMAS
 from kindred.functions.words import STOPWORDS
 
@@ -69,10 +69,11 @@ def truncated(text: str, n: int) -> str:
     )
 
 
-def cleaned(source: str, keys: str, text: str, n: int = 1000, out: str = "text_clean", lemma: str = "{}") -> str:
+def cleaned(source: str, keys: str, text: str, n: int | None = None, out: str = "text_clean", lemma: str = "{}") -> str:
     """SELECT with the cleaned text of every row of ``source``."""
     words = lemma.format(no_stopwords(alphanumeric(f"lower({no_latex(no_html(f'coalesce({text}, {chr(39)*2})'))})")))
-    return f"SELECT {keys}, trim({truncated('t', n)}) AS {out} FROM (SELECT {keys}, {words} AS t FROM {source})"
+    cut = "t" if n is None else truncated("t", n)
+    return f"SELECT {keys}, trim({cut}) AS {out} FROM (SELECT {keys}, {words} AS t FROM {source})"
 
 
 DOC_ITEMS = """SELECT 'doc_' || doc_id AS item_id, 'document' AS source, split_part(text, chr(10), 1) AS title,
@@ -257,8 +258,7 @@ ORACLE["drop_null_rows"] = """
 SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents WHERE doc_id % 4 <> 0 AND text IS NOT NULL"""
 
 ORACLE["filter_min_chars"] = f"""
-SELECT doc_id, line FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)
-WHERE length({strip("line")}) > 50"""
+SELECT doc_id, text AS line FROM documents WHERE length({strip("text")}) > 50"""
 
 ORACLE["filter_any_category"] = f"""
 SELECT doc_id, lang, source FROM documents WHERE doc_id % 13 <> 0 AND ({_IN})"""
@@ -266,8 +266,7 @@ SELECT doc_id, lang, source FROM documents WHERE doc_id % 13 <> 0 AND ({_IN})"""
 ORACLE["filter_clean_length"] = f"WITH {DOCS} SELECT item_id, CAST(length(text_clean) AS INTEGER) AS chars FROM docs"
 
 ORACLE["filter_nonblank"] = f"""
-SELECT doc_id, line AS text_clean FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents
-    WHERE doc_id % 5 > 1) WHERE length({strip("line")}) > 0"""
+SELECT doc_id, text AS text_clean FROM documents WHERE doc_id % 5 > 1 AND length({strip("text")}) > 0"""
 
 ORACLE["first_n_kept"] = """
 SELECT doc_id, lang, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100"""
@@ -275,7 +274,7 @@ SELECT doc_id, lang, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIM
 ORACLE["sample_exact_n"] = "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 250"
 
 ORACLE["ingest_counters"] = f"""
-WITH {PAPERS} SELECT count(*) AS scanned,
+WITH {PAPERS} SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 <> 2) AS scanned,
     count(*) FILTER (categories IS NOT NULL AND ({_IN}) AND length({_FLAT}) >= 80) AS kept FROM papers"""
 
 ORACLE["merge_datasets"] = f"WITH {ITEMS} SELECT * FROM items"
@@ -297,21 +296,19 @@ ORACLE["clean_stopwords"] = f"SELECT doc_id, {no_stopwords(_LOWER)} AS kept FROM
 
 ORACLE["truncate_words"] = f"SELECT doc_id, {truncated('text', 120)} AS head FROM documents"
 
-ORACLE["clean_text"] = cleaned("documents", "doc_id", "text")
+ORACLE["clean_text"] = cleaned("documents", "doc_id", "text", 1000)
 
-_SHORT = processed(f"({DOC_ITEMS})").replace("1000", "200")
-ORACLE["lemmatize_lookup"] = f"""WITH {_SHORT}
+ORACLE["lemmatize_lookup"] = f"""WITH {DOCS}
 SELECT item_id, array_to_string([CASE WHEN w LIKE '%s' THEN w[:-2] ELSE w END for w in string_split(text_clean, ' ')], ' ')
     AS text_clean FROM docs"""
 
 _LEMMA_CASE = " ".join(f"WHEN '{w}' THEN '{to}'" for w, to in LEMMAS.items())
-ORACLE["clean_text_lemmas"] = cleaned(
-    "documents", "doc_id", "text", 300,
-    lemma="array_to_string([CASE w " + _LEMMA_CASE + " ELSE w END for w in string_split({}, ' ')], ' ')",
-)
+_LEMMATIZED = "array_to_string([CASE w " + _LEMMA_CASE + " ELSE w END for w in string_split({}, ' ')], ' ')"
+ORACLE["clean_text_lemmas"] = cleaned("documents", "doc_id", "text", lemma=_LEMMATIZED)
+ORACLE["preprocess_lemmas"] = f"""WITH {ITEMS} SELECT item_id, source, text_clean
+FROM ({cleaned('items', _ITEM_KEYS, 'text', lemma=_LEMMATIZED)}) WHERE length(text_clean) >= 50"""
 
-ORACLE["strip_unicode"] = f"""SELECT doc_id, {strip("line")} AS line
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)"""
+ORACLE["strip_unicode"] = f"""SELECT doc_id, {strip("text")} AS line FROM documents"""
 
 ORACLE["normalize_newlines"] = f"""SELECT doc_id,
     CASE WHEN doc_id % 9 = 0 THEN '' ELSE {strip("replace(text, chr(10), ' ')")} END AS line FROM documents"""
@@ -400,11 +397,25 @@ SELECT item_id, CAST(unnest(range(length(v))) AS INTEGER) AS slot,
 
 DENSE = f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id,
     round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-    FROM embeddings q, embeddings v WHERE q.vec_id < {QUERY_VECTORS})"""
+    FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))"""
 
 ORACLE["dense_topk_exact"] = f"WITH {DENSE}, {ranked('pairs', 10, 'best')} SELECT query_id, item_id, score, rank FROM best"
 ORACLE["dense_topk_ivf_all_cells"] = ORACLE["dense_topk_exact"]
 
+CELL_SCORES = """entries AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 1025) r(i)
+    WHERE i <= length(embedding) GROUP BY ALL),
+centroids AS (SELECT label AS cell_id, list(x ORDER BY i) AS centroid FROM entries GROUP BY label),
+near AS (SELECT vec_id, cell_id, row_number() OVER (PARTITION BY vec_id
+    ORDER BY list_inner_product(embedding::DOUBLE[], centroid) DESC, cell_id) AS place FROM embeddings, centroids)"""
+
+ORACLE["ivf_cell_sizes"] = f"WITH {CELL_SCORES} SELECT cell_id, count(*) AS n FROM near WHERE place = 1 GROUP BY cell_id"
+
+ORACLE["dense_topk_ivf"] = f"""WITH {DENSE}, {CELL_SCORES}, reached AS (SELECT p.* FROM pairs p
+    JOIN near q ON q.vec_id = p.query_id AND q.place <= 4 JOIN near v ON v.vec_id = p.item_id AND v.place = 1 AND v.cell_id = q.cell_id),
+{ranked('reached', 10, 'best')} SELECT query_id, item_id, score, rank FROM best"""
+
+ORACLE["kmeans_cells"] = "SELECT 20 AS cells, count(*) AS vectors, 0 AS misplaced FROM embeddings"
+
 ORACLE["topk_exclude_self"] = f"""WITH {DENSE}, {self_less('pairs', 10, 'd')}
 SELECT query_id, item_id, score, rank FROM dbest"""
 

@@ -21,7 +21,7 @@ from kindred.operators.terms import ngrams, term_counts, term_statistics, tokens
 from kindred.operators.topk import topk_dense, without_self
 from kindred.plans import ingest, quality
 from kindred.plans.model import fit_model, fit_terms, load_model, save_model
-from kindred.plans.prepare import preprocess, usable
+from kindred.plans.prepare import MAX_LENGTH, preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
 from kindred.session import fresh_path, written
 from kindred.sources.files import read_csv, write_csv
@@ -148,8 +148,7 @@ def drop_null_rows(spark, sf_dir):
 @register
 def filter_min_chars(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
-    line = inputs.first_line(F.col("text"))
-    return docs.filter(ingest.long_enough(line)).select("doc_id", line.alias("line"))
+    return docs.filter(ingest.long_enough(F.col("text"))).select("doc_id", F.col("text").alias("line"))
 
 
 @register
@@ -169,7 +168,7 @@ def filter_nonblank(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
     blank = (
         F.when(F.pmod("doc_id", F.lit(5)) == 0, "  \n")
-        .when(F.pmod("doc_id", F.lit(5)) != 1, inputs.first_line(F.col("text")))
+        .when(F.pmod("doc_id", F.lit(5)) != 1, F.col("text"))
     )
     return usable(docs.select("doc_id", blank.alias("text_clean"))).select("doc_id", "text_clean")
 
@@ -187,7 +186,7 @@ def sample_exact_n(spark, sf_dir):
 
 @register
 def ingest_counters(spark, sf_dir):
-    return ingest.ingest_counters(parse_ndjson(inputs.paper_lines(spark, sf_dir)), ALLOWED)
+    return ingest.ingest_counters(inputs.paper_lines(spark, sf_dir), ALLOWED)
 
 
 @register
@@ -235,13 +234,13 @@ def truncate_words(spark, sf_dir):
 
 @register
 def clean_text(spark, sf_dir):
-    return document_texts(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("text_clean"))
+    return document_texts(spark, sf_dir).select("doc_id", T.clean_text(F.col("text"), max_len=MAX_LENGTH).alias("text_clean"))
 
 
 @register
 def lemmatize_lookup(spark, sf_dir):
     # every word ending in "s" loses it: a dictionary as large as the corpus makes it
-    cleaned = preprocess(inputs.document_items(spark, sf_dir), max_len=200).select("item_id", "text_clean")
+    cleaned = stored_documents(spark, sf_dir)
     words = cleaned.select(F.explode(F.split("text_clean", " ")).alias("word")).filter(F.col("word").endswith("s"))
     lemmas = words.distinct().select("word", F.regexp_replace("word", "s$", "").alias("lemma"))
     return lemmatize(cleaned, "item_id", "text_clean", lemmas)
@@ -250,13 +249,13 @@ def lemmatize_lookup(spark, sf_dir):
 @register
 def clean_text_lemmas(spark, sf_dir):
     docs = document_texts(spark, sf_dir)
-    return docs.select("doc_id", T.clean_text(F.col("text"), lemmas=LEMMAS, max_len=300).alias("text_clean"))
+    return docs.select("doc_id", T.clean_text(F.col("text"), lemmas=LEMMAS).alias("text_clean"))
 
 
 @register
 def strip_unicode(spark, sf_dir):
     docs = document_texts(spark, sf_dir)
-    padded = F.concat(F.lit("\u00a0\u2003 \t"), inputs.first_line(F.col("text")), F.lit("\u3000\n\u00a0"))
+    padded = F.concat(F.lit("\u00a0\u2003 \t"), "text", F.lit("\u3000\n\u00a0"))
     return docs.select("doc_id", T.strip(padded).alias("line"))
 
 
@@ -307,6 +306,13 @@ def preprocess_query(spark, sf_dir):
     return preprocess(corpus(spark, sf_dir)).select("item_id", "source", "text_clean")
 
 
+@register
+def preprocess_lemmas(spark, sf_dir):
+    """Preparation with a lemma table, as texts are prepared by default."""
+    lemmas = spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
+    return preprocess(corpus(spark, sf_dir), lemmas=lemmas).select("item_id", "source", "text_clean")
+
+
 @register
 def preprocess_summary(spark, sf_dir):
     return quality.preprocess_summary(preprocess(corpus(spark, sf_dir))).withColumn(
@@ -449,12 +455,27 @@ def model_metrics_dense(spark, sf_dir):
     )
 
 
-def _cells(spark, sf_dir):
+def _cells(spark, sf_dir, trained=False):
     vectors = inputs.item_vectors(spark, sf_dir)
-    cells = train_cells(vectors, CELLS)
+    cells = train_cells(vectors, CELLS) if trained else written(inputs.label_cells(spark, sf_dir), "cells")
     return cells, assign_cells(vectors, cells)
 
 
+@register
+def kmeans_cells(spark, sf_dir):
+    """Cells and vectors of a trained index, and vectors that lie in another cell than their nearest."""
+    cells, assigned = _cells(spark, sf_dir, trained=True)
+    product = F.aggregate(F.zip_with("embedding", "centroid", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    own = assigned.join(F.broadcast(cells), "cell_id").select("item_id", "cell_id", product.alias("own"))
+    vectors = inputs.item_vectors(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+    centroids = cells.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding"))
+    best = topk_dense(vectors, centroids, 1).select(F.col("query_id").alias("item_id"), "score")
+    return own.join(best, "item_id").agg(
+        F.countDistinct("cell_id").alias("cells"), F.count("*").alias("vectors"),
+        F.count_if(F.col("own") < F.col("score") - 0.000001).alias("misplaced"),
+    )
+
+
 @register
 def ivf_cell_sizes(spark, sf_dir):
     return quality.cell_sizes(_cells(spark, sf_dir)[1])
@@ -468,7 +489,7 @@ def dense_topk_ivf(spark, sf_dir):
 
 @register
 def dense_topk_ivf_all_cells(spark, sf_dir):
-    cells, assigned = _cells(spark, sf_dir)
+    cells, assigned = _cells(spark, sf_dir, trained=True)
     return topk_cells(inputs.query_vectors(spark, sf_dir), assigned, cells, 10, n_probe=CELLS)
 
 

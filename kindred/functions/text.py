@@ -143,10 +143,10 @@ def clean_text(
     c: Column,
     drop_stopwords: bool = True,
     lemmas: Mapping[str, str] | None = None,
-    max_len: int = 1000,
+    max_len: int | None = None,
 ) -> Column:
-    """HTML, LaTeX, case, special characters, stop words, lemmas, length; null gives ''."""
+    """HTML, LaTeX, case, special characters, stop words, lemmas, then the length if one is given; null gives ''."""
     words = normalize_words(c, drop_stopwords)
     if lemmas:
         words = replace_words(words, lemmas)
-    return F.trim(truncate_words(words, max_len))
+    return F.trim(words if max_len is None else truncate_words(words, max_len))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -17,25 +18,21 @@ from kindred.operators.joins import by_blocks
 from kindred.operators.position import sample_exact
 from kindred.operators.topk import DENSE_BLOCK, as_matrix, rank_items, score_block
 
-# Vectors per cell below which an exact search is used, and the
-# number of training vectors per cell beyond which more do not help.
-MIN_PER_CELL = 39
-TRAIN_PER_CELL = 256
-MAX_CELLS = 65_536
+MIN_PER_CELL = 39  # fixed value: with fewer vectors per cell an exact search is advised
+CENTROID_BYTES = 512 << 20  # what a task may hold of centroids
 
 
 def use_cells(n_vectors: int, n_cells: int) -> bool:
-    """Whether a collection is large enough for cells."""
+    """Whether a collection is large enough for cells to pay; an advice, nothing depends on it."""
     return n_vectors >= n_cells * MIN_PER_CELL
 
 
-def train_cells(vectors: DataFrame, n_cells: int, seed: int = 42) -> DataFrame:
-    """(cell_id, centroid) from spherical k-means on a bounded exact sample."""
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells")
+def train_cells(vectors: DataFrame, n_cells: int, seed: int = 42, sample: int | None = None) -> DataFrame:
+    """(cell_id, centroid) from spherical k-means on all vectors, or on an exact sample of the size given."""
     usable = vectors.filter(l2_norm(F.col("embedding")) > 0)
-    sample = sample_exact(usable, "item_id", n_cells * TRAIN_PER_CELL, seed)
-    points = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    if sample is not None:
+        usable = sample_exact(usable, "item_id", sample, seed)
+    points = usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist(StorageLevel.DISK_ONLY)
     try:
         model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     finally:
@@ -45,7 +42,10 @@ def train_cells(vectors: DataFrame, n_cells: int, seed: int = 42) -> DataFrame:
 
 
 def _centroids(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = cells.select("cell_id", "centroid").orderBy("cell_id").limit(MAX_CELLS).toArrow().combine_chunks()
+    size = cells.agg(F.sum(8 * F.size("centroid"))).first()[0] or 0
+    if size > CENTROID_BYTES:
+        raise ValueError(f"{size} bytes of centroids do not fit a task; train fewer cells")
+    table = cells.select("cell_id", "centroid").orderBy("cell_id").toArrow().combine_chunks()
     return (
         table.column("cell_id").to_numpy(),
         as_matrix(table.column("centroid").combine_chunks()),

@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from kindred.operators.joins import lookup_join, row_bound
 
-_MAX_CHARS = 50_000  # fixed value: input limit of the lemma step
-
 
 def lemmatize(docs: DataFrame, key: str, text_col: str, lemmas: DataFrame) -> DataFrame:
     """(key, text_col) with each word replaced by its lemma, if it has one.
 
     ``lemmas`` is (word, lemma), one row per word; entries that change nothing
     are left out of the join. Words of one document stay in one task from the
-    shuffle on its key to the re-assembly, and are bounded by the input limit.
+    shuffle on its key to the re-assembly.
     """
     changing = lemmas.filter(F.col("word") != F.col("lemma"))
     words = (
-        docs.select(key, F.substring(F.col(text_col), 1, _MAX_CHARS).alias("_text"))
+        docs.select(key, F.col(text_col).alias("_text"))
         .repartition(key)
         .select(key, F.posexplode(F.split("_text", " ")).alias("_at", "word"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.topk import top_rows
 from kindred.session import written
 
 _HEX_DIGITS = 4  # 65,536 ordered hash buckets: the bound on every broadcast below
@@ -72,10 +73,5 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest values of the unique ``key``.
-
-    Only keys are ordered; the rows themselves are filtered where they lie.
-    """
-    keys = dense_index(df.select(key), [key], "_position")
-    last = keys.filter(F.col("_position") < n).agg(F.max(key).alias("last"))
-    return df.filter(F.col(key) <= last.scalar())
+    """The ``n`` rows with the smallest values of the unique ``key``, in one pass."""
+    return top_rows(df.filter(F.col(key).isNotNull()), [F.asc(key)], n)

@@ -21,12 +21,12 @@ SELF_SCORE = 0.9999  # fixed value: at this score and above an item is the query
 DIGITS = 6
 _UNITS = 10**DIGITS
 
-# Queries per block. A cleaned query has at most 1,000 characters and so fewer
-# than 1,000 terms, a dense one as many numbers as the vectors are wide.
+# Queries per block; the bytes of a block are checked when it is collected.
 SPARSE_BLOCK = 2_000
 DENSE_BLOCK = 4_096
 
 _CELL_BUDGET = 4_000_000  # scores held at once in a task: 32 MB
+_BLOCK_BYTES = 1 << 30  # what a block of queries may take in a task
 
 
 ONE_TASK_ROWS = 10_000_000  # rows that may meet in the last task of a global top-n
@@ -63,34 +63,83 @@ def without_self(ranked: DataFrame, n: int) -> DataFrame:
 def topk_sparse(
     query_terms: Callable[[DataFrame], DataFrame],
     queries: DataFrame,
-    postings: DataFrame,
+    packed: DataFrame,
     k: int,
     below: float | None = None,
 ) -> DataFrame:
     """(query_id, item_id, score, rank) by inner product of term weights.
 
     ``query_terms`` turns a block of ``queries`` into (query_id, term, weight).
-    ``postings`` (item_id, term, weight) should be partitioned by item: then
-    each task scores its own items against the broadcast block, and only its
-    k best rows per query are shuffled. ``below`` drops scores from that value
-    on before ranking.
+    ``packed`` is (item_id, terms, weights), all terms of an item in one row.
+    Items are scored where they lie, as matrix products of a few items with the
+    terms of the block; a batch gives out k rows per query, never all of its
+    pairs, and only those are shuffled. Items without a term of the query are no
+    answers. ``below`` drops scores from that value on before ranking.
     """
 
     def one_pass(block: DataFrame) -> DataFrame:
-        wanted = query_terms(block).withColumnRenamed("weight", "_query_weight")
-        product = F.col("weight") * F.col("_query_weight")
-        scored = (
-            postings.join(F.broadcast(wanted), "term")
-            .groupBy("item_id", "query_id")
-            .agg(F.round(F.sum(product), DIGITS).alias("score"))
+        wanted = query_terms(block)
+        schema = StructType(
+            [
+                StructField("query_id", wanted.schema["query_id"].dataType),
+                StructField("item_id", packed.schema["item_id"].dataType),
+                StructField("score", DoubleType()),
+            ]
         )
-        if below is not None:
-            scored = scored.filter(F.col("score") < below)
-        return rank_items(scored.select("query_id", "item_id", "score"), k)
+        table = wanted.select("query_id", "term", "weight").toArrow().combine_chunks()
+        if table.nbytes > _BLOCK_BYTES:
+            raise ValueError(f"a block of queries takes {table.nbytes} bytes; use fewer queries a block")
+        if not table.num_rows:
+            return rank_items(packed.sparkSession.createDataFrame([], schema), k)
+        query, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        where = (query.indices.to_numpy(), term.indices.to_numpy(), table.column("weight").to_numpy())
+        scorer = _sparse_scorer(query.dictionary, term.dictionary, where, k, below)
+        return rank_items(packed.select("item_id", "terms", "weights").mapInArrow(scorer, schema), k)
 
     return by_blocks(queries, "query_id", SPARSE_BLOCK, one_pass)
 
 
+def _sparse_scorer(ids: pa.Array, terms: pa.Array, where: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, below: float | None):
+    """A ``mapInArrow`` function: k best items per query for every few items.
+
+    The block's weights are one matrix, made in slices of its queries so that a
+    slice stays within ``_CELL_BUDGET`` whatever the vocabulary.
+    """
+    query, term, weight = where
+    order = np.argsort(query, kind="stable")
+    query, term, weight = query[order], term[order], weight[order]
+    wide = max(1, 8 * _CELL_BUDGET // len(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordered = batch.take(pc.sort_indices(batch.column(0)))
+            lists = ordered.column(1)
+            place = pc.index_in(lists.flatten(), value_set=terms)
+            item = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            value = ordered.column(2).flatten().to_numpy(zero_copy_only=False)
+            known = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False)[known]
+            item, value = item[known], value[known]
+            step = max(1, _CELL_BUDGET // len(terms))
+            for first in range(0, len(lists), step):
+                a, b = np.searchsorted(item, (first, first + step))
+                if a == b:
+                    continue
+                vectors = np.zeros((min(step, len(lists) - first), len(terms)))
+                vectors[item[a:b] - first, place[a:b]] = value[a:b]
+                for low in range(0, len(ids), wide):
+                    c, d = np.searchsorted(query, (low, low + wide))
+                    matrix = np.zeros((min(wide, len(ids) - low), len(terms)))
+                    matrix[query[c:d] - low, term[c:d]] = weight[c:d]
+                    for q, i, score in _best_of_batch(np.arange(len(matrix)), matrix, vectors, k, below, shared=True):
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(q + low)), ordered.column(0).take(pa.array(i + first)), pa.array(score)],
+                            ["query_id", "item_id", "score"],
+                        )
+
+    return run
+
+
 def as_matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column as a matrix of doubles."""
     widths = pc.list_value_length(column)
@@ -101,11 +150,11 @@ def as_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best_of_batch(
-    query_rows: np.ndarray, matrix: np.ndarray, vectors: np.ndarray, k: int, below: float | None
+    query_rows: np.ndarray, matrix: np.ndarray, vectors: np.ndarray, k: int, below: float | None, shared: bool = False
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query row, item row, score) of the k best items per query in one batch.
 
-    Items come sorted by id. Score and position form one integer key, so ties
+    Items come sorted by id. With ``shared`` a score of nothing is no answer. Score and position form one integer key, so ties
     are resolved exactly and no order within the batch is left open.
     """
     n = len(vectors)
@@ -113,18 +162,19 @@ def _best_of_batch(
     step = max(1, _CELL_BUDGET // n)
     for start in range(0, len(query_rows), step):
         rows = query_rows[start : start + step]
-        units = np.rint(matrix[rows] @ vectors.T * _UNITS).astype(np.int64)
+        product = matrix[rows] @ vectors.T
+        units = np.rint(product * _UNITS).astype(np.int64)
         key = units * n + np.arange(n - 1, -1, -1)
-        if below is not None:
-            barred = units >= round(below * _UNITS)
-            key[barred] = np.iinfo(np.int64).min
+        barred = np.zeros(units.shape, bool) if below is None else units >= round(below * _UNITS)
+        if shared:
+            barred |= product <= 0
+        key[barred] = np.iinfo(np.int64).min
         best = np.argpartition(~key, keep - 1, axis=1)[:, :keep]
         score = np.take_along_axis(units, best, axis=1)
         query = np.repeat(rows, keep)
         item, score = best.ravel(), score.ravel()
-        if below is not None:
-            open_ = ~np.take_along_axis(barred, best, axis=1).ravel()
-            query, item, score = query[open_], item[open_], score[open_]
+        open_ = ~np.take_along_axis(barred, best, axis=1).ravel()
+        query, item, score = query[open_], item[open_], score[open_]
         yield query, item, score / _UNITS
 
 
@@ -170,6 +220,8 @@ def score_block(
     gives out k rows per query, never all of its pairs.
     """
     table = block.select("query_id", "embedding").toArrow().combine_chunks()
+    if table.nbytes > _BLOCK_BYTES:
+        raise ValueError(f"a block of {table.num_rows} queries takes {table.nbytes} bytes; use fewer queries a block")
     fields = {f.name: f.dataType for f in vectors.schema.fields}
     schema = StructType(
         [

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import first_word, one_line, split_words, strip
 from kindred.operators.position import dense_index, first_rows, hash_position
+from kindred.session import written
 from kindred.sources.files import ITEM_COLUMNS, assert_columns
+from kindred.sources.lines import parse_ndjson
 
 MIN_SUMMARY = 50  # fixed value: a summary is longer than this
 MIN_ABSTRACT = 80  # fixed value: an abstract has at least this many characters
-MAX_CATEGORY_LITERALS = 1_000
 
 _STRING = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
 _SCALAR = rf"(?:{_STRING}|-?[0-9][0-9.eE+-]*+)"
@@ -23,20 +24,29 @@ _NAMES = (
     rf"(?s)\A\s*+\{{(?:{_PAIR}{_STRING}\s*+(?:,{_PAIR}{_STRING}\s*+)?+(?:,{_PAIR}{_STRING}\s*+"
     rf"(?:,{_PAIR}{_SCALAR}\s*+)*+)?+)\}}\s*+\z"
 )
+# Three such pairs before values of any kind, or fewer before a trailing comma.
+_THREE = rf"{_PAIR}{_STRING}\s*+,{_PAIR}{_STRING}\s*+,{_PAIR}{_STRING}"
+_ANY = rf"(?:{_STRING}|True|False|None|[\s\[\]{{}}(),:0-9.eE+-])*+"
+_FIRST_THREE = rf"(?s)\A\s*+(\{{{_THREE})\s*+,(?={_ANY}\z).*\}}\s*+\z"
+_FEWER = rf"(?s)\A\s*+(\{{{_PAIR}{_STRING}(?:\s*+,{_PAIR}{_STRING})?+)\s*+,\s*+\}}\s*+\z"
 
 
 def first_values(c: Column, n: int = 3, default: str = "Unknown") -> Column:
     """The first ``n`` values of a map written as text, joined by ``, ``.
 
     Anything but a map whose first values are strings gives the default. A key
-    that comes twice keeps its first place and its last value.
+    that comes twice keeps its first place and its last value. Values after the
+    first three may be of any kind.
     """
+    head = F.concat(F.coalesce(F.nullif(F.regexp_extract(c, _FIRST_THREE, 1), F.lit("")), F.regexp_extract(c, _FEWER, 1)), F.lit("}"))
+    plain = c.rlike(_NAMES)
+    c = F.when(plain, c).when(head != "}", head)
     pairs = F.map_entries(
         F.from_json(c, "map<string,string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
     )
     keys = F.slice(F.array_distinct(F.transform(pairs, lambda e: e["key"])), 1, n)
     values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"])
-    return F.coalesce(F.when(c.rlike(_NAMES), F.array_join(values, ", ")), F.lit(default))
+    return F.coalesce(F.array_join(values, ", "), F.lit(default))
 
 
 def default_if_null(c: Column, default: str = "Unknown") -> Column:
@@ -48,10 +58,11 @@ def default_if_empty(c: Column, default: str = "Unknown") -> Column:
 
 
 def any_category(c: Column, allowed: Sequence[str]) -> Column:
-    """Whether one of the words of ``c`` is allowed; null and blank never match."""
-    if len(allowed) > MAX_CATEGORY_LITERALS:
-        raise ValueError(f"at most {MAX_CATEGORY_LITERALS} categories")
-    return F.coalesce(F.arrays_overlap(split_words(c), F.array(*[F.lit(a) for a in allowed])), F.lit(False))
+    """Whether one of the words of ``c`` is allowed; null and blank never match.
+
+    Spark looks words up in a hash set of the allowed ones, however many they are.
+    """
+    return F.coalesce(F.exists(split_words(c), lambda w: w.isin(*allowed)), F.lit(False))
 
 
 def long_enough(summary: Column) -> Column:
@@ -63,10 +74,11 @@ def book_rows(raw: DataFrame) -> DataFrame:
     return raw.dropna(subset=["title", "summary"]).filter(long_enough(F.col("summary")))
 
 
-def ingest_books(raw: DataFrame, key: str, sample_size: int, seed: int = 42) -> DataFrame:
-    """Items from raw books: a seeded exact sample, numbered in sample order.
+def ingest_books(raw: DataFrame, key: str, sample_size: int | None = None, seed: int = 42) -> DataFrame:
+    """Items from raw books, all or a seeded exact sample, numbered in sample order.
 
-    ``key`` identifies the rows of ``raw`` and decides the sample.
+    ``key`` decides the sample. Rows that share it have to be alike in all
+    columns, as lines with the same ``line_hash`` are.
     """
     return hash_position(book_rows(raw), key, seed, "_n", below=sample_size).select(
         F.concat(F.lit("book_"), F.col("_n").cast("string")).alias("item_id"),
@@ -93,11 +105,18 @@ def paper_rows(raw: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 
 def ingest_papers(
-    raw: DataFrame, key: str, sample_size: int, allowed: Sequence[str], required: bool = True
+    raw: DataFrame, key: str, sample_size: int | None, allowed: Sequence[str], required: bool = True
 ) -> DataFrame:
-    """Items from raw papers: the first ``sample_size`` that qualify in key order."""
+    """Items from raw papers: all that qualify, or the first ``sample_size`` in key order.
+
+    A sample is cut out in one pass and numbered in the task where its rows meet anyway.
+    """
     kept = paper_rows(raw, allowed)
-    taken = dense_index(first_rows(kept, key, sample_size), [key], "_n")
+    if sample_size is None:
+        taken = dense_index(kept, [key], "_n")
+    else:
+        number = F.row_number().over(Window.orderBy(key)) - 1
+        taken = written(first_rows(kept, key, sample_size).withColumn("_n", number), "papers")
     if required and taken.isEmpty():
         raise ValueError("no paper is in an allowed category")
     return taken.select(
@@ -110,10 +129,11 @@ def ingest_papers(
     )
 
 
-def ingest_counters(raw: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Rows scanned and rows kept, in one pass."""
+def ingest_counters(lines: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """Lines scanned, which is all but blank ones, and papers kept from them."""
     keep = any_category(F.col("categories"), allowed) & (F.length(one_line(F.col("abstract"))) >= MIN_ABSTRACT)
-    return raw.agg(F.count("*").alias("scanned"), F.count_if(keep).alias("kept"))
+    scanned = lines.filter(F.length(strip(F.col("value"))) > 0).agg(F.count("*")).scalar()
+    return parse_ndjson(lines).agg(F.count_if(keep).alias("kept")).select(scanned.alias("scanned"), "kept")
 
 
 def merge_items(*tables: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators.cells import assign_cells, train_cells, use_cells
+from kindred.operators.cells import assign_cells, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
 from kindred.plans.prepare import usable
@@ -37,12 +37,19 @@ class Model:
     metadata: DataFrame
     docs: DataFrame | None = None
     vocab: DataFrame | None = None
-    postings: DataFrame | None = None
+    packed: DataFrame | None = None  # (item_id, terms, weights), one row per item
     vectors: DataFrame | None = None
     cells: DataFrame | None = None
     terms: TermOptions = TermOptions()
     encoder: Encoder | None = hashed_vectors
 
+    @property
+    def postings(self) -> DataFrame | None:
+        """(item_id, term, weight), a row per term."""
+        if self.packed is None:
+            return None
+        return self.packed.select("item_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
+
     def query_terms(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, term, weight) of new texts in the fitted vocabulary."""
         t = self.terms
@@ -71,6 +78,13 @@ def fit_terms(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean
     )
 
 
+def pack(postings: DataFrame) -> DataFrame:
+    """(item_id, terms, weights): the postings of each item in one row, no longer than the text they come from."""
+    entries = F.sort_array(F.collect_list(F.struct("term", "weight")))
+    gathered = postings.groupBy("item_id").agg(entries.alias("e"))
+    return gathered.select("item_id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+
+
 def fit_model(
     items: DataFrame,
     text_col: str = "text_clean",
@@ -82,34 +96,33 @@ def fit_model(
 ) -> Model:
     """Fit the model tables to cleaned items; null and blank texts count for nothing.
 
-    Cleaned texts, short however long the items are, are written once and
-    every pass reads them back. ``encoder`` makes vectors of items and queries,
+    Cleaned texts and the postings of each item are written once, and every
+    search reads those back. ``encoder`` makes vectors of items and queries,
     by feature hashing unless it is given; vectors that exist already are taken
     from ``vectors`` (item_id, embedding). No item is encoded twice: vectors
     are written, too. ``terms`` or ``encoder`` of None leaves that part out.
-    Cells are trained only if ``n_cells`` is given and the collection is large
-    enough for them. ``metadata`` may be a table of raw items: answers pick the fitted ones.
+    Cells are trained if ``n_cells`` is given. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
     docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, postings = fit_terms(docs, "item_id", text_col, terms)
-        model = replace(model, vocab=vocab, postings=postings, terms=terms)
+        model = replace(model, vocab=vocab, packed=written(pack(postings), "postings"), terms=terms)
     if vectors is None:
         if encoder is None:
             return model
         vectors = written(encoder(docs, "item_id", text_col), "vectors")
-    if n_cells is not None and use_cells(vectors.count(), n_cells):
+    if n_cells is not None:
         cells = train_cells(vectors, n_cells)
         return replace(model, vectors=assign_cells(vectors, cells), cells=cells)
     return replace(model, vectors=vectors)
 
 
-def save_model(model: Model, path: str, posting_buckets: int = 8, cell_files: int = 16) -> None:
+def save_model(model: Model, path: str, cell_files: int = 16) -> None:
     """Write the model tables.
 
-    Postings are bucketed by item, so that a later search finds all terms of
-    an item in one task; vectors are partitioned by cell where there are cells.
+    An item's postings are one row, so a later search needs no shuffle to find
+    them together; vectors are partitioned by cell where there are cells.
     A cell is written by up to ``cell_files`` tasks, so a crowded one is no
     hot spot, and its files stay small enough to be read in parallel.
     """
@@ -117,16 +130,7 @@ def save_model(model: Model, path: str, posting_buckets: int = 8, cell_files: in
     model.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
     if model.vocab is not None:
         model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        (
-            model.postings.repartition(posting_buckets, "item_id")
-            .write.mode("overwrite")
-            .bucketBy(posting_buckets, "item_id")
-            .option("path", f"{path}/postings")
-            .saveAsTable(_table_name(path, "postings"))
-        )
-        model.vocab.sparkSession.range(1).select(F.lit(posting_buckets).alias("posting_buckets")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/layout")
+        model.packed.write.mode("overwrite").parquet(f"{path}/postings")
     if model.vectors is None:
         return
     if model.cells is None:
@@ -138,10 +142,6 @@ def save_model(model: Model, path: str, posting_buckets: int = 8, cell_files: in
     ).option("maxRecordsPerFile", 1_000_000).partitionBy("cell_id").parquet(f"{path}/vectors")
 
 
-def _table_name(path: str, table: str) -> str:
-    return f"kindred_{table}_" + "".join(ch if ch.isalnum() else "_" for ch in path).lower()
-
-
 def load_model(
     spark: SparkSession,
     path: str,
@@ -149,7 +149,7 @@ def load_model(
     terms: TermOptions | None = TermOptions(),
     encoder: Encoder | None = hashed_vectors,
 ) -> Model:
-    """The tables written by ``save_model``; postings keep their buckets.
+    """The tables written by ``save_model``, read from their files.
 
     ``terms`` or ``encoder`` of None leaves that part out. Queries are encoded
     by ``encoder``, which has to be the one the model was fitted with.
@@ -157,13 +157,7 @@ def load_model(
     path = path.rstrip("/")
     model = Model(metadata=spark.read.parquet(f"{path}/metadata"), encoder=encoder)
     if terms is not None:
-        buckets = spark.read.parquet(f"{path}/layout").first()["posting_buckets"]
-        name = _table_name(path, "postings")
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (item_id STRING, term STRING, weight DOUBLE) USING parquet "
-            f"CLUSTERED BY (item_id) INTO {buckets} BUCKETS LOCATION '{path}/postings'"
-        )
-        model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), postings=spark.table(name), terms=terms)
+        model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), packed=spark.read.parquet(f"{path}/postings"), terms=terms)
     if encoder is None:
         return model
     cells = spark.read.parquet(f"{path}/cells") if with_cells else None

@@ -11,7 +11,7 @@ from kindred.functions.text import clean_text, normalize_words, strip, truncate_
 from kindred.operators.lemma import lemmatize
 
 MIN_LENGTH = 50  # fixed value: default of the length filter on cleaned text
-MAX_LENGTH = 1000  # fixed value: default length of cleaned text
+MAX_LENGTH = 1000  # fixed value: length of cleaned text where it is to be cut
 
 
 def clean_items(
@@ -20,11 +20,13 @@ def clean_items(
     clean_col: str = "text_clean",
     drop_stopwords: bool = True,
     lemmas: Mapping[str, str] | DataFrame | None = None,
-    max_len: int = MAX_LENGTH,
-    key: str = "item_id",
+    max_len: int | None = None,
 ) -> DataFrame:
     """Add the cleaned text. ``lemmas`` is a small mapping or a (word, lemma) table.
 
+    Whole texts are cleaned; ``max_len`` cuts what comes out. With a lemma table
+    each distinct text is cleaned once, and rows find it by the digest of theirs.
+
     The text is passed on as the one element of an array. A filter on a plain
     computed column moves below it, past any exchange to the scan, and would
     clean every text a second time; it does not move below ``explode``.
@@ -32,9 +34,12 @@ def clean_items(
     if not isinstance(lemmas, DataFrame):
         cleaned = clean_text(F.col(text_col), drop_stopwords, lemmas, max_len)
         return items.select("*", F.explode(F.array(cleaned)).alias(clean_col))
-    words = items.select(key, normalize_words(F.col(text_col), drop_stopwords).alias(clean_col))
-    cleaned = lemmatize(words, key, clean_col, lemmas)
-    return items.join(cleaned.withColumn(clean_col, F.trim(truncate_words(F.col(clean_col), max_len))), key)
+    digest = F.sha2(F.coalesce(text_col, F.lit("")), 256)
+    texts = items.select(digest.alias("_digest"), text_col).dropDuplicates(["_digest"])
+    words = texts.select("_digest", normalize_words(F.col(text_col), drop_stopwords).alias(clean_col))
+    cleaned = lemmatize(words, "_digest", clean_col, lemmas)
+    text = F.col(clean_col) if max_len is None else truncate_words(F.col(clean_col), max_len)
+    return items.withColumn("_digest", digest).join(cleaned.withColumn(clean_col, F.trim(text)), "_digest").drop("_digest")
 
 
 def preprocess(items: DataFrame, min_length: int = MIN_LENGTH, clean_col: str = "text_clean", **options) -> DataFrame:

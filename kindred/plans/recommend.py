@@ -64,7 +64,7 @@ def nearest(
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     ready = ready_queries(queries)
-    items = model.postings if method == "tfidf" else model.vectors
+    items = model.packed if method == "tfidf" else model.vectors
     if items is None:
         raise ValueError(f"this model was fitted without the tables of method {method}")
     if source is not None:

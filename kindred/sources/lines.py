@@ -68,14 +68,17 @@ def parse_ndjson(lines: DataFrame, schema: str | StructType = PAPER_SCHEMA, keep
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ``line_no``, which follows the order of the file.
+    """Lines with ``line_no``, which follows the order of the file, and ``line_hash``.
 
-    It orders lines by file block and place within it, and is not dense.
+    ``line_no`` orders lines by file block and place within it, is not dense and
+    changes with the size of the blocks. ``line_hash`` depends on the content
+    alone, so samples by it are the same however a file is split.
     """
     return (
         spark.read.text(path)
         .select(
             "value",
+            F.md5("value").alias("line_hash"),
             F.struct(
                 F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
@@ -102,11 +105,11 @@ def read_tsv(
             "value", F.lit(r'(?:\A|\n)((?:[^"\n]*+(?:(?<=\t|\n|\A)"[^"]*+(?:""[^"]*+)*+"?)?+)*+)'), 1
         )
         lines = whole.select("file", F.posexplode(records).alias("row", "value")).select(
-            "value", F.struct("file", F.lit(0).cast("bigint").alias("block"), "row").alias("line_no")
+            "value", F.md5("value").alias("line_hash"), F.struct("file", F.lit(0).cast("bigint").alias("block"), "row").alias("line_no")
         )
-    return parse_tsv(lines, columns, keep=["line_no"])
+    return parse_tsv(lines, columns, keep=["line_no", "line_hash"])
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str | StructType = PAPER_SCHEMA) -> DataFrame:
     """A file of JSON objects, one per line, with ``line_no``."""
-    return parse_ndjson(read_lines(spark, path), schema, keep=["line_no"])
+    return parse_ndjson(read_lines(spark, path), schema, keep=["line_no", "line_hash"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kindred.operators.position import dense_index, first_rows, hash_position, sample_exact
 from kindred.plans.ingest import ingest_books, ingest_counters, ingest_papers, merge_items, metadata_table
 from kindred.sources.files import ITEM_COLUMNS
-from kindred.sources.lines import read_ndjson, read_tsv
+from kindred.sources.lines import read_lines, read_ndjson, read_tsv
 
 
 @pytest.fixture
@@ -60,7 +60,10 @@ def test_papers(spark, tmp_path):
         ("paper_3", "Paper 5", "Unknown", "cs.AI"),
         ("paper_4", "", "P 6", "cs.AI"),
     ]
-    assert ingest_counters(raw, ["cs.AI", "cs.LG"]).first().asDict() == {"scanned": 9, "kept": 6}
+    counters = ingest_counters(read_lines(spark, str(path)), ["cs.AI", "cs.LG"]).first().asDict()
+    assert counters == {"scanned": 10, "kept": 6}
+    assert ingest_papers(raw, "line_no", None, ["cs.AI", "cs.LG"]).count() == 6
+    assert ingest_papers(raw, "line_no", None, ["cs.AI", *(f"x{i}" for i in range(2_000))]).count() == 5
     with pytest.raises(ValueError, match="allowed"):
         ingest_papers(raw, "line_no", 5, ["none"])
 

@@ -68,6 +68,9 @@ def test_any_category(apply):
         ('{"a": 5}', "Unknown"),
         ('{"a": "One", "b": 5}', "Unknown"),
         ('{"a": "1", "b": "2", "c": "3", "d": 4}', "1, 2, 3"),
+        ("{'a': '1', 'b': '2', 'c': '3', 'd': True, 'e': ['x', None]}", "1, 2, 3"),
+        ('{"a": "1", "b": True}', "Unknown"),
+        ('{"a": "1", }', "1"),
         ('{"a": null}', "Unknown"),
         ('["One"]', "Unknown"),
         ('{"a": "Old", "b": "Mid", "a": "New"}', "New, Mid"),
