@@ -39,6 +39,13 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, np.ndarra
         row = last
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one takes less memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

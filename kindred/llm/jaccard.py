@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, words
+from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, parts, words
 from kindred.llm.components import components
 from kindred.llm.words import WORD
 from kindred.session import forget, written
@@ -202,7 +202,7 @@ def _texts(sets: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n = zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), strict=True)
             good = [passes(x.values.to_numpy(), y.values.to_numpy(), *k) for x, y, k in zip(batch["sa"], batch["sb"], n, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -278,10 +278,11 @@ def _mark(tokens: np.ndarray) -> int:
 
 
 def _prefixes(size: int, percent: int) -> Callable:
-    """Size, mark and prefix of each text's set; sets that a batch repeats come with their prefix once."""
+    """Size, mark and prefix of each text's set; sets that a task repeats come with their prefix once."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, marks, prefixes, sketches, known = [], [], [], [], set()
+        known = set()
+        for batch in parts(batches):
+            sizes, marks, prefixes, sketches = [], [], [], []
             for _, tokens in _shingles(batch, size):
                 n, mark = len(tokens), _mark(tokens)
                 fresh = n and mark not in known
@@ -302,7 +303,7 @@ def _whole(size: int) -> Callable:
     """Whole sets of the wanted marks."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
-        for batch in batches:
+        for batch in parts(batches):
             wanted = [{m["mark"]: m["id"] for m in row} for row in batch["marks"].to_pylist()]
             out = []
             for i, tokens in _shingles(batch, size):
@@ -325,7 +326,7 @@ def _runs(size: int, percent: int, run: int) -> Callable:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
-        for batch in batches:
+        for batch in parts(batches):
             wanted = [{m["mark"]: m["id"] for m in row} for row in batch["marks"].to_pylist()]
             out = [(np.zeros(0, np.int64),) * 3]
             for i, tokens in _shingles(batch, size):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kindred.llm.bytehash import blocks
+from kindred.llm.bytehash import blocks, parts
 
 FIT_ROWS = 1024  # bound of the labelled rows that are read for the fit, all languages together
 LANDMARKS = 192
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     chosen = labelled.join(wanted, ["lang", "place"]).dropDuplicates(["lang", "place"]).select("lang", "place", "text")
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [np.packbits(row).tobytes() for part in presence(batch["text"].to_pylist()) for row in part]
             yield pa.record_batch([batch["lang"], batch["place"], pa.array(found, pa.binary())], ["lang", "place", "bits"])
 
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: list[str], text: str = "
     languages, weights = np.array([*model.languages, "und"]), model.weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch[text].to_pylist()]
             best, high = [np.zeros(0, int)], [np.zeros(0)]
             for bits in presence(texts) if len(languages) > 1 else ():
