@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import chat, decontaminate, jaccard, language, mixing, quality, repeats, secrets, tokens, urls
+from kindred.llm.sql import SQL
 from kindred.llm.words import word_count
 from kindred.sources.files import read_table
 
@@ -100,4 +101,4 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_jaccard_join, op10_suffix_dedup, pipeline,
     )
 }
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = SQL
