@@ -203,8 +203,8 @@ def _texts(sets: DataFrame, rows: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            n = zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), strict=True)
-            good = [passes(x.values.to_numpy(), y.values.to_numpy(), *k) for x, y, k in zip(batch["sa"], batch["sb"], n, strict=True)]
+            pairs = zip(_arrays(batch["sa"]), _arrays(batch["sb"]), batch["na"].to_pylist(), batch["nb"].to_pylist(), strict=True)
+            good = [passes(*pair) for pair in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = pairs.join(lists.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa")), "a")
@@ -212,6 +212,17 @@ def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls, as views of its values."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _held(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of elements of ``x`` that ``y``, which is sorted, has too."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
 def _possible(percent: int) -> Callable:
     """Whether the first tokens leave room for the threshold: they may not differ by more than whole sets may.
 
@@ -221,7 +232,7 @@ def _possible(percent: int) -> Callable:
         ends = [s[-1] for s, n in ((x, nx), (y, ny)) if len(s) < n]
         if ends:
             x, y = x[: np.searchsorted(x, min(ends))], y[: np.searchsorted(y, min(ends))]
-        common = np.isin(x, y).sum()
+        common = _held(x, y)
         return (100 + percent) * (len(x) + len(y) - 2 * common) <= (100 - percent) * (nx + ny)
 
     return passes
@@ -229,8 +240,17 @@ def _possible(percent: int) -> Callable:
 
 def _likely(percent: int) -> Callable:
     """Whether whole sets reach the threshold as far as 16 bits of each token can tell, which is never too few."""
+    seen = np.zeros(1 << 16, bool)
+
+    def held(x: np.ndarray, y: np.ndarray) -> int:
+        seen[y] = True
+        common = np.count_nonzero(seen[x])
+        seen[y] = False
+        return common
+
     def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-        common = min(np.isin(x, y).sum(), np.isin(y, x).sum())
+        x, y = x.view(np.uint16), y.view(np.uint16)
+        common = min(held(x, y), held(y, x))
         return 100 * common >= percent * (nx + ny - common)
 
     return passes
@@ -238,7 +258,7 @@ def _likely(percent: int) -> Callable:
 
 def _reached(percent: int) -> Callable:
     def passes(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
+        common = _held(x, y)
         return 100 * common >= percent * (nx + ny - common)
 
     return passes
