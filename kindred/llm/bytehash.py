@@ -10,8 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK = 1 << 20
+BATCH_ROWS = 512
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: One odd number for each byte value, so that sums of them do not cancel by chance.
@@ -39,13 +42,23 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, np.ndarra
         row = last
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what is made of one takes less memory."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Spark pass texts to Python in batches of a few MB, where the session names no size of its own.
+
+    The buffers of a batch are held by the JVM and by Python at once, for every
+    running task. The setting stays, as results are computed after this returns.
+    """
+    if spark.conf.get(_ARROW_ROWS, None) is None:
+        spark.conf.set(_ARROW_ROWS, str(rows))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kindred.llm.bytehash import Prefixes, blocks, mixed, words
+from kindred.llm.bytehash import Prefixes, blocks, mixed, parts, small_batches, words
 
 LEAST_WORDS = 8  # shorter items are phrases that any text may hold
 PERCENT = 20  # edits allowed, of the words of an item
@@ -170,6 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id
     of at most ``ITEM_BYTES``, as many passes as that needs.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     portions = max(1, -(-size // ITEM_BYTES))
     out = StructType([*(docs.schema[c] for c in key), benchmark.schema["item_id"], StructField("item_words", LongType()), StructField("distance", LongType())])
@@ -186,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id
 def _search(index, item_type: pa.DataType, key: tuple[str, ...]) -> Callable:  # noqa: ANN001
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = index.value
-        for batch in batches:
+        for batch in parts(batches):
             lowered = pa.array([t and t.lower() for t in batch["text"].to_pylist()], pa.large_string())
             for first, offsets, data in blocks(lowered):
                 word, of = text_words(data, offsets)

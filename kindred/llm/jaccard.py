@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, parts, words
+from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, parts, small_batches, words
 from kindred.llm.components import components
 from kindred.llm.words import WORD
 from kindred.session import forget, written
@@ -52,6 +52,7 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     id and different texts are separate nodes. Null ids take part; a group that
     has no other id gets null.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "text", F.xxhash64("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark long, prefix array<long>, sketch array<int>")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from kindred.llm.bytehash import blocks, parts
+from kindred.llm.bytehash import blocks, parts, small_batches
 
 FIT_ROWS = 1024  # bound of the labelled rows that are read for the fit, all languages together
 LANDMARKS = 192
@@ -88,6 +88,7 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     the choice does not depend on the layout of the table. Null or empty texts
     and null languages teach nothing; without rows the model knows no language.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.filter("lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("place"))
     narrow = labelled.select("lang", "place")
     known = narrow.select("lang").distinct().count()
@@ -116,6 +117,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: list[str], text: str = "
     without a letter, and any text under a model without languages is ``und``
     with score 0. Of equal scores the language first by name wins.
     """
+    small_batches(docs.sparkSession)
     languages, weights = np.array([*model.languages, "und"]), model.weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
