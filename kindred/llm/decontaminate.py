@@ -102,8 +102,9 @@ class ItemIndex:
         by_span = defaultdict(list)
         for i, word in enumerate(lists):
             span = max(s for s in SPANS if s <= len(word) - STRIDE + 1)
-            # Long items are walked from several places, short ones from the start only.
-            for piece in range(0, len(word) - span - STRIDE + 2, span):
+            # Walked pieces overlap by half, and the last one reaches the end of the item.
+            last = len(word) - span - STRIDE + 1
+            for piece in sorted({*range(0, last + 1, span // 2), last // 2, last}):
                 by_span[span] += [(i, piece + o) for o in range(STRIDE)]
         keys, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         flat = np.concatenate([np.zeros(0, np.uint64), *lists])

@@ -96,3 +96,21 @@ def test_query(spark):
     assert len(exact) >= 3 and exact <= got
     texts = dict(docs)
     assert all(distance(dict(items)[k], texts[i]) <= len(dict(items)[k]) // 5 for i, k in got)
+
+
+def test_recall_of_edits_gathered_in_one_place():
+    r = np.random.default_rng(4)
+    draw = lambda k: r.integers(1, 1 << 40, k).astype(str).tolist()
+    for n in (60, 66):
+        for part in (0, 2, 4):
+            found = 0
+            for _ in range(30):
+                item = draw(n)
+                at = part * (n // 5)
+                copy = item[:at] + draw(n // 5) + item[at + n // 5 :]
+                index = decontaminate.ItemIndex.build([0], [" ".join(item)])
+                data = np.frombuffer(" ".join(draw(int(r.integers(40))) + copy + draw(30)).encode(), np.uint8)
+                word, of = decontaminate.text_words(data, np.array([0, len(data)]))
+                begin = np.arange(0, len(word), decontaminate.STRIDE)
+                found += len(index.candidates(word, of, begin, np.full(len(begin), len(word)))) > 0
+            assert found >= 28, (n, part, found)
