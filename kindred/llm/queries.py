@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, jaccard, language, mixing, quality, repeats, secrets, tokens, urls
+from kindred.llm import centroids, chat, decontaminate, jaccard, language, mixing, quality, repeats, secrets, tokens, urls, whitening
 from kindred.llm.sql import SQL
 from kindred.llm.words import word_count
 from kindred.sources.files import read_table
@@ -90,6 +90,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -98,7 +106,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
-        op9_jaccard_join, op10_suffix_dedup, pipeline,
+        op9_jaccard_join, op10_suffix_dedup, op12_whitening, op13_centroids, pipeline,
     )
 }
 LLM_ORACLE: dict[str, str] = SQL
