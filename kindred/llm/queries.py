@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import centroids, chat, decontaminate, jaccard, language, mixing, quality, repeats, secrets, tokens, urls, whitening
+from kindred.llm import centroids, chat, decontaminate, jaccard, language, mixing, personal, quality, repeats, secrets, tokens, urls, whitening
 from kindred.llm.sql import SQL
 from kindred.llm.words import word_count
 from kindred.sources.files import read_table
@@ -90,6 +90,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    of = lambda kind: F.size(personal.of_kinds(F.col("found"), kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(of, personal.BASE),
+        F.sha2(personal.listed(personal.of_kinds(F.col("found"), *personal.BASE)), 256).alias("base_sha256"),
+        personal.listed(F.col("found")).alias("spans"),
+    )
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -106,7 +116,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_quality_rules, op3_mixing, op4_chat_format, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_count,
-        op9_jaccard_join, op10_suffix_dedup, op12_whitening, op13_centroids, pipeline,
+        op9_jaccard_join, op10_suffix_dedup, op11_personal_data, op12_whitening, op13_centroids, pipeline,
     )
 }
 LLM_ORACLE: dict[str, str] = SQL

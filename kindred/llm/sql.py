@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kindred.llm.personal import IBAN_LENGTHS, KINDS, SCORES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {}
@@ -68,3 +70,66 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
     sha256(unhex(CASE WHEN a IS NULL THEN h ELSE substring(h, 1, 2 * a[1]) || array_to_string(
         [substring(h, 2 * b[j] + 1, 2 * (coalesce(a[j + 1], length(h) // 2) - b[j])) FOR j IN range(1, length(a) + 1)], '') END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _personal_data() -> str:
+    part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    groups = r"[0-9]+(?:[\x20./-][0-9]+)+"
+    forms = (
+        r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+        r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", groups, groups,
+    )
+    free = "NOT regexp_matches(before, '[A-Za-z0-9+]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]')"
+    ssn = "'[0-9]{3}-[0-9]{2}-[0-9]{4}'"
+    good = (
+        "true", rf"regexp_full_match(s, '{part}\.{part}\.{part}\.{part}')",
+        """length(n) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(n)[i] AS INT)
+            ELSE 2 * CAST(reverse(n)[i] AS INT) - CASE WHEN reverse(n)[i] >= '5' THEN 9 ELSE 0 END END FOR i IN range(1, length(n) + 1)]) % 10 = 0""",
+        "length(n) BETWEEN 10 AND 15",
+        """size IS NOT NULL AND NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(substring(s, size + 1) || after, '^[A-Za-z0-9]')
+            AND list_reduce(list_concat([0], [strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1
+                FOR c IN string_split(substring(replace(left(s, size), ' ', ''), 5) || left(s, 4), '')]), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97) = 1""",
+        f"{free} AND regexp_full_match(s, {ssn}) AND NOT regexp_matches(s, '^(?:000|666|9)|-00-|-0000$')",
+        rf"{free} AND regexp_full_match(s, '[0-9]{{2,4}}(?:[\x20./-][0-9]{{2,4}}){{1,4}}') AND length(n) BETWEEN 7 AND 12 AND NOT regexp_full_match(s, {ssn})",
+    )
+    said = lambda words: f"CAST(regexp_matches(near, '(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)') AS INT)"
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, regexp_extract_all(text, '{f}') AS found, string_split_regex(text, '{f}') AS gaps FROM d" for k, f in enumerate(forms))
+    lengths = " ".join(f"WHEN '{c}' THEN {n}" for c, n in IBAN_LENGTHS.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({found}),
+each AS (SELECT doc_id, k, found, gaps, unnest(range(1, length(found) + 1)) AS i FROM m),
+p AS (SELECT doc_id, k, found[i] AS s, right(gaps[i], 40) AS before, left(gaps[i + 1], 20) AS after,
+    CAST(sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS e FROM each),
+q AS (SELECT *, e - length(s) AS b, regexp_replace(s, '[^0-9]', '', 'g') AS n, translate(before || ' | ' || after, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near,
+    CASE WHEN k = 4 THEN [j FOR j IN range(1, length(s) + 1) IF length(replace(left(s, j), ' ', '')) = CASE left(s, 2) {lengths} END][1] END AS size FROM p),
+r AS (SELECT doc_id, k, b, CASE WHEN k = 4 THEN b + size ELSE e END AS e,
+    CASE k {' '.join(f"WHEN {k} THEN {SCORES[kind][0]} + 0.4 * {said(SCORES[kind][1])} - 0.3 * {said(SCORES[kind][2])}" for k, kind in enumerate(KINDS))} END AS score
+    FROM q WHERE CASE k {' '.join(f"WHEN {k} THEN {g}" for k, g in enumerate(good))} END),
+kept AS (SELECT *, k < 4 AS base, CASE k {' '.join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(KINDS))} END || ':' || b || ':' || e AS said FROM r
+    WHERE k < 4 OR (score >= 0.5 AND NOT EXISTS (SELECT 1 FROM r AS o WHERE o.doc_id = r.doc_id AND o.k < 4 AND o.b < r.e AND r.b < o.e))),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, kind in enumerate(KINDS[:4]))},
+    string_agg(said, ',' ORDER BY b, k) FILTER (base) AS base, string_agg(said, ',' ORDER BY b, k) AS spans FROM kept GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+SQL["op11_personal_data"] = _personal_data()
+
+
+def _centroids(rounds: int = 10, k: int = 8) -> str:
+    near = """SELECT row, vec_id, x, c, z, dist FROM (SELECT v.*, c, z, CAST(list_sum([(x[j] - z[j]) * (x[j] - z[j]) FOR j IN range(1, 65)]) AS BIGINT) AS dist
+        FROM v, k{i}) QUALIFY row_number() OVER (PARTITION BY row ORDER BY dist, c) = 1"""
+    moved = """SELECT c, coalesce(z, old) AS z FROM (SELECT c, z AS old FROM k{i}) LEFT JOIN
+        (SELECT c, list(m ORDER BY j) AS z FROM (SELECT c, j, CAST((s - (s % n + n) % n) // n AS BIGINT) AS m FROM
+            (SELECT c, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT c, x, unnest(range(1, 65)) AS j FROM ({near})) GROUP BY c, j)) GROUP BY c) USING (c)"""
+    steps = "".join(f",\nk{i + 1} AS MATERIALIZED ({moved.format(i=i, near=near.format(i=i))})" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x FROM embeddings
+    WHERE length(embedding) = 64 AND length([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+k0 AS MATERIALIZED (SELECT c - 1 AS c, x AS z FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), ''))) AS c FROM v) WHERE c <= {k}){steps},
+f AS MATERIALIZED ({near.format(i=rounds)})
+SELECT vec_id, CAST(c AS INT) AS "cluster", dist AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256 FROM f"""
+
+
+SQL["op13_centroids"] = _centroids()

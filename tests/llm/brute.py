@@ -117,3 +117,64 @@ def repeats(docs, size=50):
         spans = len(re.findall(b"\1+", gone))
         out[i] = (len(b), sum(gone), spans, SHA(bytes(c for c, g in zip(b, gone, strict=True) if not g)))
     return out
+
+
+def personal(text, least=0.5):
+    """(base spans, all spans) of the personal data in a text, as (start, kind number, end)."""
+    from kindred.llm.personal import IBAN_LENGTHS, KINDS, SCORES
+
+    text = text or ""
+    forms = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "ssn": r"[0-9]+(?:[\x20./-][0-9]+)+", "national": r"[0-9]+(?:[\x20./-][0-9]+)+",
+    }
+
+    def luhn(number):
+        total = 0
+        for i, d in enumerate(map(int, reversed(number))):
+            d = d * 2 if i % 2 else d
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    base, added = [], []
+    for k, kind in enumerate(KINDS):
+        found = list(re.finditer(forms[kind], text))
+        for i, m in enumerate(found):
+            before = text[found[i - 1].end() if i else 0 : m.start()][-40:]
+            after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)][:20]
+            s, end = m[0], m.end()
+            number = re.sub("[^0-9]", "", s)
+            free = not re.search(r"[A-Za-z0-9+]\Z", before) and not re.match("[A-Za-z0-9]", after)
+            if kind == "ip":
+                good = all(int(x) <= 255 for x in s.split("."))
+            elif kind == "card":
+                good = 14 <= len(number) <= 19 and luhn(number)
+            elif kind == "phone":
+                good = 10 <= len(number) <= 15
+            elif kind == "iban":
+                size, places = IBAN_LENGTHS.get(s[:2], 99), [j for j, c in enumerate(s) if c != " "]
+                good = len(places) >= size
+                if good:
+                    end = m.start() + places[size - 1] + 1
+                    account = text[m.start() : end].replace(" ", "")
+                    good = int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+                    good = good and not re.search(r"[A-Za-z0-9]\Z", before) and not re.match("[A-Za-z0-9]", s[end - m.start() :] + after)
+            elif kind == "ssn":
+                good = free and re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", s) and not re.match("000|666|9", s) and "-00-" not in s and not s.endswith("-0000")
+            elif kind == "national":
+                parts = re.split(r"[\x20./-]", s)
+                good = free and 2 <= len(parts) <= 5 and all(2 <= len(p) <= 4 for p in parts) and 7 <= len(number) <= 12 and not re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", s)
+            else:
+                good = True
+            if good and k < 4:
+                base.append((m.start(), k, end))
+            elif good:
+                alone, words, against = SCORES[kind]
+                near = f"{before} | {after}".translate({c: c + 32 for c in range(65, 91)})
+                said = lambda w: re.search(rf"(?:\A|[^a-z0-9])(?:{w})(?:[^a-z0-9]|\Z)", near) is not None  # noqa: B023, E731
+                if round(min(1, max(0, alone + 0.4 * said(words) - 0.3 * said(against))), 3) >= least:
+                    added.append((m.start(), k, end))
+    base.sort()
+    added = [a for a in added if not any(a[0] < b[2] and b[0] < a[2] for b in base)]
+    return base, sorted(base + added)
