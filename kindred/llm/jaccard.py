@@ -4,8 +4,10 @@ Sets are sorted by a hash of their tokens. Two sets that reach the threshold
 differ in few tokens, so among their first ones some two neighbours are common to
 both and neighbours in both; how many are enough follows from the threshold alone
 (``_prefix_length``). Each token of such a prefix is indexed by itself while it is
-rare, and by the combination with its neighbour once it is frequent. What is still
-common to many sets is indexed by longer combinations over longer prefixes.
+rare, and by the combination with its neighbour once it is frequent. Sets that
+combinations still bring together in crowds are indexed anew among themselves, by
+their rarest tokens and with the places of these, so that near copies just below
+the threshold, which differ by tokens of their own, no longer meet.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.bytehash import Prefixes, blocks, lower_ascii, mixed, parts, small_batches, words
@@ -23,8 +25,13 @@ from kindred.llm.words import WORD
 from kindred.session import forget, written
 
 FREQUENT = 16  # a token that so many sets show in their prefix is indexed in combinations
-WIDE = 64  # an entry of more sets is split by longer combinations before pairs are formed
+WIDE = 64  # the sets of an entry of more are indexed anew before pairs are formed
+LEAST_PERCENT = 70  # below this, a combination of two may not fit a set
+BITS = 512  # of the parity map of a set
+_LONGS = BITS // 64
 _FIRST = -(2**63)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+_WHOLE = "id long, n long, set array<long>, brief array<short>"
 
 
 def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -38,8 +45,8 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ``docs`` has ``doc_id`` and ``text``. A text's set holds its distinct
     ``size``-word shingles, A-Z in lower case; with fewer words the whole
     sequence is the only one, without words the set is empty. Two documents link
-    if 100 times the common shingles reach ``percent`` times all of both.
-    Returns ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the
+    if 100 times the common shingles reach ``percent`` times all of both; it is
+    ``LEAST_PERCENT`` or more. Returns ``doc_id``, ``n_shingles``, ``component_id`` (smallest id of the
     group), ``digest`` (hash of the text) and ``label`` (a number of the group,
     null for an empty set), one row per input row.
 
@@ -49,17 +56,20 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     directly. No candidate is left out.
 
     Null text counts as empty; empty sets link with nothing. Rows with the same
-    id and different texts are separate nodes. Null ids take part; a group that
-    has no other id gets null.
+    id and different texts are separate nodes, rows with the same id and text are
+    copies. Null ids take part; a group that has no other id gets null. An empty
+    table gives an empty one.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent lies between {LEAST_PERCENT} and 100")
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "text", F.xxhash64("text").alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark long, prefix array<long>, sketch array<int>")
+    seen = rows.mapInArrow(_prefixes(size, percent), f"doc_id {kind}, doc long, digest long, n long, mark binary, prefix array<long>, sketch array<int>, bits array<long>")
     seen = written(seen, "jaccard-prefixes")
-    sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix", "sketch")).alias("s"))
+    sets = seen.filter("prefix IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc", "digest", "n", "prefix", "sketch", "bits")).alias("s"))
     prefixes = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-prefixes")
-    with_prefixes, seen = seen, written(seen.drop("doc", "prefix", "sketch"), "jaccard-rows")
+    with_prefixes, seen = seen, written(seen.drop("doc", "prefix", "sketch", "bits"), "jaccard-rows")
     forget(with_prefixes)
     entries = written(_index(prefixes), "jaccard-index")
     sets = written(prefixes.drop("prefix"), "jaccard-sets")
@@ -86,26 +96,29 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group: of the smallest id, then of the smallest hash of its text.
 
     Texts without words stay, as they link with nothing. Rows with the same id
-    and text are copies of each other. All columns are kept.
+    and text are copies of each other; the one whose other columns have the
+    smallest hash stays. All columns are kept, whatever their names.
     """
     groups = jaccard_groups(docs, size, percent).filter("label IS NOT NULL")
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("_doc"), F.col("digest").alias("_digest"))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), "digest")
     first = groups.groupBy("label").agg(F.min(place).alias("f")).select("f.*")
-    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long")).withColumn("_digest", F.xxhash64("text"))
-    has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    copy = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy("_doc"))
-    kept = marked.filter(has_words).join(first, ["_doc", "_digest"], "left_semi").withColumn("_copy", copy).filter("_copy = 1")
-    return kept.select(docs.columns).unionByName(docs.filter(~has_words))
+    row = F.struct("*")
+    marked = docs.select(row.alias("row"), F.coalesce(F.col("doc_id"), F.lit(_FIRST)).cast("long").alias("doc"), F.xxhash64("text").alias("digest"))
+    has_words = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    kept = marked.filter(has_words).join(first, ["doc", "digest"], "left_semi")
+    kept = kept.groupBy("doc", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*").unionByName(marked.filter(~has_words).select("row.*"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """Index entries (``key``, ``id``, size ``n``) of tokens that at least two sets have, and how common their tokens are."""
-    tokens = sets.select("id", "n", F.explode(F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))).alias("t"))
-    tokens = tokens.select("id", "n", F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
+    """Index entries (``key``, ``id``, size ``n``, place ``at``) of tokens that at least two sets have, and how common their tokens are."""
+    pairs = F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))
+    tokens = sets.select("id", "n", F.posexplode(pairs).alias("at", "t"))
+    tokens = tokens.select("id", "n", "at", F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
     shared = written(tokens.groupBy("token").count().filter("count > 1"), "jaccard-tokens")
     pair = F.when(F.col("next").isNotNull(), F.xxhash64("token", "next"))
     key = F.when(F.col("count") < FREQUENT, F.col("token")).otherwise(pair)
-    return tokens.join(shared, "token").select(key.alias("key"), "id", "n", "count").filter("key IS NOT NULL")
+    return tokens.join(shared, "token").select(key.alias("key"), "id", "n", "at", "count").filter("key IS NOT NULL")
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -127,55 +140,86 @@ def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int,
 def _still_apart(entries: DataFrame, sets: DataFrame, groups: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of sets with a common entry that no chain of links connects yet.
 
-    Entries of many sets are those of widely shared passages. There all tokens
-    are frequent, so these sets are indexed anew by longer combinations, over a
-    prefix long enough to hold one; only sets too small for that are compared as
-    they are.
+    Entries of many sets are those of widely shared passages and of large groups
+    of near copies. Their sets are indexed anew, among themselves.
     """
-    placed = _labelled(entries.select("key", "id", "n"), groups)
-    few = placed.filter(F.col("times") <= WIDE)
-    many = placed.filter(F.col("times") > WIDE)
-    run = _run_length(percent)
-    small = F.expr(f"{_prefix_length('n', percent, run)} > n")
-    again = many.filter(~small).select("id").distinct()
-    longer = _texts(sets.join(again, "id", "left_semi"), rows).mapInArrow(_runs(size, percent, run), "key long, id long, n long")
-    longer = _labelled(written(longer, "jaccard-runs"), groups)
-    tiny = many.withColumn("small", small)
-    met = _met(few, percent).union(_met(longer, percent)).union(_met(tiny, percent, F.col("x.small") | F.col("y.small")))
-    return met.distinct()
-
-
-def _labelled(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries whose sets are not all of one group, with their group and the number of sets."""
+    info = sets.select("id", "bits").join(groups, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bits")
+    info = written(info, "jaccard-info")
     held = entries.groupBy("key").count().filter("count > 1").select("key")
-    placed = entries.join(held, "key").join(groups, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    placed = written(placed, "jaccard-labelled")
+    placed = written(entries.join(held, "key").join(info.drop("bits"), "id").select("key", "id", "n", "at", "label"), "jaccard-labelled")
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"))
-    return written(placed.join(split.filter("low < high").select("key", "times"), "key"), "jaccard-apart")
+    placed = written(placed.join(split.filter("low < high").select("key", "times"), "key"), "jaccard-apart")
+    few = placed.filter(F.col("times") <= WIDE)
+    many = placed.filter(F.col("times") > WIDE).select("id").distinct()
+    rare = _rarest(sets.join(many, "id", "left_semi"), rows, size, percent)
+    return _met(few, info, percent, _within_combinations).union(_met(rare, info, percent, _within_rarest)).distinct()
 
 
-def _met(placed: DataFrame, percent: int, also: Column | None = None) -> DataFrame:
-    """Pairs of sets of different groups that an entry brings together."""
+def _rarest(sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Index entries of some sets among themselves: the tokens a set may lack and one more, the rarest first.
+
+    Tokens that no other of these sets has are the rarest and need no entry, only
+    their number: a set with more of them than it may lack links with no other.
+    """
+    whole = written(_texts(sets, rows).mapInArrow(_whole(size), _WHOLE).select("id", "n", "set"), "jaccard-crowd")
+    tokens = whole.select("id", "n", F.explode("set").alias("token"))
+    common = tokens.groupBy("token").count().filter("count > 1")
+    shared = tokens.join(common, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+    own = F.col("n") - F.size("shared")
+    most = F.expr(f"n - ({percent} * n + 99) DIV 100") - own + 1
+    near = shared.select("id", "n", own.alias("own"), F.slice("shared", 1, F.greatest(most, F.lit(0)).cast("int")).alias("prefix"))
+    entries = near.select("id", "n", "own", F.posexplode("prefix").alias("at", "t"))
+    return written(entries.select(F.col("t.token").alias("key"), "id", "n", (F.col("at") + F.col("own")).alias("at")), "jaccard-rarest")
+
+
+def _met(entries: DataFrame, info: DataFrame, percent: int, within: Callable[[int], Column]) -> DataFrame:
+    """Pairs of sets of different groups that an entry brings together, unless places or parity maps rule them out.
+
+    A bit of a parity map tells whether an odd number of the tokens that fall on
+    it is there, so maps differ in no more bits than sets in tokens.
+    """
+    bits = (F.col("bits")[i].alias(f"b{i}") for i in range(_LONGS))
+    entries = entries.select("key", "id", "n", "at").join(info.select("id", "label", *bits), "id")
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_LONGS)), F.lit(0))
     apart = F.expr("x.key = y.key AND x.label <> y.label AND x.id < y.id") & _sizes_allow("x.n", "y.n", percent)
-    met = placed.alias("x").join(placed.alias("y"), apart if also is None else apart & also)
+    met = entries.alias("x").join(entries.alias("y"), apart & within(percent) & _few_enough(differ, percent))
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _run_length(percent: int) -> int:
-    """Tokens of a longer combination: four, or three where their prefix would not fit most sets."""
-    return 4 if _prefix_length(100, percent, 4) <= 100 else 3
+def _few_enough(differ: Column, percent: int) -> Column:
+    """Whether two sets that differ in so many tokens at least can reach the threshold."""
+    return differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
+def _within_rarest(percent: int) -> Column:
+    """Places of a token that can be the first common one.
+
+    What stands before it is not common, and of what follows one set has more by the difference.
+    """
+    i, j, more = F.col("x.at"), F.col("y.at"), F.col("x.n") - F.col("y.n")
+    return _few_enough(2 * i - more, percent) & _few_enough(2 * j + more, percent)
 
 
-def _prefix_length(n: int | str, percent: int, run: int) -> int | str:
-    """Tokens after which two sets that reach the threshold have ``run`` neighbours in common.
+def _within_combinations(percent: int) -> Column:
+    """Places of an entry that can be the first common one.
 
-    ``gaps`` bounds the tokens of one set that the other lacks, ``apart`` those
-    of both. What is common, in order, is cut by those ``apart`` into as many
-    runs and one more; if none is longer than ``run - 1``, there are too few.
+    A common token before it is frequent, and is followed by one that is not
+    common before the next: two in three tokens before it at the most are common,
+    and no more than the fewer of both.
     """
-    if isinstance(n, str):
-        return f"({n} - ({percent} * {n} + 99) DIV 100 + {run - 1} * ({100 - percent} * {n} DIV {percent} + 1) + 1)"
-    return n - -(-percent * n // 100) + (run - 1) * ((100 - percent) * n // percent + 1) + 1
+    i, j = F.col("x.at"), F.col("y.at")
+    after = F.abs((F.col("x.n") - i) - (F.col("y.n") - j))
+    return _few_enough((i + j) / 3 + after, percent) & _few_enough(F.abs(i - j) + after, percent)
+
+
+def _prefix_length(n: int, percent: int) -> int:
+    """Tokens after which two sets that reach the threshold have two neighbours in common.
+
+    Bounds the tokens of one set that the other lacks, and those of both. What is
+    common, in order, is cut by the latter into as many runs and one more; if
+    none is longer than one token, there are too few.
+    """
+    return n - -(-percent * n // 100) + (100 - percent) * n // percent + 2
 
 
 def _sizes_allow(x: str, y: str, percent: int) -> Column:
@@ -188,7 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, per
     pairs = written(_compared(pairs, sets.select("id", "n", F.col("sketch").alias("set")), _possible(percent)), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = _texts(sets.join(wanted, "id", "left_semi"), rows)
-    whole = written(texts.mapInArrow(_whole(size), "id long, n long, set array<long>, brief array<short>"), "jaccard-whole")
+    whole = written(texts.mapInArrow(_whole(size), _WHOLE), "jaccard-whole")
     likely = written(_compared(pairs, whole.select("id", "n", F.col("brief").alias("set")), _likely(percent)), "jaccard-likely")
     links = written(_compared(likely, whole, _reached(percent)), "jaccard-links")
     forget(whole)
@@ -196,9 +240,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int, per
 
 
 def _texts(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Texts of some sets, with the marks and ids of what is wanted of them."""
-    wanted = sets.groupBy("doc").agg(F.collect_list(F.struct("mark", "id")).alias("marks"))
-    return rows.join(wanted, "doc").select("text", "marks")
+    """Texts of some sets, with the marks and ids of what is wanted of them: each text once, however often its row repeats."""
+    wanted = sets.groupBy("doc", "digest").agg(F.collect_list(F.struct("mark", "id")).alias("marks"))
+    found = rows.select("doc", "digest", "text").join(wanted, ["doc", "digest"])
+    return found.dropDuplicates(["doc", "digest"]).select("text", "marks")
 
 
 def _compared(pairs: DataFrame, lists: DataFrame, passes: Callable) -> DataFrame:
@@ -293,9 +338,16 @@ def _shingles(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarra
             yield first + i, token[cuts[i] : cuts[i + 1]]
 
 
-def _mark(tokens: np.ndarray) -> int:
-    """Hash of a set."""
-    return int((mixed(tokens.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(tokens))).view(np.int64)) if len(tokens) else 0
+def _mark(tokens: np.ndarray) -> bytes:
+    """Hash of a set, of 128 bits."""
+    token = tokens.view(np.uint64)
+    sums = np.array([mixed(token).sum(dtype=np.uint64), mixed(token ^ _OTHER).sum(dtype=np.uint64)])
+    return mixed(sums + np.uint64(len(token))).tobytes()
+
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount(tokens & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefixes(size: int, percent: int) -> Callable:
@@ -303,19 +355,23 @@ def _prefixes(size: int, percent: int) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for batch in parts(batches):
-            sizes, marks, prefixes, sketches = [], [], [], []
+            sizes, marks, prefixes, sketches, bits = [], [], [], [], []
             for _, tokens in _shingles(batch, size):
                 n, mark = len(tokens), _mark(tokens)
                 fresh = n and mark not in known
                 sizes.append(n)
                 marks.append(mark)
-                prefixes.append(tokens[: _prefix_length(n, percent, 2)] if fresh else None)
+                prefixes.append(tokens[: _prefix_length(n, percent)] if fresh else None)
                 sketches.append((tokens[: 16 + n * (100 - percent) // 120] >> 32).astype(np.int32) if fresh else None)
+                bits.append(_parity(tokens) if fresh else None)
                 known.add(mark)
             yield pa.record_batch(
-                [batch["doc_id"], batch["doc"], batch["digest"], pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
-                ["doc_id", "doc", "digest", "n", "mark", "prefix", "sketch"],
-            )
+                [
+                    batch["doc_id"], batch["doc"], batch["digest"], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "doc", "digest", "n", "mark", "prefix", "sketch", "bits"],
+            )
 
     return read
 
@@ -339,24 +395,3 @@ def _whole(size: int) -> Callable:
             )
 
     return read
-
-
-def _runs(size: int, percent: int, run: int) -> Callable:
-    """Combinations of ``run`` neighbours in the prefix of each wanted set."""
-    odd = mixed(np.arange(101, 101 + run, dtype=np.uint64)) | np.uint64(1)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()
-        for batch in parts(batches):
-            wanted = [{m["mark"]: m["id"] for m in row} for row in batch["marks"].to_pylist()]
-            out = [(np.zeros(0, np.int64),) * 3]
-            for i, tokens in _shingles(batch, size):
-                number, n = wanted[i].get(_mark(tokens)), len(tokens)
-                if number is not None and number not in done:
-                    done.add(number)
-                    head = tokens[: _prefix_length(n, percent, run)].view(np.uint64)
-                    key = mixed(sum(head[j : len(head) - run + 1 + j] * odd[j] for j in range(run))).view(np.int64)
-                    out.append((key, np.full(len(key), number), np.full(len(key), n)))
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "id", "n"])
-
-    return read

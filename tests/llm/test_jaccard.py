@@ -74,3 +74,40 @@ def test_query(spark):
 
 def test_empty(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA), 4, 85).collect() == []
+
+
+def test_combinations_of_two_fit_every_set():
+    from kindred.llm.jaccard import LEAST_PERCENT, _prefix_length
+
+    for percent in range(LEAST_PERCENT, 101):
+        assert all(_prefix_length(n, percent) <= n for n in range(2, 400))
+
+
+def test_parity_maps_never_rule_out_too_much():
+    import numpy as np
+
+    from kindred.llm.jaccard import _parity
+
+    r = np.random.default_rng(5)
+    for n in (1, 5, 60, 400, 3000):
+        x = r.integers(-(2**63), 2**63 - 1, n)
+        y = np.concatenate([x[: n - n // 5], r.integers(-(2**63), 2**63 - 1, n // 4)])
+        differ = sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((a ^ b) + 2**64).bit_count() for a, b in zip(_parity(x).tolist(), _parity(y).tolist(), strict=True))
+        assert differ <= len(set(x) ^ set(y))
+
+
+def test_a_crowd_just_below_and_above_the_threshold(spark, monkeypatch):
+    """Near copies of one text by more and more edits, so that wide entries hold many groups."""
+    from kindred.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "WIDE", 4)
+    for seed, percent, size in ((1, 85, 4), (2, 80, 5), (3, 70, 1)):
+        r = random.Random(seed)
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        docs = []
+        for i in range(140):
+            copy = list(base[: 60 if i % 7 == 0 else 120])
+            for _ in range(r.randrange(0, 9)):
+                copy[r.randrange(len(copy))] = f"e{r.randrange(40 if i % 2 else 10**6)}"
+            docs.append((i, " ".join(copy)))
+        check(spark, docs, size, percent)
