@@ -79,6 +79,7 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     groups = written(components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "label"), "jaccard-groups")
     apart = _still_apart(entries, sets, groups, rows, size, percent)
     more = _verified(apart, sets, rows, size, percent)
+    forget(entries)
     if not more.isEmpty():
         groups = components(links.unionByName(more)).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
 
@@ -114,11 +115,13 @@ def _index(sets: DataFrame) -> DataFrame:
     """Index entries (``key``, ``id``, size ``n``, place ``at``) of tokens that at least two sets have, and how common their tokens are."""
     pairs = F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))
     tokens = sets.select("id", "n", F.posexplode(pairs).alias("at", "t"))
-    tokens = tokens.select("id", "n", "at", F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
+    place = F.shiftleft("n", 32) + F.col("at")  # both in one number, as these are the most rows to be shuffled
+    tokens = tokens.select("id", place.alias("place"), F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
     shared = written(tokens.groupBy("token").count().filter("count > 1"), "jaccard-tokens")
     pair = F.when(F.col("next").isNotNull(), F.xxhash64("token", "next"))
     key = F.when(F.col("count") < FREQUENT, F.col("token")).otherwise(pair)
-    return tokens.join(shared, "token").select(key.alias("key"), "id", "n", "at", "count").filter("key IS NOT NULL")
+    n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    return tokens.join(shared, "token").select(key.alias("key"), "id", n.alias("n"), at.alias("at"), "count").filter("key IS NOT NULL")
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -148,7 +151,8 @@ def _still_apart(entries: DataFrame, sets: DataFrame, groups: DataFrame, rows: D
     held = entries.groupBy("key").count().filter("count > 1").select("key")
     placed = written(entries.join(held, "key").join(info.drop("bits"), "id").select("key", "id", "n", "at", "label"), "jaccard-labelled")
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"))
-    placed = written(placed.join(split.filter("low < high").select("key", "times"), "key"), "jaccard-apart")
+    labelled, placed = placed, written(placed.join(split.filter("low < high").select("key", "times"), "key"), "jaccard-apart")
+    forget(labelled)
     few = placed.filter(F.col("times") <= WIDE)
     many = placed.filter(F.col("times") > WIDE).select("id").distinct()
     rare = _rarest(sets.join(many, "id", "left_semi"), rows, size, percent)
@@ -162,14 +166,21 @@ def _rarest(sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     their number: a set with more of them than it may lack links with no other.
     """
     whole = written(_texts(sets, rows).mapInArrow(_whole(size), _WHOLE).select("id", "n", "set"), "jaccard-crowd")
+    lacking = F.expr(f"n - ({percent} * n + 99) DIV 100")
+    alone = whole.select("id", F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("own"))
+    near = whole.join(alone, "id", "left").filter(F.coalesce("own", F.lit(0)) <= lacking).select("id", "n", "set")
+    crowd, whole = whole, written(near, "jaccard-near")
+    forget(crowd)
     tokens = whole.select("id", "n", F.explode("set").alias("token"))
     common = tokens.groupBy("token").count().filter("count > 1")
     shared = tokens.join(common, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
     own = F.col("n") - F.size("shared")
-    most = F.expr(f"n - ({percent} * n + 99) DIV 100") - own + 1
-    near = shared.select("id", "n", own.alias("own"), F.slice("shared", 1, F.greatest(most, F.lit(0)).cast("int")).alias("prefix"))
-    entries = near.select("id", "n", "own", F.posexplode("prefix").alias("at", "t"))
-    return written(entries.select(F.col("t.token").alias("key"), "id", "n", (F.col("at") + F.col("own")).alias("at")), "jaccard-rarest")
+    prefix = F.slice("shared", 1, F.greatest(lacking - own + 1, F.lit(0)).cast("int"))
+    entries = shared.select("id", "n", own.alias("own"), F.posexplode(prefix).alias("at", "t"))
+    entries = written(entries.select(F.col("t.token").alias("key"), "id", "n", (F.col("at") + F.col("own")).alias("at")), "jaccard-rarest")
+    forget(whole)
+    return entries
 
 
 def _met(entries: DataFrame, info: DataFrame, percent: int, within: Callable[[int], Column]) -> DataFrame:
