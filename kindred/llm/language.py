@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,8 @@ RIDGE = 1e-3
 ORDERS = (1, 2, 3, 4)
 WIDTH = 1 << 14  # hashed n-grams
 SHARPNESS = 4.0
+SPREAD = 64  # parts in which the rows of a language are cut down before they meet
 _ROWS = 128  # texts whose presence bits are held at once
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are no letters count as one space.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = np.where(np.char.isalpha(np.array([chr(i) for i in range(128)])), _FOLD[:128], 32)
@@ -85,8 +84,10 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     """Fit on at most ``rows`` of the labelled rows of ``docs`` (``doc_id``, ``text``, ``lang``).
 
     Every language gives as many, first in the order of a hash of their text, so
-    the choice does not depend on the layout of the table. Null or empty texts
-    and null languages teach nothing; without rows the model knows no language.
+    the choice does not depend on the layout of the table; of more languages than
+    rows, those whose first hash is smallest give one each. Null or empty texts
+    and null languages teach nothing, repeated ones teach once; without rows the
+    model knows no language.
     """
     small_batches(docs.sparkSession)
     labelled = docs.filter("lang IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("place"))
@@ -94,9 +95,12 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
     known = narrow.select("lang").distinct().count()
     if not known:
         return fit(np.zeros((0, WIDTH), bool), [])
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    most = max(1, rows // known)
+    spread = F.pmod(F.col("place"), F.lit(SPREAD))
+    wanted = narrow.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang", spread).orderBy("place"))).filter(F.col("rank") <= most)
+    wanted = wanted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("rank") <= most)
     # At most `rows` rows, and for each no more than a hash.
-    wanted = F.broadcast(narrow.distinct().withColumn("rank", first).filter(F.col("rank") <= max(1, rows // known)).select("lang", "place"))
+    wanted = F.broadcast(wanted.orderBy("rank", "place", "lang").limit(rows).select("lang", "place"))
     chosen = labelled.join(wanted, ["lang", "place"]).dropDuplicates(["lang", "place"]).select("lang", "place", "text")
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: list[str], text: str = "
 
     Texts are scored in blocks, each by one matrix product. A null text, one
     without a letter, and any text under a model without languages is ``und``
-    with score 0. Of equal scores the language first by name wins.
+    with score 0. Of equal scores the language first by name wins. Repeated rows
+    are scored each, an empty table gives an empty one, other columns are ignored.
     """
     small_batches(docs.sparkSession)
     languages, weights = np.array([*model.languages, "und"]), model.weights
@@ -130,7 +135,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: list[str], text: str = "
                 best.append(raised.argmax(1))
                 high.append(raised.max(1) / raised.sum(1))
             best, high = np.concatenate(best), np.concatenate(high)
-            none = np.array([_LETTER.search(t) is None for t in texts], bool)
+            none = np.array([not any(map(str.isalpha, t)) for t in texts], bool)
             if not len(best):
                 best, high, none = np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool)
             best[none], high[none] = len(languages) - 1, 0.0
