@@ -13,7 +13,7 @@ from kindred.catalog.inputs import ALLOWED, BOOK_SAMPLE, PAPER_SAMPLE
 from kindred.functions import text as T
 from kindred.functions.accents import fold_accents
 from kindred.functions.vectors import l2_normalize
-from kindred.operators.cells import assign_cells, topk_cells, train_cells
+from kindred.operators.cells import assign_cells, best_products, measured, topk_bounded, topk_cells, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.lemma import lemmatize
 from kindred.operators.position import dense_index, first_rows, sample_exact
@@ -466,13 +466,10 @@ def kmeans_cells(spark, sf_dir):
     """Cells and vectors of a trained index, and vectors that lie in another cell than their nearest."""
     cells, assigned = _cells(spark, sf_dir, trained=True)
     product = F.aggregate(F.zip_with("embedding", "centroid", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    own = assigned.join(F.broadcast(cells), "cell_id").select("item_id", "cell_id", product.alias("own"))
-    vectors = inputs.item_vectors(spark, sf_dir).withColumnRenamed("item_id", "query_id")
-    centroids = cells.select(F.col("cell_id").alias("item_id"), F.col("centroid").alias("embedding"))
-    best = topk_dense(vectors, centroids, 1).select(F.col("query_id").alias("item_id"), "score")
-    return own.join(best, "item_id").agg(
+    own = best_products(assigned, cells)
+    return own.agg(
         F.countDistinct("cell_id").alias("cells"), F.count("*").alias("vectors"),
-        F.count_if(F.col("own") < F.col("score") - 0.000001).alias("misplaced"),
+        F.count_if(F.col("own") < F.col("best") - 0.000001).alias("misplaced"),
     )
 
 
@@ -484,7 +481,7 @@ def ivf_cell_sizes(spark, sf_dir):
 @register
 def dense_topk_ivf(spark, sf_dir):
     cells, assigned = _cells(spark, sf_dir)
-    return topk_cells(inputs.query_vectors(spark, sf_dir), assigned, cells, 10, n_probe=4)
+    return topk_bounded(inputs.query_vectors(spark, sf_dir), assigned, measured(assigned, cells), 10, n_probe=4)
 
 
 @register
@@ -493,6 +490,25 @@ def dense_topk_ivf_all_cells(spark, sf_dir):
     return topk_cells(inputs.query_vectors(spark, sf_dir), assigned, cells, 10, n_probe=CELLS)
 
 
+@register
+def semantic_topk_cells(spark, sf_dir):
+    """The search of ``semantic_topk`` through trained cells."""
+    model = _model(spark, sf_dir, terms=None, n_cells=CELLS)
+    return similar_items(inputs.query_texts(spark, sf_dir), model, "semantic", 10, n_probe=4).select(*_RANKED)
+
+
+@register
+def recommend_cells_source(spark, sf_dir):
+    """``recommend_semantic_source`` through trained cells."""
+    model = _model(spark, sf_dir, corpus, terms=None, n_cells=CELLS)
+    queries = inputs.query_texts(spark, sf_dir)
+    modes = [
+        recommend(queries, model, "semantic", source="page", mode=mode, n_probe=4).select(F.lit(mode).alias("mode"), *_RANKED)
+        for mode in ("parity", "exact")
+    ]
+    return reduce(DataFrame.unionByName, modes)
+
+
 @register
 def recommend_query(spark, sf_dir):
     model = _model(spark, sf_dir, corpus, encoder=None)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators.cells import assign_cells, train_cells
+from kindred.operators.cells import assign_cells, measured, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
 from kindred.plans.prepare import usable
@@ -114,7 +114,8 @@ def fit_model(
         vectors = written(encoder(docs, "item_id", text_col), "vectors")
     if n_cells is not None:
         cells = train_cells(vectors, n_cells)
-        return replace(model, vectors=assign_cells(vectors, cells), cells=cells)
+        vectors = written(assign_cells(vectors, cells), "vectors")
+        return replace(model, vectors=vectors, cells=measured(vectors, cells))
     return replace(model, vectors=vectors)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import clean_text, strip
-from kindred.operators.cells import topk_cells
+from kindred.operators.cells import topk_bounded
 from kindred.operators.joins import BROADCAST_ROWS, row_bound
 from kindred.operators.topk import SELF_SCORE, rank_items, topk_dense, topk_sparse, without_self
 from kindred.plans.model import Model
@@ -58,8 +58,9 @@ def nearest(
 ) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items by one method.
 
-    ``n_probe`` asks for the approximate search in cells. ``source`` restricts
-    the items that are compared.
+    ``n_probe`` asks for the search in cells: so many are read first, and then
+    those that may still hold a better answer. ``source`` restricts the items
+    that are compared.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
@@ -80,7 +81,7 @@ def nearest(
         return topk_dense(ready, items, k, below, encode)
     if model.cells is None:
         raise ValueError("this model has no cells; fit it with n_cells or leave n_probe out")
-    return topk_cells(ready, items, model.cells, k, n_probe, below, encode)
+    return topk_bounded(ready, items, model.cells, k, n_probe, below, encode)
 
 
 def similar_items(queries: DataFrame, model: Model, method: str, top_n: int = 10, n_probe: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import joins, topk
-from kindred.operators.cells import assign_cells, topk_cells, train_cells, use_cells
+from kindred.operators.cells import CellBounds, assign_cells, measured, topk_bounded, topk_cells, train_cells, use_cells
 from kindred.operators.encode import encode_with, hashed_vectors
 from kindred.operators.terms import ngrams, tokens, top_rows
 from kindred.operators.topk import topk_dense, without_self
@@ -192,6 +192,46 @@ def test_cells(spark):
     assert use_cells(1950, 50) and not use_cells(1949, 50)
 
 
+def answers(df):
+    return sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.5, 5.0])
+def test_bounded_search_equals_the_exact_one(spark, spread):
+    """From vectors that lie in clear cells to ones that lie in none."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(12, 16))
+    matrix = np.concatenate([c + spread * rng.normal(size=(40, 16)) for c in centers])
+    matrix[::3] /= np.linalg.norm(matrix[::3], axis=1, keepdims=True)
+    matrix[5:9] = 0
+    matrix[100:160] = matrix[100]  # ties across the k-th place
+    vectors, asked = vectors_table(spark, matrix).cache(), vectors_table(spark, np.concatenate([matrix[::29], np.zeros((1, 16))]), "query_id")
+    cells = train_cells(vectors, 12)
+    assigned = assign_cells(vectors, cells).cache()
+    bounds = measured(assigned, cells)
+    for k, below, n_probe in ((10, None, 1), (10, 0.9999, 2), (90, None, 3), (1000, None, 1)):
+        assert answers(topk_bounded(asked, assigned, bounds, k, n_probe, below)) == answers(topk_dense(asked, vectors, k, below))
+    half = assigned.filter("item_id < 'v0200'")  # part of what was measured
+    assert answers(topk_bounded(asked, half, bounds, 10)) == answers(topk_dense(asked, half.drop("cell_id"), 10))
+    assert topk_bounded(asked.limit(0), assigned, bounds, 10).count() == 0
+    known = CellBounds.collect(bounds)
+    best = np.array([[(q @ np.array(rows).T).max() for q in matrix[:50]] for rows in (
+        [r["embedding"] for r in assigned.filter(f"cell_id = {c}").collect()] for c in known.ids.tolist())]).T
+    upper = known.upper(matrix[:50])
+    assert (upper >= best).all()
+    if spread == 0.05:  # the bounds rule most cells out
+        tenth = np.sort(matrix[:50] @ matrix.T, axis=1)[:, -10][:, None]
+        assert (upper >= tenth).mean() < 0.3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_cell_search_misses_nothing_on_the_driver_tables(spark, sf):
+    from kindred.catalog.queries import QUERIES
+
+    folder = f"/root/testdata/{sf}"
+    assert answers(QUERIES["dense_topk_ivf"](spark, folder)) == answers(QUERIES["dense_topk_exact"](spark, folder))
+
+
 def test_hashed_vectors(spark):
     docs = spark.createDataFrame([("a", "red fox red"), ("b", ""), ("c", "fox red red")], "item_id string, t string")
     got = {r["item_id"]: r["embedding"] for r in hashed_vectors(docs, "item_id", "t", 32).collect()}
