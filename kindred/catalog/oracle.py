@@ -461,3 +461,5 @@ SELECT n AS items, n AS vectors, t AS items_with_terms, n - t AS items_without_t
 
 ORACLE["semantic_topk_cells"] = ORACLE["semantic_topk"]
 ORACLE["recommend_cells_source"] = ORACLE["recommend_semantic_source"]
+ORACLE["tfidf_topk_index"] = ORACLE["tfidf_topk"]
+ORACLE["recommend_index_source"] = ORACLE["recommend_source_filter"]

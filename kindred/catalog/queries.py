@@ -405,6 +405,25 @@ def tfidf_topk(spark, sf_dir):
     return similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir, encoder=None), "tfidf", 10).select(*_RANKED)
 
 
+@register
+def tfidf_topk_index(spark, sf_dir):
+    """The search of ``tfidf_topk`` through the inverted index."""
+    model = _model(spark, sf_dir, encoder=None, index=True)
+    return similar_items(inputs.query_texts(spark, sf_dir), model, "tfidf", 10).select(*_RANKED)
+
+
+@register
+def recommend_index_source(spark, sf_dir):
+    """``recommend_source_filter`` through the inverted index."""
+    model = _model(spark, sf_dir, corpus, encoder=None, index=True)
+    queries = inputs.query_texts(spark, sf_dir)
+    modes = [
+        recommend(queries, model, "tfidf", source="page", mode=mode).select(F.lit(mode).alias("mode"), *_RANKED)
+        for mode in ("parity", "exact")
+    ]
+    return reduce(DataFrame.unionByName, modes)
+
+
 @register
 def topk_with_metadata(spark, sf_dir):
     answers = similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir, encoder=None), "tfidf", 3)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from kindred.operators.cells import assign_cells, measured, train_cells
 from kindred.operators.encode import hashed_vectors
+from kindred.operators.postings import TermIndex, build_index, load_index
 from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
 from kindred.plans.prepare import usable
-from kindred.session import written
+from kindred.session import fresh_path, written
 from kindred.sources.files import ITEM_COLUMNS
 
 
@@ -40,6 +41,7 @@ class Model:
     packed: DataFrame | None = None  # (item_id, terms, weights), one row per item
     vectors: DataFrame | None = None
     cells: DataFrame | None = None
+    index: TermIndex | None = None  # postings by term, for searches with few queries
     terms: TermOptions = TermOptions()
     encoder: Encoder | None = hashed_vectors
 
@@ -93,6 +95,7 @@ def fit_model(
     encoder: Encoder | None = hashed_vectors,
     n_cells: int | None = None,
     metadata: DataFrame | None = None,
+    index: bool = False,
 ) -> Model:
     """Fit the model tables to cleaned items; null and blank texts count for nothing.
 
@@ -101,13 +104,17 @@ def fit_model(
     by feature hashing unless it is given; vectors that exist already are taken
     from ``vectors`` (item_id, embedding). No item is encoded twice: vectors
     are written, too. ``terms`` or ``encoder`` of None leaves that part out.
-    Cells are trained if ``n_cells`` is given. ``metadata`` may be a table of raw items: answers pick the fitted ones.
+    Cells are trained if ``n_cells`` is given. With ``index`` postings are also
+    written by term, and those of items in the order of items. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
     docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, postings = fit_terms(docs, "item_id", text_col, terms)
-        model = replace(model, vocab=vocab, packed=written(pack(postings), "postings"), terms=terms)
+        packed = pack(postings)
+        packed = written(packed.repartitionByRange("item_id").sortWithinPartitions("item_id") if index else packed, "postings")
+        by_term = build_index(packed, fresh_path(items.sparkSession, "index")) if index else None
+        model = replace(model, vocab=vocab, packed=packed, index=by_term, terms=terms)
     if vectors is None:
         if encoder is None:
             return model
@@ -131,7 +138,10 @@ def save_model(model: Model, path: str, cell_files: int = 16) -> None:
     model.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
     if model.vocab is not None:
         model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        model.packed.write.mode("overwrite").parquet(f"{path}/postings")
+        ordered = model.packed if model.index is None else model.packed.repartitionByRange("item_id").sortWithinPartitions("item_id")
+        ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    if model.index is not None:
+        build_index(model.packed, f"{path}/index")
     if model.vectors is None:
         return
     if model.cells is None:
@@ -149,6 +159,7 @@ def load_model(
     with_cells: bool = False,
     terms: TermOptions | None = TermOptions(),
     encoder: Encoder | None = hashed_vectors,
+    with_index: bool = False,
 ) -> Model:
     """The tables written by ``save_model``, read from their files.
 
@@ -159,6 +170,7 @@ def load_model(
     model = Model(metadata=spark.read.parquet(f"{path}/metadata"), encoder=encoder)
     if terms is not None:
         model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), packed=spark.read.parquet(f"{path}/postings"), terms=terms)
+        model = replace(model, index=load_index(spark, f"{path}/index") if with_index else None)
     if encoder is None:
         return model
     cells = spark.read.parquet(f"{path}/cells") if with_cells else None

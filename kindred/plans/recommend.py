@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import clean_text, strip
 from kindred.operators.cells import topk_bounded
 from kindred.operators.joins import BROADCAST_ROWS, row_bound
+from kindred.operators.postings import INDEX_BLOCK, topk_index
 from kindred.operators.topk import SELF_SCORE, rank_items, topk_dense, topk_sparse, without_self
 from kindred.plans.model import Model
 
@@ -59,7 +60,8 @@ def nearest(
     """(query_id, item_id, score, rank): the k nearest items by one method.
 
     ``n_probe`` asks for the search in cells: so many are read first, and then
-    those that may still hold a better answer. ``source`` restricts the items
+    those that may still hold a better answer. A few queries of method ``tfidf``
+    go through the model's inverted index if it has one. ``source`` restricts the items
     that are compared.
     """
     if method not in METHODS:
@@ -71,6 +73,8 @@ def nearest(
     if source is not None:
         wanted = model.metadata.filter(F.col("source") == source).select("item_id")
         items = items.join(wanted, "item_id", "left_semi")
+    if method == "tfidf" and model.index is not None and row_bound(ready.select("query_id"), INDEX_BLOCK) is not None:
+        return topk_index(lambda block: model.query_terms(block, "query_text"), ready, model.index, items, k, below)
     if method == "tfidf":
         return topk_sparse(lambda block: model.query_terms(block, "query_text"), ready, items, k, below)
 
@@ -126,26 +130,24 @@ def recommend(
 def compare_methods(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two sets of answers side by side by rank, with counts and the overlap per query."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(
-            "query_id",
-            "rank",
-            F.col("item_id").alias(f"{name}_item"),
-            F.col("similarity_score").alias(f"{name}_score"),
-        )
-
-    pairs = side(left, "left").join(side(right, "right"), ["query_id", "rank"], "full")
-    shared = (
-        left.select("query_id", "item_id")
-        .join(right.select("query_id", "item_id"), ["query_id", "item_id"])
-        .groupBy("query_id")
-        .agg(F.count("*").alias("overlap"))
-    )
+        return df.select("query_id", "rank", "item_id", "similarity_score", F.lit(name).alias("side"))
+
+    def of(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == name, F.col(column)))
+
+    # Both tables are scored once: what they share is counted in the rows of their union.
+    both = side(left, "left").unionByName(side(right, "right"))
+    shared = F.count("*").over(Window.partitionBy("query_id", "item_id")) > 1
+    pairs = both.withColumn("shared", shared).groupBy("query_id", "rank").agg(
+        *(of(name, column).alias(f"{name}_{short}") for name in ("left", "right") for column, short in (("item_id", "item"), ("similarity_score", "score"))),
+        F.count_if((F.col("side") == "left") & F.col("shared")).alias("shared"),
+    )
     per_query = Window.partitionBy("query_id")
     return (
         pairs.withColumn("left_count", F.count("left_item").over(per_query))
         .withColumn("right_count", F.count("right_item").over(per_query))
-        .join(shared, "query_id", "left")
-        .withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+        .withColumn("overlap", F.sum("shared").over(per_query))
+        .drop("shared")
     )
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
-_written_to: dict[int, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LISTS = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred", shared: str | None = None) -> SparkSession:
@@ -55,17 +55,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Let Spark remove the shuffle files of each query as soon as it has run."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(name, before)
+
+
+def dropping_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Let Spark remove the shuffle files of each query as soon as it has run."""
+    return setting(spark, _CLEANUP, "true")
+
+
+def pushing_lists(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Let filters by lists of up to ``most`` values reach Parquet files as they are, not as a range."""
+    return setting(spark, _LISTS, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -79,11 +89,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     with dropping_shuffles(spark):
         df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    _written_to[id(table)] = path
+    table.written_to = path
     return table
 
 
 def forget(table: DataFrame) -> None:
     """Remove a table that ``written`` returned and that nothing will read again."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_written_to.pop(id(table)))
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

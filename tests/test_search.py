@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import joins, topk
+from kindred import session
+from kindred.operators import joins, postings, topk
 from kindred.operators.cells import CellBounds, assign_cells, measured, topk_bounded, topk_cells, train_cells, use_cells
 from kindred.operators.encode import encode_with, hashed_vectors
 from kindred.operators.terms import ngrams, tokens, top_rows
@@ -107,6 +108,62 @@ def test_similar_items_against_brute_force(model, questions):
         assert by_query[number] == [s for s in ranked if s[1] < 0.9999][:3]
 
 
+def zipf_items(spark, n, seed=7):
+    rng = np.random.default_rng(seed)
+    words = np.minimum(rng.zipf(1.3, size=(n, 40)), 3000)
+    rows = [(f"item_{i:05d}", "s", None, None, None, None, " ".join(f"w{w:04d}" for w in row)) for i, row in enumerate(words)]
+    rows += [(f"copy_{i}", "s", None, None, None, None, rows[0][6]) for i in range(30)]  # ties across the k-th place
+    return spark.createDataFrame(rows, "item_id string, source string, title string, text string, authors string, category string, text_clean string")
+
+
+def test_inverted_index_equals_the_scan(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    monkeypatch.setattr(postings, "GROUP", 64)
+    items = zipf_items(spark, 600)
+    model = fit_model(items, encoder=None, index=True, terms=TermOptions(max_features=2000))
+    blocks = model.index.blocks
+    assert blocks.filter("size(items) > 16 OR size(items) <> size(weights) OR top <> array_max(weights)").count() == 0
+    assert blocks.agg(F.sum(F.size("items"))).first()[0] == model.postings.count() == model.index.tops.agg(F.sum("postings")).first()[0]
+    texts = items.filter("item_id IN ('item_00000', 'item_00100', 'item_00200')").select("item_id", F.col("text_clean").alias("text"))
+    asked = texts.selectExpr("hash(item_id) AS query_id", "text").unionByName(
+        spark.createDataFrame([(1, "w0001 w0002"), (2, "w0007"), (3, "nothing known"), (4, "w0001")], "query_id int, text string")
+    )
+    for k, below in ((10, None), (3, 0.9999), (1000, None)):
+        for lookup in (postings.LOOKUP_KEYS, 0):
+            monkeypatch.setattr(postings, "LOOKUP_KEYS", lookup)
+            terms = lambda block: model.query_terms(block)
+            through = postings.topk_index(terms, asked, model.index, model.packed, k, below)
+            assert answers(through) == answers(topk.topk_sparse(terms, asked, model.packed, k, below))
+        monkeypatch.undo()
+        monkeypatch.setattr(postings, "BLOCK", 16)
+    part = model.packed.filter("item_id > 'item_00300'")
+    assert answers(postings.topk_index(terms, asked, model.index, part, 5)) == answers(topk.topk_sparse(terms, asked, part, 5))
+    assert postings.topk_index(terms, asked.limit(0), model.index, model.packed, 5).count() == 0
+    save_model(model, f"{tmp_path}/model")
+    loaded = load_model(spark, f"{tmp_path}/model", encoder=None, with_index=True)
+    assert answers(postings.topk_index(terms, asked, loaded.index, loaded.packed, 5)) == answers(topk.topk_sparse(terms, asked, model.packed, 5))
+
+
+def test_few_queries_read_a_small_share_of_the_postings(spark):
+    model = fit_model(zipf_items(spark, 3000), encoder=None, index=True, terms=TermOptions(max_features=2000, ngram_max=1))
+    asked = spark.createDataFrame([(1, "w0001 w0002 w0900 w0901 w0950"), (2, "w0001 w0003 w0800 w0801")], "query_id int, text string")
+    wanted = model.query_terms(asked).join(model.index.tops, "term").withColumn("bound", F.col("weight") * F.col("top"))
+    best = topk.topk_sparse(model.query_terms, asked, model.packed, 3).filter("rank = 3").selectExpr("query_id", "score AS least")
+    read = postings.essential(wanted, best).agg(F.sum("postings")).first()[0]
+    assert read < 0.1 * wanted.agg(F.sum("postings")).first()[0] < 0.1 * model.postings.count()
+
+
+def test_lists_of_keys_reach_the_files(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("concat('t', lpad(id, 6, '0')) AS term", "id AS v")
+    rows.repartitionByRange(8, "term").sortWithinPartitions("term").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    keys = spark.createDataFrame([(f"t{i:06d}",) for i in range(0, 40)], "term string")
+    with session.pushing_lists(spark, 100):
+        found = postings.among(table, "term", keys)
+        assert found.count() == 40
+        assert "PushedFilters: [In(term" in found._jdf.queryExecution().toString()
+
+
 def test_blocks_of_queries(spark, model, questions, monkeypatch):
     whole = recommend(questions, model, "tfidf").orderBy("query_id", "rank").collect()
     dense = recommend(questions, model, "semantic").orderBy("query_id", "rank").collect()
