@@ -71,7 +71,7 @@ def jaccard_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     prefixes = written(sets.select("mark", "s.*", F.monotonically_increasing_id().alias("id")), "jaccard-prefixes")
     with_prefixes, seen = seen, written(seen.drop("doc", "prefix", "sketch", "bits"), "jaccard-rows")
     forget(with_prefixes)
-    entries = written(_index(prefixes), "jaccard-index")
+    entries = _index(prefixes)
     sets = written(prefixes.drop("prefix"), "jaccard-sets")
     forget(prefixes)
 
@@ -112,16 +112,21 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """Index entries (``key``, ``id``, size ``n``, place ``at``) of tokens that at least two sets have, and how common their tokens are."""
-    pairs = F.arrays_zip("prefix", F.expr("slice(prefix, 2, size(prefix))").alias("next"))
-    tokens = sets.select("id", "n", F.posexplode(pairs).alias("at", "t"))
-    place = F.shiftleft("n", 32) + F.col("at")  # both in one number, as these are the most rows to be shuffled
-    tokens = tokens.select("id", place.alias("place"), F.col("t.prefix").alias("token"), F.col("t.next").alias("next"))
+    """Index entries (``key``, ``id``, size ``n``, place ``at``) of tokens that at least two sets have, and how common their tokens are.
+
+    All tokens of all prefixes are shuffled, so they take along no more than
+    their place; what only few of them need comes from the sets afterwards.
+    """
+    tokens = sets.select("id", F.posexplode("prefix").alias("at", "token"))
     shared = written(tokens.groupBy("token").count().filter("count > 1"), "jaccard-tokens")
-    pair = F.when(F.col("next").isNotNull(), F.xxhash64("token", "next"))
+    held = written(tokens.join(shared, "token").select("id", "at", "token", "count"), "jaccard-held")
+    whole = held.join(sets.select("id", "n", "prefix"), "id")
+    following = F.get("prefix", F.col("at") + 1)
+    pair = F.when(following.isNotNull(), F.xxhash64("token", following))
     key = F.when(F.col("count") < FREQUENT, F.col("token")).otherwise(pair)
-    n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    return tokens.join(shared, "token").select(key.alias("key"), "id", n.alias("n"), at.alias("at"), "count").filter("key IS NOT NULL")
+    entries = written(whole.select(key.alias("key"), "id", "n", "at", "count").filter("key IS NOT NULL"), "jaccard-index")
+    forget(held)
+    return entries
 
 
 def _hub_links(entries: DataFrame, sets: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
