@@ -463,3 +463,4 @@ ORACLE["semantic_topk_cells"] = ORACLE["semantic_topk"]
 ORACLE["recommend_cells_source"] = ORACLE["recommend_semantic_source"]
 ORACLE["tfidf_topk_index"] = ORACLE["tfidf_topk"]
 ORACLE["recommend_index_source"] = ORACLE["recommend_source_filter"]
+ORACLE["tfidf_topk_appended"] = ORACLE["tfidf_topk"]

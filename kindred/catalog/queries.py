@@ -23,6 +23,7 @@ from kindred.plans import ingest, quality
 from kindred.plans.model import fit_model, fit_terms, load_model, save_model
 from kindred.plans.prepare import MAX_LENGTH, preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
+from kindred.plans.versions import append_batch, load_version
 from kindred.session import fresh_path, written
 from kindred.sources.files import read_csv, write_csv
 from kindred.sources.lines import missing_to_null, parse_ndjson, parse_tsv
@@ -405,6 +406,17 @@ def tfidf_topk(spark, sf_dir):
     return similar_items(inputs.query_texts(spark, sf_dir), _model(spark, sf_dir, encoder=None), "tfidf", 10).select(*_RANKED)
 
 
+@register
+def tfidf_topk_appended(spark, sf_dir):
+    """The search of ``tfidf_topk`` in a model that was appended to twice."""
+    path = fresh_path(spark, "model")
+    items = clean_documents(spark, sf_dir)
+    half = F.pmod(F.xxhash64("item_id"), F.lit(2))
+    for name in (0, 1):
+        append_batch(path, str(name), items.filter(half == name), encoder=None)
+    return similar_items(inputs.query_texts(spark, sf_dir), load_version(spark, path, encoder=None), "tfidf", 10).select(*_RANKED)
+
+
 @register
 def tfidf_topk_index(spark, sf_dir):
     """The search of ``tfidf_topk`` through the inverted index."""
