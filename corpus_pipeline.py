@@ -66,7 +66,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Language ID and the near-duplicate search cannot be put in SQL; the tests hold each stage against plain Python.
+#: Language ID cannot be put in SQL; tests/llm/test_pipeline.py holds stages against plain Python on a small table.
 ORACLE_SQL = None
 
 
