@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from kindred.sources.quoted import read_records
+
+# The columns of an item.
 ITEM_COLUMNS = ("item_id", "source", "title", "text", "authors", "category")
 ITEM_SCHEMA = StructType([StructField(c, StringType()) for c in ITEM_COLUMNS])
 
 _CSV = {
-    "header": "true",
-    "multiLine": "true",
     "quote": '"',
     "escape": '"',
     "encoding": "UTF-8",
@@ -33,12 +35,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = ITEM_SCHEMA) -> DataFrame:
-    """A CSV table with a header; quoted fields may hold newlines."""
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+    """A CSV table with a header in each file; quoted fields may hold newlines.
+
+    Files are split into blocks all the same. Blank lines are no records, and empty
+    fields are null.
+    """
+    records = read_records(spark, path, ",").filter(~F.col("head") & (F.trim("value") != "")).select("value")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    # inline keeps later selections from parsing each record again
+    return records.select(F.inline(F.array(F.from_csv("value", ddl, _CSV))))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_CSV).option("escapeQuotes", "true").csv(path)
+    df.write.mode("overwrite").options(**_CSV).option("header", "true").option("escapeQuotes", "true").csv(path)
 
 
 def assert_columns(df: DataFrame, required: Iterable[str] = ITEM_COLUMNS, name: str = "table") -> None:

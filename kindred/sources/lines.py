@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred.functions.words import MISSING_TOKENS
+from kindred.sources.quoted import read_records
 
 # The columns of the raw book file, in order.
 BOOK_COLUMNS = ("wiki_id", "freebase_id", "title", "author", "pub_date", "genres_raw", "summary")
@@ -93,19 +94,13 @@ def read_tsv(
 ) -> DataFrame:
     """A headerless tab-separated file, with ``line_no``.
 
-    Files split by line are read in parallel. ``quoted_newlines`` lets quoted
-    fields run over lines, at the price of one task per file.
+    Files are read in parallel. ``quoted_newlines`` lets quoted fields run over
+    lines, at the price of further passes over the file.
     """
     lines = read_lines(spark, path)
     if quoted_newlines:
-        whole = spark.read.text(path, wholetext=True).select(
-            "value", F.col("_metadata.file_path").alias("file")
-        )
-        records = F.regexp_extract_all(
-            "value", F.lit(r'(?:\A|\n)((?:[^"\n]*+(?:(?<=\t|\n|\A)"[^"]*+(?:""[^"]*+)*+"?)?+)*+)'), 1
-        )
-        lines = whole.select("file", F.posexplode(records).alias("row", "value")).select(
-            "value", F.md5("value").alias("line_hash"), F.struct("file", F.lit(0).cast("bigint").alias("block"), "row").alias("line_no")
+        lines = read_records(spark, path, "\t").select(
+            "value", F.md5("value").alias("line_hash"), F.struct("file", "block", "row").alias("line_no")
         )
     return parse_tsv(lines, columns, keep=["line_no", "line_hash"])
 

@@ -1,8 +1,15 @@
+import csv
+import random
+
 import pytest
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kindred.plans.ingest import any_category, first_values
+from kindred.session import setting
+from kindred.sources import quoted
 from kindred.sources.files import assert_columns, read_csv, write_csv
 from kindred.sources.lines import parse_ndjson, parse_tsv, read_ndjson, read_tsv
+from kindred.sources.quoted import read_records
 
 FULL = "1\t/m/1\tTitle\tAuthor\t2001\t{}\tText"
 
@@ -90,3 +97,54 @@ def test_csv_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got] == [("i1", "book", ' say "hi", ', "two\nlines\twith, commas", "NA", None)]
     with pytest.raises(ValueError, match="text"):
         assert_columns(items.drop("text"))
+
+
+@pytest.mark.parametrize("block", [13, 1 << 20])
+def test_quoted_records_in_any_split(spark, tmp_path, block):
+    """Blocks of any size, also those that lie wholly inside one field, give the records of csv.reader."""
+    rng = random.Random(block)
+    rows = [["id", "a", "b"]]
+    for i in range(60):
+        rows.append([str(i), *("".join(rng.choices(["x", "\n", '"', ",", "\t", "\r\n", "é"], k=rng.choice([1, 3, 40]))) for _ in range(2))])
+    rows.append(["60", "end\n" * 50, '5" disk'])
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for part in range(2):
+        with open(folder / f"{part}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator="\n").writerows([rows[0], *rows[1 + part :: 2]])
+    schema = StructType([StructField(c, StringType()) for c in rows[0]])
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(block)), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        records = read_records(spark, str(folder), ",")
+        table = read_csv(spark, str(folder), schema)
+        got = sorted((tuple(r) for r in table.collect()), key=lambda r: int(r[0]))
+        heads = records.filter("head").collect()
+        assert (block > 1000) or spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+    assert got == [tuple(r) for r in rows[1:]]
+    assert [h["value"] for h in heads] == ["id,a,b"] * 2
+
+
+@pytest.mark.parametrize("block", [9, 1 << 20])
+def test_tsv_quotes_inside_fields_open_nothing(spark, tmp_path, block):
+    path = tmp_path / "books.txt"
+    inch = FULL.replace("Title", '5" disk')
+    open_end = FULL.replace("1\t", "4\t", 1).replace("Text", '"never\n\tclosed')
+    path.write_text("\r\n".join([inch, FULL.replace("1\t", "2\t", 1).replace("Title", '"a\n\n""b"" \tc" d'), "", FULL.replace("1\t", "3\t", 1), open_end]), encoding="utf-8", newline="")
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(block)), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        rows = read_tsv(spark, str(path), quoted_newlines=True).orderBy("line_no").collect()
+    assert [(r["wiki_id"], r["title"]) for r in rows] == [("1", '5" disk'), ("2", 'a\n\n"b" \tc d'), ("3", "Title"), ("4", "Title")]
+    assert rows[0]["summary"] == "Text" and rows[3]["summary"] == "never\n\tclosed"
+
+
+def test_records_of_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("id,a,b\n")
+    assert read_csv(spark, str(tmp_path)).count() == 0
+
+
+def test_records_by_shuffled_blocks(spark, tmp_path, monkeypatch):
+    """More blocks than may be broadcast."""
+    monkeypatch.setattr(quoted, "BROADCAST_ROWS", 0)
+    (tmp_path / "a.csv").write_text('id\n"one\ntwo"\n"three"\n"four\n\nfive"\n')
+    schema = StructType([StructField("id", StringType())])
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "6"), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        assert sorted(r["id"] for r in read_csv(spark, str(tmp_path), schema).collect()) == ["four\n\nfive", "one\ntwo", "three"]
