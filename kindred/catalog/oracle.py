@@ -464,3 +464,4 @@ ORACLE["recommend_cells_source"] = ORACLE["recommend_semantic_source"]
 ORACLE["tfidf_topk_index"] = ORACLE["tfidf_topk"]
 ORACLE["recommend_index_source"] = ORACLE["recommend_source_filter"]
 ORACLE["tfidf_topk_appended"] = ORACLE["tfidf_topk"]
+ORACLE["recommend_bucketed"] = ORACLE["recommend_source_filter"]

@@ -32,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CELLS = 20  # cells in the inverted-file queries
+BUCKETS = 16  # of saved models
 LEMMAS = {"thees": "thee", "ndthe": "nd", "ble": "bl", "les": "le", "des": "de", "and": "et", "heed": "hee"}
 LABELS = {"document": "Document", "page": "Web page"}
 
@@ -558,6 +559,20 @@ def recommend_source_filter(spark, sf_dir):
     return reduce(DataFrame.unionByName, modes)
 
 
+@register
+def recommend_bucketed(spark, sf_dir):
+    """``recommend_source_filter`` on a saved model whose tables are bucketed by item."""
+    path = fresh_path(spark, "model")
+    save_model(_model(spark, sf_dir, corpus, encoder=None), path, buckets=BUCKETS)
+    model = load_model(spark, path, encoder=None, buckets=BUCKETS)
+    queries = inputs.query_texts(spark, sf_dir)
+    modes = [
+        recommend(queries, model, "tfidf", source="page", mode=mode).select(F.lit(mode).alias("mode"), *_RANKED)
+        for mode in ("parity", "exact")
+    ]
+    return reduce(DataFrame.unionByName, modes)
+
+
 @register
 def recommend_semantic_source(spark, sf_dir):
     model = _model(spark, sf_dir, corpus, terms=None)

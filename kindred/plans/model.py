@@ -14,6 +14,7 @@ from kindred.operators.postings import TermIndex, build_index, load_index
 from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
 from kindred.plans.prepare import usable
 from kindred.session import fresh_path, written
+from kindred.sources.buckets import read_bucketed, write_bucketed
 from kindred.sources.files import ITEM_COLUMNS
 
 
@@ -126,15 +127,28 @@ def fit_model(
     return replace(model, vectors=vectors)
 
 
-def save_model(model: Model, path: str, cell_files: int = 16) -> None:
+def save_model(model: Model, path: str, cell_files: int = 16, buckets: int | None = None) -> None:
     """Write the model tables.
 
     An item's postings are one row, so a later search needs no shuffle to find
     them together; vectors are partitioned by cell where there are cells.
     A cell is written by up to ``cell_files`` tasks, so a crowded one is no
     hot spot, and its files stay small enough to be read in parallel.
+
+    With ``buckets`` metadata, postings and vectors without cells are stored in so many
+    buckets of the item: joins of answers with metadata, and of items with those of one
+    source, then find their rows in place. A bucket is read by one task.
     """
     path = path.rstrip("/")
+    if buckets is not None:
+        if model.index is not None or model.cells is not None:
+            raise ValueError("a model with an index or cells has an order of its own; leave buckets out")
+        for name, table in (("metadata", model.metadata), ("postings", model.packed), ("vectors", model.vectors)):
+            if table is not None:
+                write_bucketed(table, f"{path}/{name}", "item_id", buckets)
+        if model.vocab is not None:
+            model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        return
     model.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
     if model.vocab is not None:
         model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
@@ -160,18 +174,26 @@ def load_model(
     terms: TermOptions | None = TermOptions(),
     encoder: Encoder | None = hashed_vectors,
     with_index: bool = False,
+    buckets: int | None = None,
 ) -> Model:
     """The tables written by ``save_model``, read from their files.
 
     ``terms`` or ``encoder`` of None leaves that part out. Queries are encoded
-    by ``encoder``, which has to be the one the model was fitted with.
+    by ``encoder``, which has to be the one the model was fitted with, and
+    ``buckets`` is the number it was saved with.
     """
     path = path.rstrip("/")
-    model = Model(metadata=spark.read.parquet(f"{path}/metadata"), encoder=encoder)
+
+    def items(name: str) -> DataFrame:
+        if buckets is None:
+            return spark.read.parquet(f"{path}/{name}")
+        return read_bucketed(spark, f"{path}/{name}", "item_id", buckets)
+
+    model = Model(metadata=items("metadata"), encoder=encoder)
     if terms is not None:
-        model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), packed=spark.read.parquet(f"{path}/postings"), terms=terms)
+        model = replace(model, vocab=spark.read.parquet(f"{path}/vocab"), packed=items("postings"), terms=terms)
         model = replace(model, index=load_index(spark, f"{path}/index") if with_index else None)
     if encoder is None:
         return model
     cells = spark.read.parquet(f"{path}/cells") if with_cells else None
-    return replace(model, vectors=spark.read.parquet(f"{path}/vectors"), cells=cells)
+    return replace(model, vectors=items("vectors"), cells=cells)
