@@ -20,6 +20,7 @@ from kindred.operators.position import dense_index, first_rows, sample_exact
 from kindred.operators.terms import ngrams, term_counts, term_statistics, tokens
 from kindred.operators.topk import topk_dense, without_self
 from kindred.plans import ingest, quality
+from kindred.plans.latent import fit_latent
 from kindred.plans.model import fit_model, fit_terms, load_model, save_model
 from kindred.plans.prepare import MAX_LENGTH, preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {}
 
 CELLS = 20  # cells in the inverted-file queries
 BUCKETS = 16  # of saved models
+LATENT = 16  # directions of the fitted encoder
 LEMMAS = {"thees": "thee", "ndthe": "nd", "ble": "bl", "les": "le", "des": "de", "and": "et", "heed": "hee"}
 LABELS = {"document": "Document", "page": "Web page"}
 
@@ -573,6 +575,36 @@ def recommend_bucketed(spark, sf_dir):
     return reduce(DataFrame.unionByName, modes)
 
 
+@register
+def latent_components(spark, sf_dir):
+    """Directions of the fitted encoder: length, right angles, order, and strength against all items' projections."""
+    model = _model(spark, sf_dir, encoder=None)
+    space = fit_latent(model, dim=LATENT)
+    loadings = space.components.select("term", F.posexplode("loadings").alias("component", "x"))
+    projected = model.postings.join(loadings, "term").groupBy("item_id", "component").agg(F.sum(F.col("weight") * F.col("x")).alias("p"))
+    strength = projected.groupBy("component").agg(F.sum(F.col("p") * F.col("p")).alias("found"), F.count("*").alias("items"))
+    products = [F.sum(F.col("loadings")[i] * F.col("loadings")[j]) - float(i == j) for i in range(LATENT) for j in range(i, LATENT)]
+    off = space.components.agg(F.greatest(*map(F.abs, products))).first()[0]
+    given = spark.createDataFrame([(i, s, space.strengths[max(i - 1, 0)]) for i, s in enumerate(space.strengths)], "component int, s double, before double")
+    return given.join(strength, "component").select(
+        "component", "items",
+        (F.abs(F.col("found") - F.col("s")) <= 0.000001 * F.col("s")).alias("strength_agrees"),
+        (F.col("s") <= F.col("before")).alias("falling"), F.lit(off <= 0.000001).alias("orthonormal"),
+    )
+
+
+@register
+def latent_self_search(spark, sf_dir):
+    """Items encoded by the fitted encoder, asked for themselves: all of them, at unit length, are their own nearest."""
+    space = fit_latent(_model(spark, sf_dir, encoder=None), dim=LATENT)
+    docs = stored_documents(spark, sf_dir)
+    vectors = written(space(docs, "item_id", "text_clean"), "vectors")
+    norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda total, x: total + x)
+    asked = vectors.select(F.col("item_id").alias("query_id"), "embedding").filter(F.split("query_id", "_")[1].cast("bigint") % 100 == 0)
+    best = topk_dense(asked, vectors, 1).join(vectors.select("item_id", norm.alias("norm")), "item_id")
+    return best.select("query_id", F.round("score", 4).alias("score"), (F.abs(F.col("norm") - 1) < 0.0001).alias("unit"))
+
+
 @register
 def recommend_semantic_source(spark, sf_dir):
     model = _model(spark, sf_dir, corpus, terms=None)
