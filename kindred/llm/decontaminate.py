@@ -273,6 +273,26 @@ def edit_distances(item: np.ndarray, word: np.ndarray, low: np.ndarray, high: np
     return best
 
 
+def _stretches(text: np.ndarray, place: np.ndarray, n: int, slack: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, low, high) that hold all windows of an item of ``n`` words; sorted places close together share one."""
+    first = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(place // n) != 0)))
+    last = np.append(first[1:], len(place)) - 1
+    text = text[first]
+    return text, np.maximum(place[first] - slack, edges[text]), np.minimum(place[last] + n + 2 * slack, edges[text + 1])
+
+
+def _shares(item: np.ndarray, word: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, width: int) -> np.ndarray:
+    """Whether some ``width`` neighbours in ``word[low:high]`` hold ``least`` words of the item, as all within reach do."""
+    long = high - low
+    start = np.cumsum(long) - long
+    flat = np.arange(long.sum()) + np.repeat(low - start, long)
+    own = np.unique(item)
+    seen = own[np.minimum(np.searchsorted(own, word[flat]), len(own) - 1)] == word[flat]
+    total = np.append(0, np.cumsum(seen))
+    ends = np.minimum(np.arange(len(flat)) + width, np.repeat(start + long, long))
+    return np.maximum.reduceat(total[ends] - total[:-1], start) >= least
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pairs of documents and benchmark items that stand in them, up to a few edits.
 
@@ -323,9 +343,9 @@ def _search(index, key: tuple[str, ...]) -> Callable:  # noqa: ANN001
                 for i in np.unique(item):
                     wanted = items.words[i]
                     slack = PERCENT * len(wanted) // 100 if len(wanted) >= LEAST_WORDS else 0
-                    t, p = text[item == i], place[item == i]
-                    low = np.maximum(p - slack, np.concatenate([[0], limits])[t])
-                    high = np.minimum(p + len(wanted) + 2 * slack, limits[t])
+                    t, low, high = _stretches(text[item == i], place[item == i], len(wanted), slack, np.concatenate([[0], limits]))
+                    likely = _shares(wanted, word, low, high, len(wanted) - slack, len(wanted) + slack)
+                    t, low, high = t[likely], low[likely], high[likely]
                     for k, d in zip(t.tolist(), edit_distances(wanted, word, low, high).tolist(), strict=True):
                         if d <= slack:
                             best[k, i] = min(d, best.get((k, i), d))
