@@ -32,12 +32,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; items under eight words are phrases and drop nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = docs.withColumn("_digest", F.xxhash64("text"))
-    found = written(decontaminate.leaks(marked, benchmark, ("doc_id", "_digest")).select("doc_id", "_digest").distinct(), "pipeline-leaks")
-    same = marked["doc_id"].eqNullSafe(found["doc_id"]) & (marked["_digest"] == found["_digest"])
-    return marked.join(found, same, "left_anti").select(docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("digest"), "text")
+    leaks = decontaminate.leaks(marked, benchmark, ("doc_id", "digest")).filter(F.col("item_words") >= decontaminate.LEAST_WORDS)
+    found = written(leaks.select("doc_id", "digest").distinct(), "pipeline-leaks")
+    same = marked["doc_id"].eqNullSafe(found["doc_id"]) & (marked["digest"] == found["digest"])
+    return marked.join(found, same, "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
