@@ -337,3 +337,15 @@ def test_lookup_join_paths_agree(spark, bound):
     small = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
     got = joins.lookup_join(big, small, "k", bound, "left")
     assert got.count() == 300 and got.filter("v = 1").count() == 200 and got.filter("v is null").count() == 99
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_frequent_and_null_keys_stay_where_they_are(spark, how):
+    key = F.when(F.col("id") % 3 == 0, "the").when(F.col("id") % 7 == 0, "of").when(F.col("id") % 11 != 0, F.concat(F.lit("w"), F.col("id") % 2000))
+    big = spark.range(0, 20_000, 1, 8).select("id", key.alias("k"))
+    small = spark.range(0, 2500).select(F.concat(F.lit("w"), "id").alias("k"), F.col("id").alias("v")).union(spark.createDataFrame([("the", -1), (None, -2)], "k string, v long"))
+    hot = [r["k"] for r in joins.frequent_keys(big, "k", 16).collect()]
+    assert {"the", "of"} <= set(hot) and len(hot) <= 16
+    got = joins.lookup_join(big, small, "k", None, how)
+    assert got.columns == ["k", "id", "v"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))

@@ -1,3 +1,6 @@
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,16 @@ def test_step_is_evaluated_once(spark):
 
 def test_fold_accents(apply):
     assert apply(fold_accents, "Crème brûlée", "ﬁn ½", "plain", None) == ["Creme brulee", "fin 1⁄2", "plain", None]
+    assert apply(fold_accents, "", "가각힣", "e\u0301\u0327 🎉") == ["", unicodedata.normalize("NFKD", "가각힣"), "e 🎉"]
+
+
+def test_fold_accents_of_every_code_point(spark):
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + "".join(map(chr, codes[i : i + 500])) for i in range(0, len(codes), 500)]
+    folded = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold_accents(F.col("t")).alias("f"))
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+    for r in folded.collect():
+        assert r["f"] == "".join(c for c in unicodedata.normalize("NFKD", r["t"]) if not unicodedata.combining(c))
 
 
 @pytest.mark.parametrize("broadcast_rows", [1_000_000, 1])
