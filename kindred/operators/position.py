@@ -6,35 +6,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.topk import top_rows
-from kindred.session import written
 
+_MOST_PARTS = 4096  # the bound on what dense_index broadcasts
+_DRAWN = 32  # rows of the sample for each part
 _HEX_DIGITS = 4  # 65,536 ordered hash buckets: the bound on every broadcast below
 
 
+def _bounds(df: DataFrame, order_by: list[str]) -> tuple[Column, int]:
+    """(array of keys that cut the order into about even parts, their number).
+
+    The keys are quantiles of the rows with the smallest hashes, so every job that draws them
+    gets the same ones. Two parts for each shuffle partition of the session, ``_MOST_PARTS`` at most.
+    """
+    spark = df.sparkSession
+    parts = min(_MOST_PARTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(F.struct(*order_by).alias("key"), F.xxhash64(*order_by).alias("hash"))
+    drawn = top_rows(keys, [F.asc("hash"), F.asc("key")], _DRAWN * parts)
+    number = F.row_number().over(Window.orderBy("key"))
+    cut = drawn.select("key", number.alias("n")).filter(F.col("n") % _DRAWN == 0)
+    found = cut.agg(F.to_json(F.array_sort(F.collect_list("key"))).alias("keys"), F.count("*").alias("n")).first()
+    kind = df.select(F.array(F.struct(*order_by)).alias("keys")).schema["keys"].dataType
+    return F.from_json(F.lit(found["keys"]), kind), found["n"]
+
+
 def dense_index(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order_by``.
+    """Add the 0-based position of each row in the order of ``order_by``, nulls first.
 
-    ``order_by`` has to identify rows. Range partitioning cuts the order into
-    even parts whatever the distribution of the keys; each part numbers its own
-    rows, and the sizes of the parts (one row per partition) give the offsets.
-    Range bounds come from a sample that every job draws anew, so the numbered
-    parts are written once before they are counted.
+    ``order_by`` has to identify rows. Quantiles of a sample that is drawn once are the fixed bounds
+    of parts; a second pass over these columns counts the rows of each part, and the last one
+    numbers rows inside their part and adds what stands before it. Nothing is stored, so ``df`` is read
+    three times and must give the same rows each time.
     """
-    parts = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
-    parts = written(parts, "positions").withColumn("_part", F.shiftright("_row", 33))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    bounds, n = _bounds(df, order_by)
+    key = F.struct(*order_by)
+    # Number of bounds that are not above the key, by halving; past the last bound there is null.
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    reach = lambda low, step: F.when(F.get(bounds, low + step - 1) <= key, low + step).otherwise(low)
+    marked = df.withColumn("_part", F.aggregate(steps, F.lit(0), reach) if n else F.lit(0))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        parts.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + within)
-        .drop("_part", "_row", "_offset")
-    )
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
+    # An outer join, since an inner one works the part out again to ask whether it is null.
+    placed = marked.withColumn("_within", within).join(F.broadcast(offsets), "_part", "left")
+    return placed.withColumn(name, F.col("_offset") + F.col("_within") - 1).drop("_part", "_within", "_offset")
 
 
 def shuffle_key(key: str | Column, seed: int) -> Column:

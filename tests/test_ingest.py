@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import session
 from kindred.operators.position import dense_index, first_rows, hash_position, sample_exact
 from kindred.plans.ingest import ingest_books, ingest_counters, ingest_papers, merge_items, metadata_table
 from kindred.sources.files import ITEM_COLUMNS
@@ -94,3 +95,19 @@ def test_merge_and_metadata(spark):
     with pytest.raises(ValueError):
         merge_items(merged, merged.drop("title"))
     assert merged.filter(F.col("source") == "book").count() == 3
+
+
+def test_dense_index_stores_nothing_and_takes_any_keys(spark, monkeypatch):
+    monkeypatch.setattr(session, "fresh_path", lambda *_: pytest.fail("a table was written"))
+    text = F.when(F.col("id") % 3 > 0, F.concat(F.lit('k"\\é'), F.md5(F.col("id").cast("string")).substr(1, 2)))
+    df = spark.range(0, 6000, 1, 8).select((F.col("id") * 7919 % 6007).alias("a"), text.alias("b"), (F.col("id") / 7).alias("c"), F.col("id").cast("timestamp").alias("d"))
+    for order in (["b", "a"], ["c"], ["d"]):
+        numbered = dense_index(df, order, "n")
+        assert numbered.columns == [*df.columns, "n"]
+        got = [tuple(r[c] for c in order) for r in numbered.orderBy("n").collect()]
+        assert got == sorted(got, key=lambda k: [(x is not None, x) for x in k]) and len(set(got)) == 6000
+        assert [r["n"] for r in numbered.select("n").orderBy("n").collect()] == list(range(6000))
+    parts = [r["count"] for r in dense_index(df, ["b", "a"], "n").groupBy((F.col("n") / 750).cast("int")).count().collect()]
+    assert parts == [750] * 8
+    assert dense_index(df.limit(0), ["a"], "n").count() == 0
+    assert [r["n"] for r in dense_index(df.filter("a < 3"), ["a"], "n").orderBy("a").collect()] == [0, 1, 2]
