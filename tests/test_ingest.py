@@ -111,3 +111,13 @@ def test_dense_index_stores_nothing_and_takes_any_keys(spark, monkeypatch):
     assert parts == [750] * 8
     assert dense_index(df.limit(0), ["a"], "n").count() == 0
     assert [r["n"] for r in dense_index(df.filter("a < 3"), ["a"], "n").orderBy("a").collect()] == [0, 1, 2]
+
+
+def test_all_papers_of_a_split_file_are_numbered_in_file_order(spark, tmp_path):
+    path = tmp_path / "papers.json"
+    paper = lambda i: {"title": f"P {i}", "abstract": "word " * 60, "categories": "cs.AI" if i % 5 else "x"}
+    path.write_text("\n".join(json.dumps(paper(i)) for i in range(4000)))
+    with session.setting(spark, "spark.sql.files.maxPartitionBytes", "200000"):
+        items = ingest_papers(read_ndjson(spark, str(path)), "line_no", None, ["cs.AI"]).collect()
+    want = [i for i in range(4000) if i % 5]
+    assert {r["item_id"]: r["title"] for r in items} == {f"paper_{n}": f"P {i}" for n, i in enumerate(want)}
