@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -61,3 +62,16 @@ def test_secret_stage_masks_and_keeps_the_rest(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.mask_secrets(spark, docs, SF).collect()}
     assert got[1]["text"] == "[SECRET] é end" and got[1]["n_chars"] == len("[SECRET] é end")
     assert tuple(got[2])[1:] == (None,) * 4 and got[3]["text"] == "plain"
+
+
+def test_leak_stage_drops_documents_with_items_only(spark):
+    extra = {c: F.lit(i) for i, c in enumerate(("row", "digest", "_digest", "item_id"))}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(extra)
+    odd = spark.createDataFrame([(None, None), (90_000, ""), (90_001, "see the end")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaked = {r["doc_id"] for r in docs.collect() if any(item in (r["text"] or "") for item in items)}
+    kept = corpus_pipeline.drop_leaks(spark, docs, SF)
+    assert kept.columns == docs.columns and len(leaked) >= 3
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - leaked
+    assert corpus_pipeline.drop_leaks(spark, docs.limit(0), SF).count() == 0
