@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ from kindred.session import pushing_lists, written
 BLOCK = 1024  # postings in a row of the index
 GROUP = 16 * BLOCK  # postings that are sorted by weight together
 INDEX_BLOCK = 200  # queries that are answered at once
-LOOKUP_KEYS = 10_000  # keys that are handed to the files as a list; more of them are joined
+LOOKUP_KEYS = 10_000  # keys that are handed to the files in lists; more of them are joined
+LIST_KEYS = 256  # keys in one list; readers of files test a list one value inside the other, so a long one overflows their stack
 HEAD_ANSWERS = 4  # answers tried in the first step, for each answer wanted
 _ROUNDING = 0.5 * 10.0**-DIGITS + 1e-9
 
@@ -63,9 +66,12 @@ def load_index(spark, path: str) -> TermIndex:  # noqa: ANN001
 
 def among(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows of ``table`` with one of the ``keys``; a few keys reach the files, which are ordered by them."""
-    few = keys.select(column).distinct().limit(LOOKUP_KEYS + 1).collect()
+    few = [r[0] for r in keys.select(column).distinct().limit(LOOKUP_KEYS + 1).collect()]
     if len(few) <= LOOKUP_KEYS:
-        return table.filter(F.col(column).isin([r[0] for r in few]))
+        lists = [F.col(column).isin(few[i : i + LIST_KEYS]) for i in range(0, max(len(few), 1), LIST_KEYS)]
+        while len(lists) > 1:  # in pairs, so that the condition is no deeper than it has to be
+            lists = [reduce(or_, lists[i : i + 2]) for i in range(0, len(lists), 2)]
+        return table.filter(lists[0])
     return table.join(keys.select(column).distinct(), column, "left_semi")
 
 
@@ -99,7 +105,7 @@ def _complete(pairs: DataFrame, packed: DataFrame, wanted: DataFrame, below: flo
     each = each.join(F.broadcast(asked) if row_bound(asked) is not None else asked, ["query_id", "term"])
     scored = each.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), DIGITS).alias("score"))
     scored = scored if below is None else scored.filter(F.col("score") < below)
-    with pushing_lists(packed.sparkSession, LOOKUP_KEYS):
+    with pushing_lists(packed.sparkSession, LIST_KEYS):
         return written(scored, "scored")
 
 
@@ -124,13 +130,13 @@ def topk_index(
         asked = written(query_terms(block).select("query_id", "term", "weight"), "asked")
         tops = among(index.tops, "term", asked)
         wanted = written(asked.join(tops, "term").withColumn("bound", F.col("weight") * F.col("top")), "wanted")
-        with pushing_lists(spark, LOOKUP_KEYS):
+        with pushing_lists(spark, LIST_KEYS):
             heads = among(index.blocks.filter("part = 0 AND number = 0"), "term", wanted)
             tried = written(rank_items(_found(heads, wanted.select("query_id", "term", "weight")), HEAD_ANSWERS * k), "heads")
         first = rank_items(_complete(tried, packed, wanted, below), k)
         least = first.filter(F.col("rank") == k).select("query_id", (F.col("score") - _ROUNDING).alias("least"))
         terms = written(essential(wanted, least).select("query_id", "term", "weight", "least", "slack"), "essential")
-        with pushing_lists(spark, LOOKUP_KEYS):
+        with pushing_lists(spark, LIST_KEYS):
             sums = _found(among(index.blocks, "term", terms), terms.select("query_id", "term", "weight"))
             limits = F.broadcast(terms.groupBy("query_id").agg(F.first("least").alias("least"), F.first("slack").alias("slack")))  # a row for each query of the block
             reach = F.col("least").isNull() | (F.col("score") + F.col("slack") >= F.col("least"))

@@ -153,6 +153,15 @@ def test_few_queries_read_a_small_share_of_the_postings(spark):
     assert read < 0.1 * wanted.agg(F.sum("postings")).first()[0] < 0.1 * model.postings.count()
 
 
+def test_thousands_of_keys_are_looked_up_in_files(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("concat('t', lpad(id, 6, '0')) AS term", "id AS v")
+    rows.coalesce(2).write.parquet(f"{tmp_path}/many")
+    keys = spark.range(postings.LOOKUP_KEYS).selectExpr("concat('t', lpad(3 * id, 6, '0')) AS term")
+    with session.pushing_lists(spark, postings.LIST_KEYS):
+        got = postings.among(spark.read.parquet(f"{tmp_path}/many"), "term", keys)
+        assert got.agg(F.count("*"), F.sum("v")).first()[:] == (10_000, 3 * sum(range(10_000)))
+
+
 def test_lists_of_keys_reach_the_files(spark, tmp_path):
     rows = spark.range(200_000).selectExpr("concat('t', lpad(id, 6, '0')) AS term", "id AS v")
     rows.repartitionByRange(8, "term").sortWithinPartitions("term").write.parquet(f"{tmp_path}/t")
