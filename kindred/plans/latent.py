@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from kindred.operators.terms import tfidf_weights
+from kindred.operators.terms import packed_weights
 from kindred.plans.model import Model, TermOptions
 
 MATRIX_BYTES = 256 << 20  # terms by directions, in doubles, held by the driver and each task
@@ -109,9 +109,7 @@ class LatentSpace:
         o = self.options
         context = docs.sparkSession.sparkContext
         known, loadings = map(context.broadcast, self.matrix())
-        weights = tfidf_weights(docs, self.components, key, text_col, o.ngram_min, o.ngram_max, False, o.max_features)
-        entries = F.collect_list(F.struct("term", "weight"))
-        packed = weights.groupBy(key).agg(entries.alias("e")).select(key, F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+        packed = packed_weights(docs, self.components, key, text_col, o.ngram_min, o.ngram_max, False, o.max_features)
         out = StructType([docs.schema[key], StructField("embedding", ArrayType(FloatType()))])
         found = packed.mapInArrow(_project(known, loadings), out)
         zero = F.array_repeat(F.lit(0.0).cast("float"), len(self.strengths))

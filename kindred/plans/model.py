@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kindred.operators.cells import assign_cells, measured, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.postings import TermIndex, build_index, load_index
-from kindred.operators.terms import term_statistics, tfidf_weights, vocabulary
+from kindred.operators.terms import packed_weights, term_statistics, tfidf_weights, unpacked, vocabulary
 from kindred.plans.prepare import usable
 from kindred.session import fresh_path, written
 from kindred.sources.buckets import read_bucketed, write_bucketed
@@ -51,7 +51,7 @@ class Model:
         """(item_id, term, weight), a row per term."""
         if self.packed is None:
             return None
-        return self.packed.select("item_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
+        return unpacked(self.packed, "item_id")
 
     def query_terms(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """(query_id, term, weight) of new texts in the fitted vocabulary."""
@@ -68,24 +68,23 @@ class Model:
         return self.encoder(queries, "query_id", text_col)
 
 
-def fit_terms(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
-    """(vocabulary, postings) of a table of cleaned texts that is stored.
+def fit_packed(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
+    """(vocabulary, packed postings) of a table of cleaned texts that is stored.
 
     The corpus is read twice: for the statistics, and for postings in the
     vocabulary they give. ``fit_model`` stores the cleaned texts before.
     """
     statistics = term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
     vocab = written(vocabulary(statistics, docs.count(), terms.max_features, terms.min_df, terms.max_df), "vocab")
-    return vocab, tfidf_weights(
+    return vocab, packed_weights(
         docs, vocab, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain, terms.max_features
     )
 
 
-def pack(postings: DataFrame) -> DataFrame:
-    """(item_id, terms, weights): the postings of each item in one row, no longer than the text they come from."""
-    entries = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    gathered = postings.groupBy("item_id").agg(entries.alias("e"))
-    return gathered.select("item_id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+def fit_terms(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
+    """(vocabulary, postings): ``fit_packed`` with a row for each item and term."""
+    vocab, packed = fit_packed(docs, key, text_col, terms)
+    return vocab, unpacked(packed, key)
 
 
 def fit_model(
@@ -111,9 +110,10 @@ def fit_model(
     docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
-        vocab, postings = fit_terms(docs, "item_id", text_col, terms)
-        packed = pack(postings)
-        packed = written(packed.repartitionByRange("item_id").sortWithinPartitions("item_id") if index else packed, "postings")
+        vocab, packed = fit_packed(docs, "item_id", text_col, terms)
+        packed = written(packed, "postings")
+        if index:  # stored before, as the bounds of ranges take a pass of their own
+            packed = written(packed.repartitionByRange("item_id").sortWithinPartitions("item_id"), "postings")
         by_term = build_index(packed, fresh_path(items.sparkSession, "index")) if index else None
         model = replace(model, vocab=vocab, packed=packed, index=by_term, terms=terms)
     if vectors is None:

@@ -8,18 +8,13 @@ created in one step, so readers see all of an append or nothing of it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.encode import hashed_vectors
-from kindred.operators.joins import BROADCAST_ROWS
-from kindred.operators.terms import term_counts, term_statistics, vocabulary
+from kindred.operators.terms import packed_counts, term_statistics, vocabulary, weigh
 from kindred.plans.model import Encoder, Model, TermOptions
 from kindred.plans.prepare import usable
 from kindred.session import written
@@ -110,9 +105,8 @@ def append_batch(
     (items if metadata is None else metadata).select(*ITEM_COLUMNS).write.mode("overwrite").parquet(f"{own}/metadata")
     docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
     term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain).write.mode("overwrite").parquet(f"{own}/statistics")
-    counts = term_counts(docs, "item_id", text_col, terms.ngram_min, terms.ngram_max, terms.plain)
-    entries = counts.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("e"))
-    entries.select("item_id", F.col("e.term").alias("terms"), F.col("e.tf").alias("counts")).write.mode("overwrite").parquet(f"{own}/counts")
+    counts = packed_counts(docs, "item_id", text_col, terms.ngram_min, terms.ngram_max, terms.plain)
+    counts.write.mode("overwrite").parquet(f"{own}/counts")
     if encoder is not None:
         encoder(docs, "item_id", text_col).write.mode("overwrite").parquet(f"{own}/vectors")
     after = Version(_next_number(spark, path, before), {**before.batches, batch: docs.count()})
@@ -124,35 +118,6 @@ def append_batch(
     return after
 
 
-def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(item_id, terms, weights) from (item_id, terms, counts): log-scaled counts times idf, unit length.
-
-    Terms outside the vocabulary vanish, and so do items left without a term.
-    Nothing is shuffled; the vocabulary, at most ``BROADCAST_ROWS`` terms, goes to the tasks.
-    """
-    table = vocab.select("term", "idf").limit(BROADCAST_ROWS + 1).toArrow().combine_chunks()
-    if table.num_rows > BROADCAST_ROWS:
-        raise ValueError(f"the vocabulary has more than {BROADCAST_ROWS} terms; set max_features")
-    known, idf = pa.array(table["term"].to_pylist(), pa.string()), table["idf"].to_numpy()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, size = batch.column(1).flatten(), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            place = pc.index_in(terms, value_set=known)
-            keep = pc.is_valid(place).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(size)), size)[keep]
-            raw = (np.log(batch.column(2).flatten().to_numpy(zero_copy_only=False)[keep]) + 1) * idf[place.drop_null().to_numpy(zero_copy_only=False)]
-            norm = np.sqrt(np.bincount(row, raw * raw, len(size)))
-            held = np.bincount(row, minlength=len(size))
-            some = np.flatnonzero(held)
-            ends = pa.array(np.concatenate([[0], np.cumsum(held[some])]), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, x) for x in (terms.filter(pa.array(keep)), pa.array(raw / norm[row])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *lists], ["item_id", "terms", "weights"])
-
-    kind = counts.schema["item_id"].dataType.simpleString()
-    return counts.select("item_id", "terms", "counts").mapInArrow(run, f"item_id {kind}, terms array<string>, weights array<double>")
-
-
 def load_version(
     spark: SparkSession, path: str, number: int | None = None, terms: TermOptions = TermOptions(), encoder: Encoder | None = hashed_vectors
 ) -> Model:
