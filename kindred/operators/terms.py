@@ -66,17 +66,22 @@ def _words(docs: DataFrame, key: str | None, text_col: str, plain: bool) -> Data
     return gather(docs, key, text_col).select(key, text.alias("_text")).groupBy(key).agg(F.collect_list("_text").alias("_texts"))
 
 
+def cuts(before: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of ``most`` bytes together, or a single larger one; ``before`` has the bytes before each row, and all of them."""
+    low = 0
+    while low < len(before) - 1:
+        high = max(low + 1, int(np.searchsorted(before, before[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Neighbouring rows with texts of about ``_SLICE_BYTES``."""
     lists = batch.column(batch.num_columns - 1)
     bytes_before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False))])
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    size = bytes_before[ends]  # of the rows before each one
-    low = 0
-    while low < len(lists):
-        high = max(low + 1, int(np.searchsorted(size, size[low] + _SLICE_BYTES, "right")) - 1)
+    for low, high in cuts(bytes_before[ends], _SLICE_BYTES):
         yield batch.slice(low, high - low)
-        low = high
 
 
 def _occurrences(lists: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import clean_text, normalize_words, strip, truncate_words
-from kindred.operators.lemma import lemmatize
+from kindred.operators.lemma import lemma_column, lemmatize
 
 MIN_LENGTH = 50  # fixed value: default of the length filter on cleaned text
 MAX_LENGTH = 1000  # fixed value: length of cleaned text where it is to be cut
@@ -24,8 +24,8 @@ def clean_items(
 ) -> DataFrame:
     """Add the cleaned text. ``lemmas`` is a small mapping or a (word, lemma) table.
 
-    Whole texts are cleaned; ``max_len`` cuts what comes out. With a lemma table
-    each distinct text is cleaned once, and rows find it by the digest of theirs.
+    Whole texts are cleaned; ``max_len`` cuts what comes out. A lemma table goes to the tasks, and no text
+    is moved. With one that is too large for that, each distinct text is cleaned once, and rows find it by the digest of theirs.
 
     The text is passed on as the one element of an array. A filter on a plain
     computed column moves below it, past any exchange to the scan, and would
@@ -34,6 +34,11 @@ def clean_items(
     if not isinstance(lemmas, DataFrame):
         cleaned = clean_text(F.col(text_col), drop_stopwords, lemmas, max_len)
         return items.select("*", F.explode(F.array(cleaned)).alias(clean_col))
+    replace = lemma_column(lemmas)
+    if replace is not None:
+        words = items.select("*", replace(normalize_words(F.col(text_col), drop_stopwords)).alias("_words"))
+        text = F.col("_words") if max_len is None else truncate_words(F.col("_words"), max_len)
+        return words.select(*items.columns, F.explode(F.array(F.trim(text))).alias(clean_col))
     digest = F.sha2(F.coalesce(text_col, F.lit("")), 256)
     texts = items.select(digest.alias("_digest"), text_col).dropDuplicates(["_digest"])
     words = texts.select("_digest", normalize_words(F.col(text_col), drop_stopwords).alias(clean_col))

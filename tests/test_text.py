@@ -1,6 +1,7 @@
 import sys
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,25 @@ def test_lemmatize_table(spark, monkeypatch, broadcast_rows):
     table = spark.createDataFrame([("wolves", "wolf"), ("ran", "run"), ("run", "run")], "word string, lemma string")
     got = {r["item_id"]: r["t"] for r in lemmatize(docs, "item_id", "t", table).collect()}
     assert got == {"a": "wolf run wolf", "b": "run"}
+
+
+@pytest.mark.parametrize("size", [1, 4 << 20])
+def test_lemmas_of_a_slice(monkeypatch, size):
+    from kindred.operators import lemma
+
+    monkeypatch.setattr(lemma, "_SLICE_BYTES", size)
+    replace = lemma._replaced(pa.array(["wolves", "ran"]), pa.array(["wolf", "run"]))
+    texts = pa.array(["skipped", "wolves ran home", None, "", "ran", "a  b "]).slice(1)
+    assert replace(texts).to_pylist() == ["wolf run home", None, "", "run", "a  b "]
+    assert replace(texts[:0]).to_pylist() == []
+
+
+def test_texts_are_not_moved_for_a_lemma_table(spark):
+    from kindred.plans.prepare import clean_items
+
+    items = spark.createDataFrame([(1, "The wolves ran home"), (2, None), (2, "wolves")], "k int, text string")
+    table = spark.createDataFrame([("wolves", "wolf"), ("ran", "run")], "word string, lemma string")
+    cleaned = clean_items(items, lemmas=table)
+    assert "Exchange" not in cleaned._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["text_clean"]) for r in cleaned.collect()) == [(1, "wolf run home"), (2, ""), (2, "wolf")]
+    assert cleaned.filter("length(text_clean) > 5")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
