@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.joins import BROADCAST_ROWS
+from kindred.operators.terms import cuts
 
 _PLACE = "file string, block bigint, row bigint"
+_RUN_BYTES = 2 << 20  # of lines that are put together at once; what is made of them holds several copies
 _NEWLINE = pa.scalar("\n", pa.large_string())
 
 
@@ -46,14 +48,17 @@ def _after(outside: np.ndarray, inside: np.ndarray, start: int) -> np.ndarray:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """Neighbouring rows of one block."""
+    """Neighbouring rows of one block, with lines of about ``_RUN_BYTES`` where there are lines."""
     file, block = batch["file"], batch["block"]
     if not len(file):
         return
     change = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
     edges = [0, *(np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist(), len(file)]
     for low, high in zip(edges, edges[1:], strict=False):
-        yield (file[low].as_py(), block[low].as_py()), batch.slice(low, high - low)
+        place, run = (file[low].as_py(), block[low].as_py()), batch.slice(low, high - low)
+        size = pc.binary_length(run["value"]).to_numpy() if "value" in batch.schema.names else np.zeros(len(run), np.int64)
+        for a, b in cuts(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), _RUN_BYTES):
+            yield place, run.slice(a, b - a)
 
 
 def _flags(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -148,3 +148,22 @@ def test_records_by_shuffled_blocks(spark, tmp_path, monkeypatch):
     schema = StructType([StructField("id", StringType())])
     with setting(spark, "spark.sql.files.maxPartitionBytes", "6"), setting(spark, "spark.sql.files.openCostInBytes", "1"):
         assert sorted(r["id"] for r in read_csv(spark, str(tmp_path), schema).collect()) == ["four\n\nfive", "one\ntwo", "three"]
+
+
+def test_long_lines_are_put_together_a_few_at_a_time():
+    import pyarrow as pa
+
+    from kindred.sources import quoted
+
+    lines, n = "x" * 100_000, 200
+    batch = pa.record_batch(
+        [pa.array(["f"] * n), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([lines] * n),
+         *[pa.array([i % 2 == 0 for i in range(n)]), pa.array([i % 2 == 0 for i in range(n)])],
+         pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64())],
+        ["file", "block", "row", "value", "outside", "inside", "start", "origin"],
+    )
+    runs = list(quoted._runs(batch))
+    assert sum(len(run) for _, run in runs) == n and max(len(run) for _, run in runs) * 100_000 <= quoted._RUN_BYTES
+    records = [r for out in quoted._together(True)(iter([batch])) for r in out.to_pylist()]
+    assert [r["row"] for r in records] == list(range(0, n, 2)) and {r["value"] for r in records} == {f"{lines}\n{lines}"}
+    assert [r["head"] for r in records] == [True] + [False] * (n // 2 - 1)
