@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.joins import by_blocks, lookup_join, row_bound
-from kindred.operators.topk import DIGITS, rank_items
+from kindred.operators.topk import DIGITS, rank_items, score_sparse
 from kindred.session import pushing_lists, written
 
 BLOCK = 1024  # postings in a row of the index
@@ -95,18 +95,14 @@ def _found(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
 
 
-def _complete(pairs: DataFrame, packed: DataFrame, wanted: DataFrame, below: float | None) -> DataFrame:
-    """(query_id, item_id, score) of some pairs, over all terms of the query."""
-    pairs = written(pairs.select("query_id", "item_id").distinct(), "pairs")
-    small = row_bound(pairs) is not None
-    rows = among(packed, "item_id", pairs).join(F.broadcast(pairs) if small else pairs, "item_id")
-    each = rows.select("query_id", "item_id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("w"))))
-    asked = wanted.select("query_id", "term", "weight")
-    each = each.join(F.broadcast(asked) if row_bound(asked) is not None else asked, ["query_id", "term"])
-    scored = each.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("weight") * F.col("w")), DIGITS).alias("score"))
-    scored = scored if below is None else scored.filter(F.col("score") < below)
+def _complete(found: DataFrame, packed: DataFrame, wanted: DataFrame, k: int, below: float | None) -> DataFrame:
+    """The k best of some items for each query, scored over all terms of the query where the items lie.
+
+    An item found for one query is scored for all of the block: each score is whole, so more items do no harm.
+    """
     with pushing_lists(packed.sparkSession, LIST_KEYS):
-        return written(scored, "scored")
+        items = written(found.select("item_id").distinct(), "items")
+        return written(score_sparse(wanted, among(packed, "item_id", items), k, below), "scored")
 
 
 def topk_index(
@@ -133,15 +129,14 @@ def topk_index(
         with pushing_lists(spark, LIST_KEYS):
             heads = among(index.blocks.filter("part = 0 AND number = 0"), "term", wanted)
             tried = written(rank_items(_found(heads, wanted.select("query_id", "term", "weight")), HEAD_ANSWERS * k), "heads")
-        first = rank_items(_complete(tried, packed, wanted, below), k)
+        first = _complete(tried, packed, wanted, k, below)
         least = first.filter(F.col("rank") == k).select("query_id", (F.col("score") - _ROUNDING).alias("least"))
         terms = written(essential(wanted, least).select("query_id", "term", "weight", "least", "slack"), "essential")
         with pushing_lists(spark, LIST_KEYS):
             sums = _found(among(index.blocks, "term", terms), terms.select("query_id", "term", "weight"))
             limits = F.broadcast(terms.groupBy("query_id").agg(F.first("least").alias("least"), F.first("slack").alias("slack")))  # a row for each query of the block
             reach = F.col("least").isNull() | (F.col("score") + F.col("slack") >= F.col("least"))
-            found = written(sums.join(limits, "query_id").filter(reach), "found")
-        return rank_items(_complete(found, packed, wanted, below), k)
+        return _complete(sums.join(limits, "query_id").filter(reach), packed, wanted, k, below)
 
     return by_blocks(queries, "query_id", INDEX_BLOCK, one_pass)
 

@@ -77,26 +77,27 @@ def topk_sparse(
     answers. ``below`` drops scores from that value on before ranking.
     """
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        wanted = query_terms(block)
-        schema = StructType(
-            [
-                StructField("query_id", wanted.schema["query_id"].dataType),
-                StructField("item_id", packed.schema["item_id"].dataType),
-                StructField("score", DoubleType()),
-            ]
-        )
-        table = wanted.select("query_id", "term", "weight").toArrow().combine_chunks()
-        if table.nbytes > _BLOCK_BYTES:
-            raise ValueError(f"a block of queries takes {table.nbytes} bytes; use fewer queries a block")
-        if not table.num_rows:
-            return rank_items(packed.sparkSession.createDataFrame([], schema), k)
-        query, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
-        where = (query.indices.to_numpy(), term.indices.to_numpy(), table.column("weight").to_numpy())
-        scorer = _sparse_scorer(query.dictionary, term.dictionary, where, k, below)
-        return rank_items(packed.select("item_id", "terms", "weights").mapInArrow(scorer, schema), k)
-
-    return by_blocks(queries, "query_id", SPARSE_BLOCK, one_pass)
+    return by_blocks(queries, "query_id", SPARSE_BLOCK, lambda block: score_sparse(query_terms(block), packed, k, below))
+
+
+def score_sparse(wanted: DataFrame, packed: DataFrame, k: int, below: float | None = None) -> DataFrame:
+    """``topk_sparse`` of one block of queries, given as ``wanted`` (query_id, term, weight)."""
+    schema = StructType(
+        [
+            StructField("query_id", wanted.schema["query_id"].dataType),
+            StructField("item_id", packed.schema["item_id"].dataType),
+            StructField("score", DoubleType()),
+        ]
+    )
+    table = wanted.select("query_id", "term", "weight").toArrow().combine_chunks()
+    if table.nbytes > _BLOCK_BYTES:
+        raise ValueError(f"a block of queries takes {table.nbytes} bytes; use fewer queries a block")
+    if not table.num_rows:
+        return rank_items(packed.sparkSession.createDataFrame([], schema), k)
+    query, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    where = (query.indices.to_numpy(), term.indices.to_numpy(), table.column("weight").to_numpy())
+    scorer = _sparse_scorer(query.dictionary, term.dictionary, where, k, below)
+    return rank_items(packed.select("item_id", "terms", "weights").mapInArrow(scorer, schema), k)
 
 
 def _sparse_scorer(ids: pa.Array, terms: pa.Array, where: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, below: float | None):
