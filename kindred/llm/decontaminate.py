@@ -132,19 +132,24 @@ def walks_needed(span: int, target: float = RECALL) -> int:
     that are allowed: substitutions, insertions and deletions, spread or gathered.
     """
     lengths = [n for n in range(LEAST_WORDS, 2 * max(STRIDES) + 8) if span_of(n) == span]
-    cases = []
+    needed = 1
     for n in (lengths[0], lengths[len(lengths) // 2], lengths[-1]):
         for kind in ("substitute", "mix", "gather"):
-            draw = np.random.default_rng([n, len(kind)])
-            items = draw.integers(1, 1 << 62, (TRIALS, n), dtype=np.uint64)
-            copies = [edited(item, n * PERCENT // 100, kind, draw) for item in items]
-            cases.append((ItemIndex.of_words(list(items), {span: MOST_WALKS}), copies, np.zeros(TRIALS, bool)))
+            needed = max(needed, _walks_for(span, n, kind, target))  # one after the other: draws of all at once take 60 MB of the driver
+    return needed
+
+
+def _walks_for(span: int, n: int, kind: str, target: float) -> int:
+    """Least walks that find the target share of drawn items of ``n`` words with one kind of edits; ``MOST_WALKS`` if none do."""
+    draw = np.random.default_rng([n, len(kind)])
+    items = draw.integers(1, 1 << 62, (TRIALS, n), dtype=np.uint64)
+    copies = [edited(item, n * PERCENT // 100, kind, draw) for item in items]
+    index, found = ItemIndex.of_words(list(items), {span: MOST_WALKS}), np.zeros(TRIALS, bool)
+    of = np.repeat(np.arange(TRIALS), [len(c) for c in copies])
     for walk in range(MOST_WALKS):
-        for index, copies, found in cases:
-            of = np.repeat(np.arange(TRIALS), [len(c) for c in copies])
-            text, item, _ = index.candidates(np.concatenate(copies), of, TRIALS, range(walk, walk + 1)).T
-            found[text[text == item]] = True
-        if min(found.mean() for _, _, found in cases) >= target:
+        text, item, _ = index.candidates(np.concatenate(copies), of, TRIALS, range(walk, walk + 1)).T
+        found[text[text == item]] = True
+        if found.mean() >= target:
             return walk + 1
     return MOST_WALKS
 

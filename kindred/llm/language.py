@@ -21,6 +21,8 @@ WIDTH = 1 << 14  # hashed n-grams
 SHARPNESS = 4.0
 SPREAD = 64  # parts in which the rows of a language are cut down before they meet
 _ROWS = 128  # texts whose presence bits are held at once
+_FIT_ROWS = 16  # of the labelled rows, and slots, that the fit holds as numbers at once
+_FIT_SLOTS = 1 << 10
 #: Bytes that are no letters count as one space.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = np.where(np.char.isalpha(np.array([chr(i) for i in range(128)])), _FOLD[:128], 32)
@@ -54,30 +56,39 @@ def presence(texts: list[str]) -> Iterator[np.ndarray]:
         yield bits
 
 
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Rows of presence bits, packed or not, at unit length: four bytes for each bit, so of some rows at a time."""
+    x = (np.unpackbits(bits, axis=1) if bits.dtype == np.uint8 else bits).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
+
+
 def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """One-versus-rest kernel ridge regression on Nystroem features.
 
     The kernel of two texts is the number of n-grams of all orders that both
     hold, over the geometric mean of what each holds. Landmarks are spread evenly
-    over the rows, which come sorted by language. As the kernel is linear in the
+    over the rows, which come sorted by language. ``bits`` may come packed to bytes, and are
+    unpacked a few rows at a time, as this runs in the driver. As the kernel is linear in the
     bits, regression and landmarks fold into one weight vector per language.
     """
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((WIDTH, 0), np.float32))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))]
+    marks = _unit(bits[np.unique(np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int))])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     solid = values > 1e-6 * values.max()
     root = vectors[:, solid] / np.sqrt(values[solid])
-    features = (x @ marks.T).astype(np.float64) @ root
+    near = [_unit(bits[at : at + _FIT_ROWS]) @ marks.T for at in range(0, len(bits), _FIT_ROWS)]
+    features = np.concatenate(near).astype(np.float64) @ root
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None], 1.0, -1.0)
     # Each language counts alike, however many rows it has.
     share = np.array([1 / labels.count(k) for k in labels])[:, None]
     gram = features.T @ (features * share) + ridge * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (target * share))
-    return LanguageModel(languages, (marks.T @ (root @ solved)).astype(np.float32))
+    folded = root @ solved
+    weights = [(marks[:, at : at + _FIT_SLOTS].T @ folded).astype(np.float32) for at in range(0, WIDTH, _FIT_SLOTS)]
+    return LanguageModel(languages, np.concatenate(weights))
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
@@ -110,7 +121,7 @@ def learn(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
 
     sample = chosen.mapInArrow(bits_of, "lang string, place bigint, bits binary").collect()
     sample.sort(key=lambda r: (r["lang"], r["place"]))
-    bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample], bool)
+    bits = np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), -1)
     return fit(bits, [r["lang"] for r in sample])
 
 

@@ -1,6 +1,7 @@
 """Language ID against a kernel regression written out."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -81,3 +82,17 @@ def test_the_fit_reads_no_more_rows_than_asked_for(spark):
         language.fit = keep
     assert len(seen[0]) == 20 == len(set(seen[0]))
     assert len(set(seen[1])) == 51 and all(seen[1].count(k) == 5 for k in set(seen[1]))
+
+
+def test_the_fit_takes_packed_bits_in_little_memory():
+    train = sorted(texts(5, 300))
+    bits, labels = np.concatenate(list(language.presence([t for _, t in train]))), [k for k, _ in train]
+    want = language.fit(bits, labels)
+    packed = np.packbits(bits, axis=1)
+    del bits
+    tracemalloc.start()
+    got = language.fit(packed, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.languages == want.languages and np.allclose(got.weights, want.weights, atol=1e-5)
+    assert peak < 2.5 * language.LANDMARKS * language.WIDTH * 4  # the landmarks and little else, not all rows as numbers
