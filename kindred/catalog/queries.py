@@ -25,7 +25,7 @@ from kindred.plans.model import fit_model, fit_terms, load_model, save_model
 from kindred.plans.prepare import MAX_LENGTH, preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
 from kindred.plans.versions import append_batch, load_version
-from kindred.session import fresh_path, written
+from kindred.session import TEXTS, fresh_path, written
 from kindred.sources.files import read_csv, write_csv
 from kindred.sources.lines import missing_to_null, parse_ndjson, parse_tsv
 
@@ -57,7 +57,7 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(clean_documents(spark, sf_dir).select("item_id", "text_clean"), "cleaned")
+    return written(clean_documents(spark, sf_dir).select("item_id", "text_clean"), "cleaned", **TEXTS)
 
 
 # --- sources -----------------------------------------------------------------

@@ -19,6 +19,7 @@ from kindred.operators.joins import BROADCAST_ROWS, lookup_join
 from kindred.operators.topk import top_rows
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
+PIECE_BYTES = 16 << 20  # of texts whose terms meet in one task, whatever the size of the table
 _SLICE_BYTES = 4 << 20  # of texts that are counted at once; a longer text is counted alone
 
 
@@ -48,22 +49,28 @@ def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def gather(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Key and text, hash-partitioned by key.
+def pieces(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """(rows, pieces of ``PIECE_BYTES`` of texts) of a stored table."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return rows, -(-size // PIECE_BYTES)
+
+
+def gather(docs: DataFrame, key: str, text_col: str, parts: int | None = None) -> DataFrame:
+    """Key and text, hash-partitioned by key, into ``parts`` if they are given.
 
     Everything counted per document afterwards (terms, norms, scores, vectors)
     finds its rows in one task already and needs no further shuffle.
     """
-    return docs.select(key, text_col).repartition(key)
+    return docs.select(key, text_col).repartition(*([] if parts is None else [parts]), key)
 
 
-def _words(docs: DataFrame, key: str | None, text_col: str, plain: bool) -> DataFrame:
+def _words(docs: DataFrame, key: str | None, text_col: str, plain: bool, parts: int | None = None) -> DataFrame:
     """(key, _texts): words of the texts of each key, parted by spaces; without ``key`` each text is one of its own."""
     text = F.col(text_col) if plain else F.array_join(tokens(F.col(text_col)), " ")
     if key is None:
         return docs.select(F.array(text).alias("_texts"))
     # texts are moved, not the many more terms; words that meet come from one text
-    return gather(docs, key, text_col).select(key, text.alias("_text")).groupBy(key).agg(F.collect_list("_text").alias("_texts"))
+    return gather(docs, key, text_col, parts).select(key, text.alias("_text")).groupBy(key).agg(F.collect_list("_text").alias("_texts"))
 
 
 def cuts(before: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -163,12 +170,14 @@ def _kind(df: DataFrame, key: str) -> str:
     return f"`{key}` {df.schema[key].dataType.simpleString()}"
 
 
-def packed_counts(docs: DataFrame, key: str, text_col: str, low: int = 1, high: int = 2, plain: bool = True) -> DataFrame:
+def packed_counts(
+    docs: DataFrame, key: str, text_col: str, low: int = 1, high: int = 2, plain: bool = True, parts: int | None = None
+) -> DataFrame:
     """(key, terms, counts): the terms of each key in one row; keys without a term are left out.
 
-    Texts are shuffled by key and counted where they arrive.
+    Texts are shuffled by key, into ``parts`` if they are given, and counted where they arrive.
     """
-    texts = _words(docs, key, text_col, plain)
+    texts = _words(docs, key, text_col, plain, parts)
     return texts.mapInArrow(_counted(low, high), f"{_kind(docs, key)}, terms array<string>, counts array<bigint>")
 
 
@@ -250,17 +259,19 @@ def packed_weights(
     high: int = 2,
     plain: bool = True,
     max_features: int | None = 10_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """(key, terms, weights): log-scaled tf times idf, unit length per key, all terms of a key in one row.
 
     Terms outside the vocabulary vanish, and so do keys left without a term. A vocabulary
     of up to ``BROADCAST_ROWS`` terms, as ``max_features`` promises, goes to the tasks that
-    count, and other terms are not even given out; a larger one is joined.
+    count, and other terms are not even given out; a larger one is joined. Rows then lie in the
+    ``parts`` of their key, if these are given.
     """
     if max_features is not None and max_features <= BROADCAST_ROWS:
         known, idf = _known(vocab)
         count, weight = _counted(low, high, known), _weighed(known, idf)
-        return _words(docs, key, text_col, plain).mapInArrow(
+        return _words(docs, key, text_col, plain, parts).mapInArrow(
             lambda batches: weight(count(batches)), f"{_kind(docs, key)}, terms array<string>, weights array<double>"
         )
     known = lookup_join(term_counts(docs, key, text_col, low, high, plain), vocab.select("term", "idf"), "term", max_features)

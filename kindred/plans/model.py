@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from kindred.operators.cells import assign_cells, measured, train_cells
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.postings import TermIndex, build_index, load_index
-from kindred.operators.terms import packed_weights, term_statistics, tfidf_weights, unpacked, vocabulary
+from kindred.operators.terms import packed_weights, pieces, term_statistics, tfidf_weights, unpacked, vocabulary
 from kindred.plans.prepare import usable
-from kindred.session import fresh_path, written
+from kindred.session import TEXTS, fresh_path, in_pieces, written
 from kindred.sources.buckets import read_bucketed, write_bucketed
 from kindred.sources.files import ITEM_COLUMNS
 
@@ -68,16 +68,24 @@ class Model:
         return self.encoder(queries, "query_id", text_col)
 
 
-def fit_packed(docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()):
+def fit_packed(
+    docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()
+):
     """(vocabulary, packed postings) of a table of cleaned texts that is stored.
 
-    The corpus is read twice: for the statistics, and for postings in the
-    vocabulary they give. ``fit_model`` stores the cleaned texts before.
+    The corpus is read three times: for its size, for the statistics, and for postings in the
+    vocabulary they give. ``fit_model`` stores the cleaned texts before. The size says how many
+    tasks terms are summed in, so that none holds more of a larger corpus.
     """
+    spark = docs.sparkSession
+    n_docs, parts = pieces(docs, text_col)
     statistics = term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
-    vocab = written(vocabulary(statistics, docs.count(), terms.max_features, terms.min_df, terms.max_df), "vocab")
+    with in_pieces(spark, parts):
+        vocab = written(vocabulary(statistics, n_docs, terms.max_features, terms.min_df, terms.max_df), "vocab")
+    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        parts = None  # Spark may take fewer
     return vocab, packed_weights(
-        docs, vocab, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain, terms.max_features
+        docs, vocab, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain, terms.max_features, parts
     )
 
 
@@ -107,7 +115,7 @@ def fit_model(
     Cells are trained if ``n_cells`` is given. With ``index`` postings are also
     written by term, and those of items in the order of items. ``metadata`` may be a table of raw items: answers pick the fitted ones.
     """
-    docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
+    docs = written(usable(items.select("item_id", text_col), text_col), "cleaned", **TEXTS)
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
         vocab, packed = fit_packed(docs, "item_id", text_col, terms)

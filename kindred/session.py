@@ -9,8 +9,13 @@ from contextlib import AbstractContextManager, contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+#: Options of tables of texts and terms: row groups that many tasks can share, and fewer bytes.
+TEXTS = {"parquet.block.size": 16 << 20, "compression": "zstd"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LISTS = "spark.sql.parquet.pushdown.inFilterThreshold"
+_PARTS = "spark.sql.shuffle.partitions"
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+SPLIT_BYTES = 16 << 20  # of files that a task reads where what it makes of them stays in its memory
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred", shared: str | None = None) -> SparkSession:
@@ -78,8 +83,20 @@ def pushing_lists(spark: SparkSession, most: int) -> AbstractContextManager[None
     return setting(spark, _LISTS, str(most))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+@contextmanager
+def in_pieces(spark: SparkSession, parts: int) -> Iterator[None]:
+    """For what runs inside: shuffles into ``parts`` at least, and tasks that read at most ``SPLIT_BYTES`` where the session names no size.
+
+    Memory of a task then depends on the piece, not on the table.
+    """
+    parts = max(parts, int(spark.conf.get(_PARTS)))
+    split = spark.conf.get(_SPLIT, None) or str(SPLIT_BYTES)
+    with setting(spark, _PARTS, str(parts)), setting(spark, _SPLIT, split):
+        yield
+
+
+def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``options`` are those of Parquet files.
 
     Cuts the lineage with a table that outlives any executor, and unlike
     ``checkpoint()`` keeps column pruning for the passes that follow.
@@ -87,7 +104,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -4,6 +4,8 @@ import pyarrow as pa
 import pytest
 
 from kindred.operators import terms
+from kindred.plans.model import fit_packed
+from kindred.session import SPLIT_BYTES, in_pieces, written
 
 DOCS = [
     (1, "red fox red fox x den"), (2, None), (3, ""), (4, "fox"), (None, "red fox"), (5, "a b c"),
@@ -61,3 +63,20 @@ def test_nothing_is_grouped_by_key_and_term(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "count(1)" not in plan and plan.count("Exchange hashpartitioning") == 1
         assert plan.index("Generate") < plan.index("MapInArrow")  # occurrences are rows only after they are counted
+
+
+def test_parts_follow_the_size_of_the_table(spark, monkeypatch):
+    docs = written(spark.createDataFrame([(i, f"fox den w{i % 9}") for i in range(400)], "item_id int, text_clean string"), "cleaned")
+    parts = lambda: fit_packed(docs)[1].rdd.getNumPartitions()
+    want = sorted(fit_packed(docs)[1].collect())
+    assert terms.pieces(docs, "text_clean") == (400, 1) and parts() <= 4
+    monkeypatch.setattr(terms, "PIECE_BYTES", 400)
+    assert terms.pieces(docs, "text_clean") == (400, 10) and parts() == 10
+    assert sorted(fit_packed(docs)[1].collect()) == want
+    before = {name: spark.conf.get(name, None) for name in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    with in_pieces(spark, 10):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == (before["spark.sql.files.maxPartitionBytes"] or str(SPLIT_BYTES))
+    with in_pieces(spark, 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert before == {name: spark.conf.get(name, None) for name in before}
