@@ -9,15 +9,17 @@ created in one step, so readers see all of an append or nothing of it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.encode import hashed_vectors
-from kindred.operators.terms import packed_counts, term_statistics, vocabulary, weigh
+from kindred.operators.joins import row_bound
+from kindred.operators.terms import packed_counts, pieces, term_statistics, vocabulary, weigh
 from kindred.plans.model import Encoder, Model, TermOptions
 from kindred.plans.prepare import usable
-from kindred.session import written
+from kindred.session import TEXTS, dropping_shuffles, in_pieces, written
 from kindred.sources.files import ITEM_COLUMNS
 
 _END = "end"  # last line of a whole manifest
@@ -78,6 +80,31 @@ def _next_number(spark: SparkSession, path: str, before: Version) -> int:
         number += 1
 
 
+def merged_vocabulary(tables: list[DataFrame], sizes: list[int], terms: TermOptions) -> DataFrame:
+    """The vocabulary of the summed statistics of batches of so many documents.
+
+    Only terms that may be in it are shuffled. The most frequent terms of the largest batch that keep the
+    df bounds whatever the others hold are enough to fill it, so none with fewer occurrences than the last of them gets in;
+    and a term with as many has its share of them in some batch.
+    """
+    n_docs, every = sum(sizes), reduce(DataFrame.unionByName, tables)
+    floor = _least_occurrences(*max(zip(tables, sizes, strict=True), key=lambda x: x[1]), n_docs, terms)
+    likely = every.filter(F.col("cf") * len(tables) >= floor).select("term")
+    if len(tables) > 1 and floor > len(tables) and row_bound(likely) is not None:
+        every = every.join(F.broadcast(likely.distinct()), "term", "left_semi")
+    merged = every if len(tables) == 1 else every.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return vocabulary(merged, n_docs, terms.max_features, terms.min_df, terms.max_df)
+
+
+def _least_occurrences(table: DataFrame, size: int, n_docs: int, terms: TermOptions) -> int:
+    """Occurrences that a term of the vocabulary of ``n_docs`` documents has at least, by one batch of ``size``; 0 if that tells nothing."""
+    if terms.max_features is None:
+        return 0
+    sure = table.filter((F.col("df") >= terms.min_df) & (F.col("df") + (n_docs - size) <= terms.max_df * n_docs))
+    first = sure.select("cf").orderBy(F.desc("cf")).limit(terms.max_features).agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
+    return first["least"] if first["n"] == terms.max_features and first["n"] else 0
+
+
 def append_batch(
     path: str,
     batch: str,
@@ -102,18 +129,21 @@ def append_batch(
     if batch in before.batches:
         return before
     own = f"{path}/batches/{batch}"
-    (items if metadata is None else metadata).select(*ITEM_COLUMNS).write.mode("overwrite").parquet(f"{own}/metadata")
-    docs = written(usable(items.select("item_id", text_col), text_col), "cleaned")
-    term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain).write.mode("overwrite").parquet(f"{own}/statistics")
+    (items if metadata is None else metadata).select(*ITEM_COLUMNS).write.mode("overwrite").options(**TEXTS).parquet(f"{own}/metadata")
+    docs = written(usable(items.select("item_id", text_col), text_col), "cleaned", **TEXTS)
+    n_docs, parts = pieces(docs, text_col)
+    statistics = term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
     counts = packed_counts(docs, "item_id", text_col, terms.ngram_min, terms.ngram_max, terms.plain)
-    counts.write.mode("overwrite").parquet(f"{own}/counts")
+    with in_pieces(spark, parts), dropping_shuffles(spark):
+        statistics.write.mode("overwrite").options(**TEXTS).parquet(f"{own}/statistics")
+        counts.write.mode("overwrite").options(**TEXTS).parquet(f"{own}/counts")
     if encoder is not None:
         encoder(docs, "item_id", text_col).write.mode("overwrite").parquet(f"{own}/vectors")
-    after = Version(_next_number(spark, path, before), {**before.batches, batch: docs.count()})
-    merged = spark.read.parquet(*(f"{path}/batches/{name}/statistics" for name in after.batches))
-    merged = merged.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-    vocab = vocabulary(merged, sum(after.batches.values()), terms.max_features, terms.min_df, terms.max_df)
-    vocab.write.mode("overwrite").parquet(f"{path}/versions/{after.number:08d}/vocab")
+    after = Version(_next_number(spark, path, before), {**before.batches, batch: n_docs})
+    tables = [spark.read.parquet(f"{path}/batches/{name}/statistics") for name in after.batches]
+    with in_pieces(spark, pieces(reduce(DataFrame.unionByName, tables), "term")[1]), dropping_shuffles(spark):
+        vocab = merged_vocabulary(tables, list(after.batches.values()), terms)
+        vocab.write.mode("overwrite").parquet(f"{path}/versions/{after.number:08d}/vocab")
     _publish(spark, path, after)
     return after
 

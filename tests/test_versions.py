@@ -91,3 +91,24 @@ def test_an_empty_batch(spark, items, tmp_path):
     version = append_batch(path, "none", items.limit(0), terms=TERMS)
     assert version.batches["none"] == 0
     assert load_version(spark, path, terms=TERMS).packed.count() > 0
+
+
+@pytest.mark.parametrize(("most", "max_df", "pruned"), [(20, 0.95, True), (5, 0.6, True), (5, 0.3, False), (None, 0.95, False), (400, 0.95, False)])
+def test_a_merge_moves_only_terms_that_may_be_in_the_vocabulary(spark, most, max_df, pruned):
+    options = TermOptions(max_features=most, max_df=max_df)
+    r = random.Random(9)
+    tables, total = [], {}
+    for _ in range(3):
+        rows = [(f"t{i}", df := r.randrange(1, 2 + 200 // (i + 1)), df + r.randrange(3)) for i in range(200) if r.random() < 0.8]
+        tables.append(spark.createDataFrame(rows, "term string, df bigint, cf bigint"))
+        for term, df, cf in rows:
+            before = total.get(term, (0, 0))
+            total[term] = (before[0] + df, before[1] + cf)
+    sizes = [300, 500, 200]
+    kept = sorted((-cf, t) for t, (df, cf) in total.items() if options.min_df <= df <= options.max_df * 1000)[: options.max_features]
+    got = versions.merged_vocabulary(tables, sizes, options)
+    assert sorted(r["term"] for r in got.collect()) == sorted(t for _, t in kept)
+    assert {r["term"]: (r["df"], r["cf"]) for r in got.collect()} == {t: total[t] for _, t in kept}
+    assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == pruned
+    alone = versions.merged_vocabulary(tables[:1], sizes[:1], options)
+    assert "Aggregate" not in alone._jdf.queryExecution().optimizedPlan().toString()
