@@ -565,7 +565,7 @@ def recommend_source_filter(spark, sf_dir):
 def recommend_bucketed(spark, sf_dir):
     """``recommend_source_filter`` on a saved model whose tables are bucketed by item."""
     path = fresh_path(spark, "model")
-    save_model(_model(spark, sf_dir, corpus, encoder=None), path, buckets=BUCKETS)
+    save_model(_model(spark, sf_dir, corpus, encoder=None, buckets=BUCKETS), path, buckets=BUCKETS)
     model = load_model(spark, path, encoder=None, buckets=BUCKETS)
     queries = inputs.query_texts(spark, sf_dir)
     modes = [

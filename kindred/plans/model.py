@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.cells import assign_cells, measured, train_cells
 from kindred.operators.encode import hashed_vectors
+from kindred.operators.joins import BROADCAST_ROWS
 from kindred.operators.postings import TermIndex, build_index, load_index
 from kindred.operators.terms import packed_weights, pieces, term_statistics, tfidf_weights, unpacked, vocabulary
 from kindred.plans.prepare import usable
@@ -45,6 +46,7 @@ class Model:
     index: TermIndex | None = None  # postings by term, for searches with few queries
     terms: TermOptions = TermOptions()
     encoder: Encoder | None = hashed_vectors
+    buckets: int | None = None  # of which the rows of ``packed``, a plan, lie together
 
     @property
     def postings(self) -> DataFrame | None:
@@ -69,20 +71,22 @@ class Model:
 
 
 def fit_packed(
-    docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions()
+    docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions(), buckets: int | None = None
 ):
     """(vocabulary, packed postings) of a table of cleaned texts that is stored.
 
     The corpus is read three times: for its size, for the statistics, and for postings in the
     vocabulary they give. ``fit_model`` stores the cleaned texts before. The size says how many
-    tasks terms are summed in, so that none holds more of a larger corpus.
+    tasks terms are summed in, so that none holds more of a larger corpus. Postings lie in so many ``buckets`` of the key if these are given.
     """
     spark = docs.sparkSession
     n_docs, parts = pieces(docs, text_col)
     statistics = term_statistics(docs, text_col, terms.ngram_min, terms.ngram_max, terms.plain)
     with in_pieces(spark, parts):
         vocab = written(vocabulary(statistics, n_docs, terms.max_features, terms.min_df, terms.max_df), "vocab")
-    if parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+    if buckets is not None:
+        parts = buckets * max(1, -(-parts // buckets))  # so a part is of one bucket
+    elif parts <= int(spark.conf.get("spark.sql.shuffle.partitions")):
         parts = None  # Spark may take fewer
     return vocab, packed_weights(
         docs, vocab, key, text_col, terms.ngram_min, terms.ngram_max, terms.plain, terms.max_features, parts
@@ -104,6 +108,7 @@ def fit_model(
     n_cells: int | None = None,
     metadata: DataFrame | None = None,
     index: bool = False,
+    buckets: int | None = None,
 ) -> Model:
     """Fit the model tables to cleaned items; null and blank texts count for nothing.
 
@@ -114,16 +119,20 @@ def fit_model(
     are written, too. ``terms`` or ``encoder`` of None leaves that part out.
     Cells are trained if ``n_cells`` is given. With ``index`` postings are also
     written by term, and those of items in the order of items. ``metadata`` may be a table of raw items: answers pick the fitted ones.
+    With ``buckets``, for a model that is to be saved in so many, postings are a plan that places them by bucket:
+    ``save_model`` writes them once, and searches go to the saved model.
     """
     docs = written(usable(items.select("item_id", text_col), text_col), "cleaned", **TEXTS)
     model = Model(metadata=(items if metadata is None else metadata).select(*ITEM_COLUMNS), docs=docs, encoder=encoder)
     if terms is not None:
-        vocab, packed = fit_packed(docs, "item_id", text_col, terms)
-        packed = written(packed, "postings")
+        placed = None if index or (terms.max_features or BROADCAST_ROWS + 1) > BROADCAST_ROWS else buckets
+        vocab, packed = fit_packed(docs, "item_id", text_col, terms, placed)
+        if placed is None:
+            packed = written(packed, "postings")
         if index:  # stored before, as the bounds of ranges take a pass of their own
             packed = written(packed.repartitionByRange("item_id").sortWithinPartitions("item_id"), "postings")
         by_term = build_index(packed, fresh_path(items.sparkSession, "index")) if index else None
-        model = replace(model, vocab=vocab, packed=packed, index=by_term, terms=terms)
+        model = replace(model, vocab=vocab, packed=packed, index=by_term, terms=terms, buckets=placed)
     if vectors is None:
         if encoder is None:
             return model
@@ -153,7 +162,7 @@ def save_model(model: Model, path: str, cell_files: int = 16, buckets: int | Non
             raise ValueError("a model with an index or cells has an order of its own; leave buckets out")
         for name, table in (("metadata", model.metadata), ("postings", model.packed), ("vectors", model.vectors)):
             if table is not None:
-                write_bucketed(table, f"{path}/{name}", "item_id", buckets)
+                write_bucketed(table, f"{path}/{name}", "item_id", buckets, placed=name == "postings" and model.buckets == buckets)
         if model.vocab is not None:
             model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         return

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.operators import terms
 from kindred.plans import recommend as plans
 from kindred.plans.model import fit_model, load_model, save_model
 from kindred.plans.recommend import recommend
@@ -69,3 +70,20 @@ def test_bucketed_model_answers_as_before(spark, items, method, monkeypatch):
 def test_tables_with_an_order_of_their_own_are_not_bucketed(spark, items):
     with pytest.raises(ValueError, match="order of its own"):
         save_model(fit_model(items, encoder=None, index=True), fresh_path(spark, "model"), buckets=4)
+
+
+def test_postings_are_placed_and_written_once(spark, items, monkeypatch):
+    monkeypatch.setattr(terms, "PIECE_BYTES", 500)
+    stored = fit_model(items, encoder=None)
+    model = fit_model(items, encoder=None, buckets=4)
+    assert not hasattr(model.packed, "written_to") and model.buckets == 4
+    path = fresh_path(spark, "model")
+    save_model(model, path, buckets=4)
+    loaded = load_model(spark, path, encoder=None, buckets=4)
+    assert sorted(loaded.packed.collect()) == sorted(stored.packed.collect())
+    assert loaded.packed.filter("item_id = 'i7'").count() == 1  # found by its bucket
+    placed = model.packed.groupBy(F.spark_partition_id().alias("p"), F.expr("pmod(hash(item_id), 4)").alias("b")).count()
+    rows = placed.collect()
+    assert len({r["p"] for r in rows}) == len(rows) > 4 and {r["b"] for r in rows} == {0, 1, 2, 3}
+    save_model(model, path, buckets=5)  # another number than it was placed for
+    assert sorted(load_model(spark, path, encoder=None, buckets=5).packed.collect()) == sorted(stored.packed.collect())
