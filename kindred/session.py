@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import AbstractContextManager, contextmanager
@@ -9,13 +10,13 @@ from contextlib import AbstractContextManager, contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+SPLIT_BYTES = 8 << 20  # of files that a task reads where what it makes of them stays in its memory; several times that of texts
 #: Options of tables of texts and terms: row groups that many tasks can share, and fewer bytes.
-TEXTS = {"parquet.block.size": 16 << 20, "compression": "zstd"}
+TEXTS = {"parquet.block.size": SPLIT_BYTES, "compression": "zstd"}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LISTS = "spark.sql.parquet.pushdown.inFilterThreshold"
 _PARTS = "spark.sql.shuffle.partitions"
 _SPLIT = "spark.sql.files.maxPartitionBytes"
-SPLIT_BYTES = 16 << 20  # of files that a task reads where what it makes of them stays in its memory
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred", shared: str | None = None) -> SparkSession:
@@ -83,15 +84,21 @@ def pushing_lists(spark: SparkSession, most: int) -> AbstractContextManager[None
     return setting(spark, _LISTS, str(most))
 
 
+def _bytes(size: str) -> int:
+    """A size as sessions name it, like ``134217728b`` or ``128m``."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
 @contextmanager
 def in_pieces(spark: SparkSession, parts: int) -> Iterator[None]:
-    """For what runs inside: shuffles into ``parts`` at least, and tasks that read at most ``SPLIT_BYTES`` where the session names no size.
+    """For what runs inside: shuffles into ``parts`` at least, and tasks that read at most ``SPLIT_BYTES``, or less where the session names less.
 
     Memory of a task then depends on the piece, not on the table.
     """
     parts = max(parts, int(spark.conf.get(_PARTS)))
-    split = spark.conf.get(_SPLIT, None) or str(SPLIT_BYTES)
-    with setting(spark, _PARTS, str(parts)), setting(spark, _SPLIT, split):
+    split = min(_bytes(spark.conf.get(_SPLIT, None) or str(SPLIT_BYTES)), SPLIT_BYTES)
+    with setting(spark, _PARTS, str(parts)), setting(spark, _SPLIT, str(split)):
         yield
 
 

@@ -2,10 +2,11 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.operators import terms
 from kindred.plans.model import fit_packed
-from kindred.session import SPLIT_BYTES, in_pieces, written
+from kindred.session import SPLIT_BYTES, TEXTS, in_pieces, setting, written
 
 DOCS = [
     (1, "red fox red fox x den"), (2, None), (3, ""), (4, "fox"), (None, "red fox"), (5, "a b c"),
@@ -80,3 +81,21 @@ def test_parts_follow_the_size_of_the_table(spark, monkeypatch):
     with in_pieces(spark, 1):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert before == {name: spark.conf.get(name, None) for name in before}
+
+
+def test_tasks_read_little_whatever_the_session_names(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    for named, want in (("128m", SPLIT_BYTES), ("1g", SPLIT_BYTES), (str(1 << 30), SPLIT_BYTES), ("1024KB", 1 << 20), ("70000b", 70_000)):
+        with setting(spark, name, named):
+            with in_pieces(spark, 1):
+                assert spark.conf.get(name) == str(want)
+            assert spark.conf.get(name) == named
+
+
+def test_row_groups_can_be_shared_by_tasks(spark):
+    # hex digests hardly compress, so row groups are as large as the files' bytes
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.sha2(F.concat("id", F.lit("-"), i), 256)), " ")
+    docs = written(spark.range(0, 16_000, 1, 1).select("id", words.alias("text")), "cleaned", **TEXTS)
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "128m"), in_pieces(spark, 1):
+        rows = [n for n in docs.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(rows) == 16_000 and max(rows) <= 16_000 // 2
