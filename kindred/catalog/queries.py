@@ -14,14 +14,13 @@ from kindred.functions import text as T
 from kindred.functions.accents import fold_accents
 from kindred.functions.vectors import l2_normalize
 from kindred.operators.cells import assign_cells, best_products, measured, topk_bounded, topk_cells, train_cells
-from kindred.operators.encode import hashed_vectors
 from kindred.operators.lemma import lemmatize
 from kindred.operators.position import dense_index, first_rows, sample_exact
 from kindred.operators.terms import ngrams, term_counts, term_statistics, tokens
 from kindred.operators.topk import topk_dense, without_self
 from kindred.plans import ingest, quality
 from kindred.plans.latent import fit_latent
-from kindred.plans.model import fit_model, fit_terms, load_model, save_model
+from kindred.plans.model import fit_model, fit_terms, item_vectors, load_model, save_model
 from kindred.plans.prepare import MAX_LENGTH, preprocess, usable
 from kindred.plans.recommend import compare_methods, query_text, recommend, result_cards, similar_items
 from kindred.plans.versions import append_batch, load_version
@@ -447,7 +446,7 @@ def topk_with_metadata(spark, sf_dir):
 
 @register
 def hashed_embedding(spark, sf_dir):
-    vectors = hashed_vectors(clean_documents(spark, sf_dir), "item_id", "text_clean")
+    vectors = item_vectors(stored_documents(spark, sf_dir))
     return vectors.select("item_id", F.posexplode("embedding").alias("slot", "value")).withColumn(
         "value", F.round(F.col("value").cast("double"), 5)
     )

@@ -33,14 +33,16 @@ def _slot_and_sign(word: Column, dim: int) -> tuple[Column, Column]:
     return slot, F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
 
 
-def hashed_vectors(docs: DataFrame, key: str, text_col: str, dim: int = 64, plain: bool = True) -> DataFrame:
+def hashed_vectors(
+    docs: DataFrame, key: str, text_col: str, dim: int = 64, plain: bool = True, parts: int | None = None
+) -> DataFrame:
     """(key, embedding) by signed feature hashing of words, unit length.
 
-    The encoder that needs no model. One shuffle on the key; both
-    aggregations follow from it in place. A text without words, or whose words
+    The encoder that needs no model. One shuffle on the key, into ``parts`` if they
+    are given; both aggregations follow from it in place. A text without words, or whose words
     cancel out, has the zero vector.
     """
-    words = gather(docs, key, text_col).select(key, F.explode_outer(tokens(F.col(text_col), plain)).alias("_word"))
+    words = gather(docs, key, text_col, parts).select(key, F.explode_outer(tokens(F.col(text_col), plain)).alias("_word"))
     slot, sign = _slot_and_sign(F.col("_word"), dim)
     slots = words.groupBy(key, slot.alias("slot")).agg(F.sum(sign).alias("value"))
     # a text without words has one row without a slot, which the list leaves out

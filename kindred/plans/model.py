@@ -70,6 +70,17 @@ class Model:
         return self.encoder(queries, "query_id", text_col)
 
 
+def item_vectors(docs: DataFrame, text_col: str = "text_clean", encoder: Encoder = hashed_vectors) -> DataFrame:
+    """(item_id, embedding) of a table of cleaned texts that is stored.
+
+    The hashing encoder sums in as many parts as the size of the table asks for, so that no task holds more of a larger one.
+    """
+    if encoder is not hashed_vectors:
+        return encoder(docs, "item_id", text_col)
+    parts = max(pieces(docs, text_col)[1], docs.sparkSession.sparkContext.defaultParallelism)
+    return hashed_vectors(docs, "item_id", text_col, parts=parts)
+
+
 def fit_packed(
     docs: DataFrame, key: str = "item_id", text_col: str = "text_clean", terms: TermOptions = TermOptions(), buckets: int | None = None
 ):
@@ -136,7 +147,7 @@ def fit_model(
     if vectors is None:
         if encoder is None:
             return model
-        vectors = written(encoder(docs, "item_id", text_col), "vectors")
+        vectors = written(item_vectors(docs, text_col, encoder), "vectors")
     if n_cells is not None:
         cells = train_cells(vectors, n_cells)
         vectors = written(assign_cells(vectors, cells), "vectors")

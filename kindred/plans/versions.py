@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kindred.operators.encode import hashed_vectors
 from kindred.operators.joins import row_bound
 from kindred.operators.terms import packed_counts, pieces, term_statistics, vocabulary, weigh
-from kindred.plans.model import Encoder, Model, TermOptions
+from kindred.plans.model import Encoder, Model, TermOptions, item_vectors
 from kindred.plans.prepare import usable
 from kindred.session import TEXTS, dropping_shuffles, in_pieces, written
 from kindred.sources.files import ITEM_COLUMNS
@@ -138,7 +138,7 @@ def append_batch(
         statistics.write.mode("overwrite").options(**TEXTS).parquet(f"{own}/statistics")
         counts.write.mode("overwrite").options(**TEXTS).parquet(f"{own}/counts")
     if encoder is not None:
-        encoder(docs, "item_id", text_col).write.mode("overwrite").parquet(f"{own}/vectors")
+        item_vectors(docs, text_col, encoder).write.mode("overwrite").parquet(f"{own}/vectors")
     after = Version(_next_number(spark, path, before), {**before.batches, batch: n_docs})
     tables = [spark.read.parquet(f"{path}/batches/{name}/statistics") for name in after.batches]
     with in_pieces(spark, pieces(reduce(DataFrame.unionByName, tables), "term")[1]), dropping_shuffles(spark):

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import terms
-from kindred.plans.model import fit_packed
+from kindred.plans.model import fit_model, fit_packed
 from kindred.session import SPLIT_BYTES, TEXTS, in_pieces, setting, written
+from kindred.sources.files import ITEM_COLUMNS
 
 DOCS = [
     (1, "red fox red fox x den"), (2, None), (3, ""), (4, "fox"), (None, "red fox"), (5, "a b c"),
@@ -99,3 +100,13 @@ def test_row_groups_can_be_shared_by_tasks(spark):
     with setting(spark, "spark.sql.files.maxPartitionBytes", "128m"), in_pieces(spark, 1):
         rows = [n for n in docs.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
     assert sum(rows) == 16_000 and max(rows) <= 16_000 // 2
+
+
+def test_vectors_are_summed_in_parts_that_follow_the_size(spark, monkeypatch):
+    rows = [(f"i{i}", "book", "t", "", "a", "c", f"fox den w{i % 9}") for i in range(400)]
+    items = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in (*ITEM_COLUMNS, "text_clean")))
+    few = fit_model(items, terms=None).vectors
+    monkeypatch.setattr(terms, "PIECE_BYTES", 200)
+    many = fit_model(items, terms=None).vectors
+    assert len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < 15 < len(many.inputFiles())
+    assert sorted(few.collect()) == sorted(many.collect())
