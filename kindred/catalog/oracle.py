@@ -467,5 +467,4 @@ ORACLE["tfidf_topk_appended"] = ORACLE["tfidf_topk"]
 ORACLE["recommend_bucketed"] = ORACLE["recommend_source_filter"]
 ORACLE["latent_components"] = f"""WITH {DOCS}, {FIT}, t AS (SELECT count(DISTINCT item_id) AS items FROM postings)
 SELECT CAST(c AS INTEGER) AS component, items, true AS strength_agrees, true AS falling, true AS orthonormal FROM range({LATENT}) r(c), t"""
-ORACLE["latent_self_search"] = f"""WITH {DOCS}, {FIT} SELECT DISTINCT item_id AS query_id, 1.0::DOUBLE AS score, true AS unit FROM postings
-WHERE CAST(split_part(item_id, '_', 2) AS BIGINT) % 100 = 0"""
+ORACLE["latent_self_search"] = f"""WITH {DOCS}, {FIT} SELECT DISTINCT item_id AS query_id, 1.0::DOUBLE AS score, true AS unit FROM postings"""

@@ -594,13 +594,14 @@ def latent_components(spark, sf_dir):
 
 @register
 def latent_self_search(spark, sf_dir):
-    """Items encoded by the fitted encoder, asked for themselves: all of them, at unit length, are their own nearest."""
-    space = fit_latent(_model(spark, sf_dir, encoder=None), dim=LATENT)
+    """Items with a known term, encoded by the fitted encoder and asked for themselves: all of them, at unit length, are their own nearest."""
+    model = _model(spark, sf_dir, encoder=None)
+    space = fit_latent(model, dim=LATENT)
     docs = stored_documents(spark, sf_dir)
     vectors = written(space(docs, "item_id", "text_clean"), "vectors")
     norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda total, x: total + x)
-    asked = vectors.select(F.col("item_id").alias("query_id"), "embedding").filter(F.split("query_id", "_")[1].cast("bigint") % 100 == 0)
-    best = topk_dense(asked, vectors, 1).join(vectors.select("item_id", norm.alias("norm")), "item_id")
+    asked = vectors.join(model.packed.select("item_id"), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
+    best = topk_dense(written(asked, "asked"), vectors, 1).join(vectors.select("item_id", norm.alias("norm")), "item_id")
     return best.select("query_id", F.round("score", 4).alias("score"), (F.abs(F.col("norm") - 1) < 0.0001).alias("unit"))
 
 

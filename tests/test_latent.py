@@ -1,7 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.catalog.oracle import ORACLE
+from kindred.catalog.queries import QUERIES
 from kindred.plans import latent
 from kindred.plans.latent import fit_latent, load_latent, save_latent
 from kindred.plans.model import TermOptions, fit_model
@@ -79,3 +82,19 @@ def test_more_groups_than_one(model):
     one = fit_latent(model, dim=2, rounds=2, tolerance=0)
     many = fit_latent(latent.Model(metadata=model.metadata, vocab=model.vocab, packed=model.packed.repartition(7), terms=OPTIONS), dim=2, rounds=2, tolerance=0)
     assert np.allclose(one.strengths, many.strengths)
+
+
+def test_self_search_asks_for_every_item(spark, tmp_path):
+    """All items with a known term are asked; one without any is no query, but stays in the table that is searched."""
+    rng = np.random.default_rng(5)
+    words = [a + b for a in "bcdfg" for b in ("alpha", "beta", "gamma", "delta", "omega")]
+    texts = [" ".join(rng.choice(words, 14)) for _ in range(150)] + [" ".join(f"once{i}" for i in range(12))]
+    spark.createDataFrame([(n, x, "en", "s") for n, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    found = QUERIES["latent_self_search"](spark, str(tmp_path)).collect()
+    assert sorted(r["query_id"] for r in found) == sorted(f"doc_{n}" for n in range(150))
+    assert all(r["unit"] and r["score"] == 1 for r in found)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLE["latent_self_search"]).fetchall()) == sorted((r["query_id"], r["score"], r["unit"]) for r in found)
