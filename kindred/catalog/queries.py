@@ -597,8 +597,7 @@ def latent_self_search(spark, sf_dir):
     """Items with a known term, encoded by the fitted encoder and asked for themselves: all of them, at unit length, are their own nearest."""
     model = _model(spark, sf_dir, encoder=None)
     space = fit_latent(model, dim=LATENT)
-    docs = stored_documents(spark, sf_dir)
-    vectors = written(space(docs, "item_id", "text_clean"), "vectors")
+    vectors = written(space(model.docs, "item_id", "text_clean"), "vectors")  # the cleaned texts that the model was fitted to
     norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda total, x: total + x)
     asked = vectors.join(model.packed.select("item_id"), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
     best = topk_dense(written(asked, "asked"), vectors, 1).join(vectors.select("item_id", norm.alias("norm")), "item_id")

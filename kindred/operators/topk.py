@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kindred.operators.joins import by_blocks
+from kindred.session import written
 
 SELF_SCORE = 0.9999  # fixed value: at this score and above an item is the query itself
 DIGITS = 6
@@ -254,10 +255,12 @@ def topk_dense(
     """(query_id, item_id, score, rank) by inner product, compared exactly.
 
     ``vectors`` is (item_id, embedding). ``queries`` is (query_id, embedding),
-    or anything that ``encode`` turns into that, block by block.
+    or anything that ``encode`` turns into that. One small block of queries is
+    compared with all vectors where they lie; more of them go through ``topk_boxes``,
+    which gives the same answers.
     """
+    if queries.limit(DENSE_BLOCK + 1).count() <= DENSE_BLOCK:
+        return rank_items(score_block(encode(queries) if encode else queries, vectors, k, below), k)
+    from kindred.operators.boxes import topk_boxes  # which takes its scores from here
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        return rank_items(score_block(encode(block) if encode else block, vectors, k, below), k)
-
-    return by_blocks(queries, "query_id", DENSE_BLOCK, one_pass)
+    return topk_boxes(written(encode(queries), "encoded") if encode else queries, vectors, k, below)

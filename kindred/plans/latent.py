@@ -2,8 +2,9 @@
 
 Randomized subspace iteration: a random basis of the term space is multiplied by
 A'A, A having a row for each item, until it holds the directions in which items
-differ most. Each product is one pass over the postings. A task sums the rows it
-has into a matrix of terms by directions; only these sums are shuffled, by term.
+differ most. The postings are stored once with numbers for terms, as bytes; each
+product is one pass over these. A task sums the rows it has into a matrix of terms
+by directions; only these sums are shuffled, by term.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from kindred.operators.terms import packed_weights
 from kindred.plans.model import Model, TermOptions
+from kindred.session import SPLIT_BYTES, forget, written
 
 MATRIX_BYTES = 256 << 20  # terms by directions, in doubles, held by the driver and each task
 OVERSAMPLE = 16  # directions beyond those wanted
+#: Options of the postings that rounds read: Spark's reader holds a row group of them.
+CODED = {"parquet.block.size": SPLIT_BYTES}
 _CHUNK = 100_000  # postings multiplied at once
+_ROWS, _DENSE = 128, 25_000  # items, and postings of theirs, that are made a dense matrix
 
 
 def _entries(batch: pa.RecordBatch, terms: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -41,6 +46,15 @@ def _entries(batch: pa.RecordBatch, terms: pa.Array) -> Iterator[tuple[int, np.n
         low = high
 
 
+def _runs(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of some rows at a time: ``_ROWS``, or fewer with ``_DENSE`` postings together."""
+    low = 0
+    while low < len(edges) - 1:
+        high = min(low + _ROWS, max(low + 1, int(np.searchsorted(edges, edges[low] + _DENSE, "right")) - 1), len(edges) - 1)
+        yield low, high
+        low = high
+
+
 def _sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of ``rows`` between neighbouring edges, of which some may be equal."""
     out = np.zeros((len(begin) - 1, rows.shape[1]))
@@ -50,19 +64,52 @@ def _sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gram(known, basis) -> Callable:  # noqa: ANN001
-    """Sums over a task's items of A'A times the basis, a row for each term that occurs."""
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Numbers between neighbouring edges as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows that ``_binary`` made, and their edges."""
+    size, column = np.dtype(kind).itemsize, column.cast(pa.binary())
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    return np.frombuffer(values.tobytes(), kind), (edges - edges[0]) // size
+
+
+def _coded(known) -> Callable:  # noqa: ANN001
+    """Places of the terms among the known ones, and weights, of each row as bytes, which every round then reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, directions = known.value, basis.value
-        total, met = np.zeros(directions.shape), np.zeros(len(directions), bool)
         for batch in batches:
-            for _, edges, column, weight in _entries(batch, terms):
-                product = _sums(directions[column] * weight[:, None], edges)
-                order = np.argsort(column, kind="stable")
-                here, begin = np.unique(column[order], return_index=True)
-                back = product[np.repeat(np.arange(len(edges) - 1), np.diff(edges))[order]] * weight[order, None]
-                total[here] += _sums(back, np.append(begin, len(order)))
+            for _, edges, column, weight in _entries(batch, known.value):
+                yield pa.record_batch([_binary(column.astype(np.int32), edges), _binary(np.ascontiguousarray(weight), edges)], ["slots", "weights"])
+
+    return run
+
+
+def _gram(basis) -> Callable:  # noqa: ANN001
+    """Sums over a task's items of A'A times the basis, a row for each term that occurs.
+
+    A few items at a time are a dense matrix of the terms that they have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = basis.value
+        total, met = np.zeros(directions.shape), np.zeros(len(directions), bool)
+        place = np.zeros(len(directions), np.int64)
+        for batch in filter(len, batches):
+            slots, edges = _numbers(batch.column(0), np.int32)
+            weights, _ = _numbers(batch.column(1), np.float64)
+            for low, high in _runs(edges):
+                span = slice(edges[low], edges[high])
+                occurs = np.zeros(len(directions), bool)
+                occurs[slots[span]] = True
+                here = np.flatnonzero(occurs)
+                place[here] = np.arange(len(here))
+                matrix = np.zeros((high - low, len(here)))
+                matrix[np.repeat(np.arange(high - low), np.diff(edges[low : high + 1])), place[slots[span]]] = weights[span]
+                total[here] += matrix.T @ (matrix @ directions[here])
                 met[here] = True
         slots = np.flatnonzero(met)
         for a in range(0, len(slots), 4096):
@@ -132,6 +179,7 @@ def fit_latent(model: Model, dim: int = 64, rounds: int = 12, tolerance: float =
     spark = vocab.sparkSession
     terms = listed["term"].combine_chunks().cast(pa.string())
     known = spark.sparkContext.broadcast(terms)
+    coded = written(model.packed.select("terms", "weights").mapInArrow(_coded(known), "slots binary, weights binary"), "coded", **CODED)
     width = min(dim + OVERSAMPLE, n)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
     names = [f"c{j}" for j in range(width)]
@@ -139,7 +187,7 @@ def fit_latent(model: Model, dim: int = 64, rounds: int = 12, tolerance: float =
     reached = 0.0
     for left in reversed(range(rounds)):
         sent = spark.sparkContext.broadcast(basis)
-        partial = model.packed.select("terms", "weights").mapInArrow(_gram(known, sent), schema)
+        partial = coded.mapInArrow(_gram(sent), schema)
         # a row for each term, which the bound above covers
         summed = partial.groupBy("slot").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
         sent.destroy()
@@ -152,6 +200,7 @@ def fit_latent(model: Model, dim: int = 64, rounds: int = 12, tolerance: float =
         if left == 0 or total - reached <= tolerance * total:
             break
         reached, basis = total, np.linalg.qr(image)[0]
+    forget(coded)
     loadings = basis @ turn[:, falling]
     peak = loadings[np.abs(loadings).argmax(0), np.arange(len(falling))]
     loadings = loadings * np.where(peak < 0, -1.0, 1.0)

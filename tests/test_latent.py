@@ -98,3 +98,23 @@ def test_self_search_asks_for_every_item(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.sql(ORACLE["latent_self_search"]).fetchall()) == sorted((r["query_id"], r["score"], r["unit"]) for r in found)
+
+
+def test_rounds_read_numbers_for_terms_that_are_stored_once(spark, model, monkeypatch):
+    """The postings are read for one pass, however many rounds there are, and small matrices add up to the same sums."""
+    whole = fit_latent(model, dim=3, rounds=6, tolerance=0)
+    monkeypatch.setattr(latent, "_ROWS", 7)
+    monkeypatch.setattr(latent, "_DENSE", 20)
+    passes = spark.sparkContext.accumulator(0)
+    schema = "item_id string, terms array<string>, weights array<double>"
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    packed = model.packed.mapInArrow(counted, schema)
+    pieces = fit_latent(latent.Model(metadata=model.metadata, vocab=model.vocab, packed=packed, terms=OPTIONS), dim=3, rounds=6, tolerance=0)
+    assert passes.value == model.packed.count()
+    assert np.allclose(pieces.strengths, whole.strengths)
+    assert np.allclose(pieces.matrix()[1], whole.matrix()[1], atol=1e-6)
