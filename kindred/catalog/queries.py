@@ -16,7 +16,7 @@ from kindred.functions.vectors import l2_normalize
 from kindred.operators.cells import assign_cells, best_products, measured, topk_bounded, topk_cells, train_cells
 from kindred.operators.lemma import lemmatize
 from kindred.operators.position import dense_index, first_rows, sample_exact
-from kindred.operators.terms import ngrams, term_counts, term_statistics, tokens
+from kindred.operators.terms import ngrams, pieces, term_counts, term_statistics, tokens
 from kindred.operators.topk import topk_dense, without_self
 from kindred.plans import ingest, quality
 from kindred.plans.latent import fit_latent
@@ -597,7 +597,9 @@ def latent_self_search(spark, sf_dir):
     """Items with a known term, encoded by the fitted encoder and asked for themselves: all of them, at unit length, are their own nearest."""
     model = _model(spark, sf_dir, encoder=None)
     space = fit_latent(model, dim=LATENT)
-    vectors = written(space(model.docs, "item_id", "text_clean"), "vectors")  # the cleaned texts that the model was fitted to
+    # the cleaned texts that the model was fitted to, in as many parts as their size asks for
+    parts = max(pieces(model.docs, "text_clean")[1], spark.sparkContext.defaultParallelism)
+    vectors = written(space(model.docs, "item_id", "text_clean", parts), "vectors")
     norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda total, x: total + x)
     asked = vectors.join(model.packed.select("item_id"), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
     best = topk_dense(written(asked, "asked"), vectors, 1).join(vectors.select("item_id", norm.alias("norm")), "item_id")

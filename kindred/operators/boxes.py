@@ -8,19 +8,19 @@ query is scored only where that bound reaches the k-th score it is known to have
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from kindred.operators.joins import by_blocks
 from kindred.operators.topk import DENSE_BLOCK, DIGITS, _best_of_batch, as_matrix, rank_items
-from kindred.session import SPLIT_BYTES, written
+from kindred.session import SPLIT_BYTES, fresh_path, written
 
 BLOCK_BYTES = 32 << 20  # of a block's query vectors, which go to every task
 SAMPLE_BYTES = 32 << 20  # of the vectors that the tree is grown on
@@ -81,11 +81,21 @@ def grow(sample: np.ndarray, cells: int) -> Tree:
             owner.append((len(splits), side))
         splits.append([column, value, 0, 0])
     done += zip(parts, owner)
-    for cell, (_, above) in enumerate(done):
+    for part, (_, above) in enumerate(done):
         if above is not None:
-            splits[above[0]][2 + above[1]] = ~cell
+            splits[above[0]][2 + above[1]] = ~part
+    # cells are numbered from side to side, so neighbours in number lie together
+    order, left = [], [0 if splits else ~0]
+    while left:
+        node = left.pop()
+        if node < 0:
+            order.append(~node)
+        else:
+            left += [splits[node][3], splits[node][2]]
+    number = {part: cell for cell, part in enumerate(order)}
+    children = np.array([[c if c >= 0 else ~number[~c] for c in s[2:]] for s in splits], int).reshape(-1, 2)
     column, value = (np.array([s[i] for s in splits], kind) for i, kind in ((0, int), (1, float)))
-    return Tree(column, value, np.array([s[2:] for s in splits], int).reshape(-1, 2), np.array([len(rows) for rows, _ in done]))
+    return Tree(column, value, children, np.array([len(done[part][0]) for part in order]))
 
 
 def _stored(vectors: DataFrame) -> tuple[Tree, DataFrame, int]:
@@ -211,29 +221,62 @@ def _searcher(ids: pa.Array, columns: np.ndarray, least: np.ndarray, k: int, bel
     return run
 
 
+def _blocks(counts: dict[int, int], most: int) -> list[tuple[Column, Column]]:
+    """Conditions on queries, by cell and id, that make blocks of about ``most``, and on the vectors of the same cells."""
+    found, first, last, held = [], None, None, 0
+    cell = F.col("cell_id")
+    for c in sorted(counts):
+        if first is not None and held + counts[c] > most:
+            found.append((cell.between(first, last), cell.between(first, last)))
+            first = None
+        if counts[c] > most:
+            pieces = math.ceil(1.25 * counts[c] / most)
+            found += [((cell == c) & (F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i), cell == c) for i in range(pieces)]
+            continue
+        first, last, held = (c, c, counts[c]) if first is None else (first, c, held + counts[c])
+    return found if first is None else [*found, (cell.between(first, last), cell.between(first, last))]
+
+
 def topk_boxes(queries: DataFrame, vectors: DataFrame, k: int, below: float | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) by inner product, compared exactly, for more queries than a small block.
 
-    ``vectors`` (item_id, embedding) are read once and stored by cell. A block of ``BLOCK_BYTES`` of
-    queries makes two passes: each query is scored in one leaf of its cell, and then wherever boxes do not rule
-    out the k-th score it has. How much they rule out depends on how close the
-    answers are; no answer does. Nulls, repeats and ties are as in ``topk_dense``.
+    ``vectors`` (item_id, embedding) are stored by cell, and ``queries`` with theirs. A block of
+    ``BLOCK_BYTES`` of queries from neighbouring cells makes two passes: each query is scored in one leaf of its
+    cell, and then wherever boxes do not rule out the k-th score it has. How much they rule out
+    depends on how close the answers are; no answer does. Blocks run one after the other.
+    Repeated ids and ties are as in ``topk_dense``; empty tables give no answers.
     """
+    spark = vectors.sparkSession
     tree, stored, width = _stored(vectors)
     schema = StructType([queries.schema["query_id"], vectors.schema["item_id"], StructField("score", DoubleType())])
+    with_cell = StructType([queries.schema["query_id"], queries.schema["embedding"], StructField("cell_id", IntegerType())])
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = tree.cells(as_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], with_cell.names)
+
+    asked = written(queries.select("query_id", "embedding").mapInArrow(celled, with_cell), "asked")
 
-    def one_pass(block: DataFrame) -> DataFrame:
-        table = block.select("query_id", "embedding").toArrow().combine_chunks()
-        if not table.num_rows:
-            return rank_items(vectors.sparkSession.createDataFrame([], schema), k)
-        ids = table["query_id"].combine_chunks()
-        matrix = as_matrix(table["embedding"].combine_chunks())
-        columns, least = np.ascontiguousarray(matrix.T), np.full(len(ids), -np.inf)
-        near = rank_items(stored.mapInArrow(_searcher(ids, columns, least, k, below, tree.cells(matrix)), schema), k)
+    def one_pass(block: DataFrame, near_by: Column) -> DataFrame:
+        table = block.toArrow().combine_chunks()
+        ids, home = table["query_id"].combine_chunks(), table["cell_id"].to_numpy()
+        columns = np.ascontiguousarray(as_matrix(table["embedding"].combine_chunks()).T)
+        least = np.full(len(ids), -np.inf)
+        near = rank_items(stored.filter(near_by).mapInArrow(_searcher(ids, columns, least, k, below, home), schema), k)
         reached = near.filter(F.col("rank") == k).select("query_id", "score").toArrow().combine_chunks()
         if reached.num_rows:
             place = pc.index_in(ids, value_set=reached["query_id"].combine_chunks())
             least[pc.is_valid(place).to_numpy(zero_copy_only=False)] = reached["score"].to_numpy()[place.drop_null().to_numpy()]
         return rank_items(stored.mapInArrow(_searcher(ids, columns, least, k, below, None), schema), k)
 
-    return by_blocks(queries, "query_id", max(DENSE_BLOCK, BLOCK_BYTES // (8 * width)), one_pass)
+    counts = {r["cell_id"]: r["count"] for r in asked.groupBy("cell_id").count().collect()}  # a row for each cell
+    path = fresh_path(spark, "answers")
+    rank_items(spark.createDataFrame([], schema), k).write.parquet(path)
+    for mine, near_by in _blocks(counts, max(DENSE_BLOCK, BLOCK_BYTES // (8 * width))):
+        block = asked.filter(mine)
+        if not block.isEmpty():
+            one_pass(block, near_by).write.mode("append").parquet(path)
+    # rows of one query may be in several blocks where its id is repeated
+    return rank_items(spark.read.schema(schema).parquet(path), k)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kindred.functions.accents import fold_accents
 from kindred.operators.joins import BROADCAST_ROWS, lookup_join
@@ -260,26 +261,30 @@ def packed_weights(
     plain: bool = True,
     max_features: int | None = 10_000,
     parts: int | None = None,
+    then: tuple[Callable, StructType] | None = None,
 ) -> DataFrame:
     """(key, terms, weights): log-scaled tf times idf, unit length per key, all terms of a key in one row.
 
     Terms outside the vocabulary vanish, and so do keys left without a term. A vocabulary
     of up to ``BROADCAST_ROWS`` terms, as ``max_features`` promises, goes to the tasks that
     count, and other terms are not even given out; a larger one is joined. Rows then lie in the
-    ``parts`` of their key, if these are given.
+    ``parts`` of their key, if these are given. ``then`` is a further ``mapInArrow`` function on these rows, and
+    what it gives; it runs in the same Python worker where one counts.
     """
     if max_features is not None and max_features <= BROADCAST_ROWS:
         known, idf = _known(vocab)
         count, weight = _counted(low, high, known), _weighed(known, idf)
+        further, schema = then or (None, f"{_kind(docs, key)}, terms array<string>, weights array<double>")
         return _words(docs, key, text_col, plain, parts).mapInArrow(
-            lambda batches: weight(count(batches)), f"{_kind(docs, key)}, terms array<string>, weights array<double>"
+            lambda batches: further(weight(count(batches))) if further else weight(count(batches)), schema
         )
     known = lookup_join(term_counts(docs, key, text_col, low, high, plain), vocab.select("term", "idf"), "term", max_features)
     weighted = known.withColumn("raw", (F.log("tf") + 1.0) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     entries = F.sort_array(F.collect_list(F.struct("term", (F.col("raw") / F.col("_norm")).alias("weight"))))
     packed = weighted.withColumn("_norm", norm).groupBy(key).agg(entries.alias("e"))
-    return packed.select(key, F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+    packed = packed.select(key, F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"))
+    return packed if then is None else packed.mapInArrow(*then)
 
 
 def unpacked(packed: DataFrame, key: str) -> DataFrame:

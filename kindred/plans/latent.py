@@ -152,13 +152,14 @@ class LatentSpace:
         terms, loadings = (found[c].combine_chunks() for c in ("term", "loadings"))
         return terms.cast(pa.string()), loadings.flatten().to_numpy().reshape(len(terms), len(self.strengths))
 
-    def __call__(self, docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    def __call__(self, docs: DataFrame, key: str, text_col: str, parts: int | None = None) -> DataFrame:
+        """Texts are shuffled by key, into ``parts`` if they are given."""
         o = self.options
         context = docs.sparkSession.sparkContext
         known, loadings = map(context.broadcast, self.matrix())
-        packed = packed_weights(docs, self.components, key, text_col, o.ngram_min, o.ngram_max, False, o.max_features)
         out = StructType([docs.schema[key], StructField("embedding", ArrayType(FloatType()))])
-        found = packed.mapInArrow(_project(known, loadings), out)
+        then = (_project(known, loadings), out)
+        found = packed_weights(docs, self.components, key, text_col, o.ngram_min, o.ngram_max, False, o.max_features, parts, then)
         zero = F.array_repeat(F.lit(0.0).cast("float"), len(self.strengths))
         return docs.select(key).join(found, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
 

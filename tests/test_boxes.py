@@ -72,6 +72,12 @@ def test_odd_tables(spark, monkeypatch):
     assert topk_boxes(queries, empty, 2).count() == 0
     assert topk_boxes(queries.limit(0), one, 2).count() == 0
     assert answers(topk_boxes(queries, one, 2)) == [("v0000", 1, "v0000", 1.0), ("v0001", 1, "v0000", 1.0)]
+    twice = table(spark, [[1, 0], [0, 1], [1, 0]], "query_id", ["q", "q", "r"])  # one id, two places
+    four = table(spark, [[1, 0], [0.9, 0], [0, 0.8], [0, 0.7]], "item_id")
+    monkeypatch.setattr(boxes, "CELL_ROWS", 2)
+    monkeypatch.setattr(boxes, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(boxes, "DENSE_BLOCK", 1)
+    assert [x[:3] for x in answers(topk_boxes(twice, four, 2))] == [("q", 1, "v0000"), ("q", 2, "v0001"), ("r", 1, "v0000"), ("r", 2, "v0001")]
     same = table(spark, np.ones((3, 2)), "item_id", ["b", "a", "a"])  # repeated ids
     assert [x[:3] for x in answers(topk_boxes(queries.limit(1), same, 2))] == [("v0000", 1, "a"), ("v0000", 2, "a")]
     with pytest.raises(Exception, match="one width"):
@@ -108,5 +114,17 @@ def test_tree_deals_every_vector_to_a_cell():
     tree = grow(sample, 16)
     cells = tree.cells(sample)
     assert tree.sizes.sum() == len(sample) and np.array_equal(np.bincount(cells, minlength=len(tree.sizes)), tree.sizes)
+    steps = np.array([np.linalg.norm(sample[cells == c].mean(0) - sample[cells == c + 1].mean(0)) for c in range(15)])
+    far = [np.linalg.norm(sample[cells == c].mean(0) - sample[cells == d].mean(0)) for c in range(16) for d in range(c)]
+    assert steps.mean() < np.mean(far)  # neighbours in number lie together
     assert len(tree.sizes) == 16 and set(tree.cells(rng.normal(size=(1000, 4)))) <= set(range(16))
     assert len(grow(np.ones((50, 3)), 8).sizes) == 1 and grow(np.zeros((0, 3)), 1).cells(np.ones((2, 3))).tolist() == [0, 0]
+
+
+def test_blocks_hold_every_query_once(spark):
+    counts = {0: 3, 1: 5, 4: 40, 5: 2, 6: 9, 9: 1}
+    asked = spark.createDataFrame([(c * 100 + i, c) for c, n in counts.items() for i in range(n)], "query_id int, cell_id int")
+    parts = [[r["query_id"] for r in asked.filter(mine).collect()] for mine, _ in boxes._blocks(counts, 10)]
+    assert sorted(x for p in parts for x in p) == sorted(r["query_id"] for r in asked.collect())
+    assert max(map(len, parts)) <= 20 and len(parts) < 12
+    assert boxes._blocks({}, 10) == []
